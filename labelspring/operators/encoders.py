@@ -53,6 +53,7 @@ def model_encode(
     make_predict_fn: Callable,
     name: str = "emb",
     batch_size: int = 32,
+    dtype: str = "float32",
 ) -> DataFrame:
     """A user's model, loaded once per Python worker and fed batches of texts.
 
@@ -63,4 +64,4 @@ def model_encode(
         make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size
     )
     raw = df.withColumn("_raw", array_to_vector(encode(text_as_string(F.col("TEXT")))))
-    return _unit(raw, "_raw", name)
+    return _unit(raw, "_raw", name, dtype)
