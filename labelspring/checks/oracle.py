@@ -296,12 +296,12 @@ FROM cosines""",
     "in_batch_ranking_loss": f"""WITH {DOCS}, {SLOTS}, batched AS (
   SELECT row_id, [{", ".join(f"emb_{i}" for i in DIMS)}] AS v,
          floor({rank(digest("row_id", "batch"))} / 32) AS batch_id FROM bags),
-similar AS (
+closeness AS (
   SELECT a.row_id, a.row_id = b.row_id AS own, 20 * list_dot_product(a.v, b.v) AS s
   FROM batched a JOIN batched b ON a.batch_id = b.batch_id),
 losses AS (
   SELECT row_id, ln(sum(exp(s))) - max(CASE WHEN own THEN s END) AS loss
-  FROM similar GROUP BY row_id)
+  FROM closeness GROUP BY row_id)
 SELECT round(avg(loss), 6) AS loss, count(*) AS n_rows FROM losses""",
     "scaler_stats": f"""WITH {VEC},
 cells AS (SELECT unnest(range({WIDTH})) AS dim, unnest(emb) AS x FROM vec),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.functions.keyed import DEFAULT_SEED
+from labelspring.functions.vectors import l2_normalise
 from labelspring.operators.losses import RANKING_SCALE, gather_batches
 from labelspring.operators.sampling import attach_pair_values, batches, make_pairs
 
@@ -39,8 +40,8 @@ class Projection:
         return cls(np.eye(width))
 
     @property
-    def width(self) -> int:
-        return self.weights.shape[0]
+    def is_identity(self) -> bool:
+        return np.array_equal(self.weights, np.eye(len(self.weights)))
 
     def epoch_table(self, spark: SparkSession) -> DataFrame:
         """``stage, epoch, loss, grad_norm, n``: the mean loss before each step."""
@@ -62,6 +63,8 @@ def apply_projection(
     df: DataFrame, projection: Projection, vector: str = "emb", name: str = "feat"
 ) -> DataFrame:
     """Add ``name``: W times the vector, unit length. Zero vectors stay zero."""
+    if projection.is_identity:
+        return df.withColumn(name, l2_normalise(F.col(vector)).cast("array<float>"))
     weights = df.sparkSession.sparkContext.broadcast(projection.weights)
 
     @F.pandas_udf("array<float>")
@@ -131,6 +134,7 @@ def pair_gradient(pairs: DataFrame, weights: np.ndarray) -> tuple[float, np.ndar
 
     partials = pairs.select("emb_a", "emb_b", "label").mapInPandas(partial, GRADIENT_SCHEMA)
     total, n, grad = _sum_gradients(partials)
+    shared.destroy()
     return total / n, grad / n, n
 
 
@@ -176,6 +180,7 @@ def ranking_gradient(
 
     partials = grouped.select("view_a", "view_b").mapInPandas(partial, GRADIENT_SCHEMA)
     total, n, grad = _sum_gradients(partials)
+    shared.destroy()
     return total / n, grad / n, n
 
 

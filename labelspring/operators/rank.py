@@ -23,13 +23,15 @@ def hashed_rank(
     by: tuple[str, ...] = (),
     name: str = "idx",
     size: str | None = None,
+    run_on: bool = False,
     bucket_bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Add ``name``: the row's position from 0 in its group, by ``order`` then ``key``.
 
     ``order`` is a 60-bit keyed hash, ``key`` a unique id that breaks ties and
     ``by`` columns with few values (class, round). With ``size`` the number of
-    rows of the group is added too.
+    rows of the group is added too. With ``run_on`` a group's numbers go on where
+    those of the group before it end.
 
     The offsets table has at most ``2**bucket_bits`` rows for each group and
     is joined on the keys by which the window has already partitioned the rows.
@@ -41,9 +43,8 @@ def hashed_rank(
     keys = [*groups, "_bucket"]
     per_bucket = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     group_window = Window.partitionBy(*(groups or [F.lit(0)]))
-    earlier = group_window.orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    run = Window.partitionBy(F.lit(0)).orderBy(*keys) if run_on else group_window.orderBy("_bucket")
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *keys,
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
@@ -59,16 +60,3 @@ def hashed_rank(
     return result.select(
         *df.columns, name, *([size] if size is not None else [])
     )
-
-
-def group_starts(df: DataFrame, by: str) -> DataFrame:
-    """Rows in all groups before each group, in the order of ``by``: a few rows."""
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        Window.partitionBy(F.lit(0))
-        .orderBy(by)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return counts.select(
-        by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_group_start")
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions.keyed import (
@@ -12,7 +12,7 @@ from labelspring.functions.keyed import (
     keyed_index,
     keyed_order,
 )
-from labelspring.operators.rank import group_starts, hashed_rank
+from labelspring.operators.rank import hashed_rank
 
 CLASSES = (0, 1)
 
@@ -32,69 +32,68 @@ def class_index(df: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     return hashed_rank(pools, order, by=("LABEL",), size="pool_size")
 
 
-def _pool_sizes(index: DataFrame) -> DataFrame:
-    """At most two rows: the class and its number of rows."""
-    return index.groupBy("LABEL").agg(F.count(F.lit(1)).alias("m"))
+def _pair_ids(df: DataFrame, start: int, stop: int) -> DataFrame:
+    """``pair_id`` with the sizes ``m0`` and ``m1`` of the two class pools."""
+    label = F.col("LABEL")
+    sizes = df.agg(
+        F.struct(F.count_if(label == 0).alias("m0"), F.count_if(label == 1).alias("m1"))
+    ).scalar()
+    ids = df.sparkSession.range(start, stop)
+    return ids.select(F.col("id").alias("pair_id"), sizes.alias("m")).select("pair_id", "m.*")
 
 
-def _required(size):
+def _filled(size: Column) -> Column:
     message = F.raise_error(F.lit("a class has no rows to draw pairs from"))
-    return F.coalesce(size, message.cast("bigint"))
+    return F.when(size > 0, size).otherwise(message.cast("bigint"))
 
 
-def _resolve(draws: DataFrame, index: DataFrame, label: float) -> DataFrame:
-    """Turn ``pair_id, a_class, a_idx, b_class, b_idx`` into row ids."""
-    for side in ("a", "b"):
-        pool = index.select(
-            F.col("LABEL").alias(f"{side}_class"),
-            F.col("idx").alias(f"{side}_idx"),
-            F.col("row_id").alias(side),
-        )
-        draws = draws.join(pool, [f"{side}_class", f"{side}_idx"])
-    return draws.select("pair_id", "a", "b", F.lit(float(label)).alias("label"))
+def _end(side: int, label: Column, idx: Column) -> Column:
+    return F.struct(F.lit(side).alias("side"), label.alias("cls"), idx.alias("idx"))
 
 
-def _pair_ids(index: DataFrame, start: int, stop: int) -> DataFrame:
-    return index.sparkSession.range(start, stop).withColumnRenamed("id", "pair_id")
+def _same_class(df: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+    """``pair_id, label, ends``: class and position of two distinct rows of one class."""
+    pair, m, a = F.col("pair_id"), F.col("m"), F.col("a_idx")
+    side = F.pmod(keyed_hash(pair, "cls", seed), F.lit(2)).cast("int")
+    drawn = (
+        _pair_ids(df, start, stop)
+        .withColumn("cls", side)
+        .withColumn("m", _filled(F.when(F.col("cls") == 1, F.col("m1")).otherwise(F.col("m0"))))
+        .withColumn("a_idx", keyed_index(pair, "a", m, seed))
+    )
+    step = keyed_index(pair, "b", F.greatest(m - 1, F.lit(1)), seed) + 1
+    b = F.when(m > 1, F.pmod(a + step, m)).otherwise(a)
+    ends = F.array(_end(0, F.col("cls"), a), _end(1, F.col("cls"), b))
+    return drawn.select("pair_id", F.lit(1.0).alias("label"), ends.alias("ends"))
 
 
-def _same_class(index: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+def _cross_class(df: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+    """``pair_id, label, ends``: class and position of a positive and a negative row."""
     pair = F.col("pair_id")
-    m = F.col("m")
-    sizes = _pool_sizes(index).withColumnRenamed("LABEL", "a_class")
-    draws = (
-        _pair_ids(index, start, stop)
-        .withColumn("a_class", F.pmod(keyed_hash(pair, "cls", seed), F.lit(2)).cast("int"))
-        .join(F.broadcast(sizes), "a_class", "left")  # two rows
-        .withColumn("m", _required(m))
-        .withColumn("a_idx", keyed_index(pair, "a", m, seed))
-    )
-    step = F.when(m > 1, keyed_index(pair, "b", F.greatest(m - 1, F.lit(1)), seed) + 1)
-    draws = draws.select(
-        "pair_id",
-        "a_class",
-        "a_idx",
-        F.col("a_class").alias("b_class"),
-        F.pmod(F.col("a_idx") + F.coalesce(step, F.lit(0)), m).alias("b_idx"),
+    positive = keyed_index(pair, "pos", _filled(F.col("m1")), seed)
+    negative = keyed_index(pair, "neg", _filled(F.col("m0")), seed)
+    ends = F.array(_end(0, F.lit(1), positive), _end(1, F.lit(0), negative))
+    return _pair_ids(df, start, stop).select(
+        "pair_id", F.lit(0.0).alias("label"), ends.alias("ends")
     )
-    return _resolve(draws, index, 1.0)
 
 
-def _cross_class(index: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
-    pair = F.col("pair_id")
-    draws = _pair_ids(index, start, stop).select(
-        "pair_id", F.lit(1).alias("a_class"), F.lit(0).alias("b_class")
+def _gather_ends(ends: DataFrame, **values: str) -> DataFrame:
+    """One row for each pair from its two ends, ``side`` 0 and 1."""
+    return ends.groupBy("pair_id", "label").agg(
+        *[
+            F.max(F.when(F.col("side") == side, F.col(column))).alias(pattern.format(end))
+            for side, end in ((0, "a"), (1, "b"))
+            for column, pattern in values.items()
+        ]
     )
-    for side, tag in (("a", "pos"), ("b", "neg")):
-        sizes = _pool_sizes(index).select(
-            F.col("LABEL").alias(f"{side}_class"), F.col("m").alias(f"{side}_m")
-        )
-        draws = (
-            draws.join(F.broadcast(sizes), f"{side}_class", "left")  # two rows
-            .withColumn(f"{side}_m", _required(F.col(f"{side}_m")))
-            .withColumn(f"{side}_idx", keyed_index(pair, tag, F.col(f"{side}_m"), seed))
-        )
-    return _resolve(draws, index, 0.0)
+
+
+def _resolve(draws: DataFrame, df: DataFrame, seed: int) -> DataFrame:
+    """Row ids of the drawn positions; the pools are ranked and joined once for both ends."""
+    ends = draws.select("pair_id", "label", F.inline("ends"))
+    index = class_index(df, seed).select(F.col("LABEL").alias("cls"), "idx", "row_id")
+    return _gather_ends(ends.join(index, ["cls", "idx"]), row_id="{}")
 
 
 def same_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -102,21 +101,22 @@ def same_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFra
 
     The class is a fair coin; a class of one row pairs that row with itself.
     """
-    return _same_class(class_index(df, seed), 0, n, seed)
+    pools = class_pools(df).select("row_id", "LABEL")
+    return _resolve(_same_class(pools, 0, n, seed), pools, seed)
 
 
 def cross_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """``n`` pairs of one positive and one negative row, drawn with replacement, label 0.0."""
-    return _cross_class(class_index(df, seed), 0, n, seed)
+    pools = class_pools(df).select("row_id", "LABEL")
+    return _resolve(_cross_class(pools, 0, n, seed), pools, seed)
 
 
 def make_pairs(df: DataFrame, n: int = 3000, seed: int = DEFAULT_SEED) -> DataFrame:
-    """``pair_id, a, b, label``: half same-class pairs, the rest cross-class."""
-    index = class_index(df, seed)
+    """``pair_id, label, a, b``: half same-class pairs, the rest cross-class."""
+    pools = class_pools(df).select("row_id", "LABEL")
     half = n // 2
-    return _same_class(index, 0, half, seed).unionByName(
-        _cross_class(index, half, n, seed)
-    )
+    draws = _same_class(pools, 0, half, seed).unionByName(_cross_class(pools, half, n, seed))
+    return _resolve(draws, pools, seed)
 
 
 def shuffle_pairs(pairs: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -133,21 +133,15 @@ def attach_pair_values(pairs: DataFrame, rows: DataFrame, value: str) -> DataFra
     ends = pairs.select(
         "pair_id",
         "label",
-        F.explode(
+        F.inline(
             F.array(
                 F.struct(F.lit(0).alias("side"), F.col("a").alias("row_id")),
                 F.struct(F.lit(1).alias("side"), F.col("b").alias("row_id")),
             )
-        ).alias("end"),
-    ).select("pair_id", "label", "end.side", "end.row_id")
-    found = ends.join(rows.select("row_id", value), "row_id")
-    return found.groupBy("pair_id", "label").agg(
-        *[
-            F.max(F.when(F.col("side") == side, F.col(column))).alias(alias)
-            for side, end in ((0, "a"), (1, "b"))
-            for column, alias in (("row_id", end), (value, f"{value}_{end}"))
-        ]
+        ),
     )
+    found = ends.join(rows.select("row_id", value), "row_id")
+    return _gather_ends(found, row_id="{}", **{value: value + "_{}"})
 
 
 def self_pairs(*tables: DataFrame) -> DataFrame:
@@ -165,13 +159,10 @@ def stratified_folds(
     df: DataFrame, k: int = 5, label: str = "LABEL", seed: int = DEFAULT_SEED
 ) -> DataFrame:
     """Add ``fold`` in ``[0, k)``; the folds' counts of a class differ by at most 1."""
-    ranked = hashed_rank(
-        df, keyed_order(F.col("row_id"), None, seed), by=(label,), name="_idx"
-    )
-    starts = group_starts(df, label)  # one row for each class
-    return ranked.join(F.broadcast(starts), label).select(
-        *df.columns,
-        F.pmod(F.col("_group_start") + F.col("_idx"), F.lit(k)).cast("int").alias("fold"),
+    order = keyed_order(F.col("row_id"), None, seed)
+    ranked = hashed_rank(df, order, by=(label,), name="_idx", run_on=True)
+    return ranked.select(
+        *df.columns, F.pmod(F.col("_idx"), F.lit(k)).cast("int").alias("fold")
     )
 
 

@@ -100,14 +100,10 @@ def round_cap(cap: int | dict[int, int] | None, rnd: int) -> int | None:
     return cap.get(rnd) if isinstance(cap, dict) else cap
 
 
-def select_top(
-    scored: DataFrame,
-    threshold: float = 0.85,
-    cap: int | None = None,
-    direct: int = DIRECT_TOP,
+def cap_by_class(
+    confident: DataFrame, cap: int | None = None, direct: int = DIRECT_TOP
 ) -> DataFrame:
-    """Confident rows, at most ``cap`` of each class, the most confident first."""
-    confident = select_confident(scored, threshold)
+    """At most ``cap`` rows of each pseudo-label, the most confident first."""
     if cap is None:
         return confident
     positives = first_by_score(confident.filter(F.col("LABEL") == 1), cap, True, direct)
@@ -115,6 +111,13 @@ def select_top(
     return positives.unionByName(negatives)
 
 
+def select_top(
+    scored: DataFrame, threshold: float = 0.85, cap: int | None = None
+) -> DataFrame:
+    """Confident rows under a cap for each class."""
+    return cap_by_class(select_confident(scored, threshold), cap)
+
+
 def augment(labelled: DataFrame, pseudo: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """Labelled rows plus this round's pseudo rows, marked by ``is_pseudo``.
 

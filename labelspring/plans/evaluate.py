@@ -13,7 +13,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import label_by_cut
@@ -28,7 +28,8 @@ from labelspring.plans.training import (
     stage_one,
     vector_width,
 )
-from labelspring.sources.scratch import cut_lineage
+from labelspring.sources.scratch import cut_lineage, drop_table, new_path, write_table
+from labelspring.sources.tables import require_unique_ids
 
 
 @dataclass
@@ -50,13 +51,23 @@ class Validation:
         return metrics_at_cut(self.oof, self.cut)
 
 
-def _each(folds: list[int], parallel: int, run: Callable[[int], tuple]) -> list[tuple]:
+def _each(
+    spark: SparkSession, folds: list[int], parallel: int, run: Callable[[int], tuple]
+) -> list[tuple]:
     """Run the folds, at most ``parallel`` at a time; they share nothing."""
     if parallel <= 1:
         return [run(fold) for fold in folds]
-    spark_run = inheritable_thread_target(run)
     with ThreadPool(min(parallel, len(folds))) as pool:
-        return pool.map(spark_run, folds, chunksize=1)
+        return pool.map(inheritable_thread_target(spark)(run), folds, chunksize=1)
+
+
+def _fold_table(labelled: DataFrame, settings: Settings) -> tuple[DataFrame, str]:
+    """The labelled rows with their fold, written so that a fold is a folder."""
+    require_unique_ids(labelled)
+    rows = labelled.select("row_id", "LABEL", "emb")
+    path = new_path(labelled.sparkSession, "folds")
+    folded = stratified_folds(rows, settings.folds, seed=settings.seed)
+    return write_table(folded, path, "fold"), path
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -84,10 +95,7 @@ def cross_validate(
     texts: cheaper, but the held-out texts, not their labels, reach the encoder.
     Pseudo-labels always come from the unlabelled table, never from held-out rows.
     """
-    rows = labelled.select("row_id", "LABEL", "emb")
-    folded = cut_lineage(
-        stratified_folds(rows, settings.folds, seed=settings.seed), "folds"
-    )
+    folded, path = _fold_table(labelled, settings)
     identity = Projection.identity(vector_width(folded))
     shared = identity
     if settings.simcse == "all":
@@ -109,9 +117,13 @@ def cross_validate(
                 scored.select(F.lit(fold).alias("fold"), "row_id", "score"),
                 f"test-{fold}",
             )
-        return _held_out(fitted, held_out, fold), test
+        held = _held_out(fitted, held_out, fold)
+        fitted.release()
+        return held, test
 
-    parts = _each(list(range(settings.folds)), settings.parallel_folds, run)
+    spark = labelled.sparkSession
+    parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
+    drop_table(spark, path)
     return Validation(
         _union([held for held, _ in parts]),
         settings.cv_cut,
@@ -126,7 +138,7 @@ def repeated_splits(
     test_share: float = 0.2,
 ) -> Validation:
     """Independent stratified 80/20 splits, each fitted from scratch; ``fold`` is the round."""
-    rows = labelled.select("row_id", "LABEL", "emb")
+    rows = require_unique_ids(labelled).select("row_id", "LABEL", "emb")
     drawn = shuffle_splits(rows, rounds, test_share, settings.seed)
     # One column for each round, so the vectors are joined once for all rounds.
     flags = drawn.groupBy("row_id").agg(
@@ -135,7 +147,8 @@ def repeated_splits(
             for r in rounds
         ]
     )
-    split = cut_lineage(rows.join(flags, "row_id"), "splits")
+    path = new_path(labelled.sparkSession, "splits")
+    split = write_table(rows.join(flags, "row_id"), path)
     base = Projection.identity(vector_width(split))
 
     def run(rnd: int) -> tuple[DataFrame]:
@@ -144,24 +157,25 @@ def repeated_splits(
         fitted = fit_labelled(split.filter(~held).select(*columns), settings, base)
         return (_held_out(fitted, split.filter(held).select(*columns), rnd),)
 
-    parts = _each(list(rounds), settings.parallel_folds, run)
+    spark = labelled.sparkSession
+    parts = _each(spark, list(rounds), settings.parallel_folds, run)
+    drop_table(spark, path)
     return Validation(_union([held for (held,) in parts]), settings.cv_cut)
 
 
 def validate_frozen(fitted: Fitted, labelled: DataFrame, settings: Settings) -> Validation:
     """K-fold validation on the vectors of a fitted run; the projection is not refitted."""
     frozen = settings.but(fine_tune=False, simcse="none")
-    rows = labelled.select("row_id", "LABEL", "emb")
-    folded = cut_lineage(
-        stratified_folds(rows, settings.folds, seed=settings.seed), "folds"
-    )
+    folded, path = _fold_table(labelled, settings)
 
     def run(fold: int) -> tuple[DataFrame]:
         train, held_out = fold_rows(folded, fold)
         refitted = fit_labelled(train, frozen, fitted.projection)
         return (_held_out(refitted, held_out, fold),)
 
-    parts = _each(list(range(settings.folds)), settings.parallel_folds, run)
+    spark = labelled.sparkSession
+    parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
+    drop_table(spark, path)
     return Validation(_union([held for (held,) in parts]), settings.cv_cut)
 
 

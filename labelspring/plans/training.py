@@ -7,10 +7,9 @@ vectors are computed once by the caller. A round only applies its matrix.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import label_by_cut
@@ -21,10 +20,20 @@ from labelspring.operators.projection import (
     fit_pairs,
     fit_simcse,
 )
-from labelspring.operators.selection import augment, round_cap, round_counts, select_top
+from labelspring.operators.selection import (
+    augment,
+    cap_by_class,
+    round_cap,
+    round_counts,
+    select_confident,
+)
 from labelspring.plans.settings import Settings
-from labelspring.sources.scratch import cut_lineage
-from labelspring.sources.tables import cached_projection
+from labelspring.sources.scratch import drop_table, new_path, write_table
+from labelspring.sources.tables import cached_projection, require_unique_ids
+
+ROUND_SCHEMA = (
+    "round int, total_train long, labeled long, pseudo long, pos long, neg long"
+)
 
 
 @dataclass
@@ -35,6 +44,13 @@ class Fitted:
     model: PipelineModel
     train: DataFrame
     rounds: DataFrame | None = None
+    scratch: str | None = None
+
+    def release(self) -> None:
+        """Delete the written pseudo-labels; ``train`` can no longer be read."""
+        if self.scratch is not None:
+            drop_table(self.train.sparkSession, self.scratch)
+            self.scratch = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``score`` to rows with ``emb``."""
@@ -98,10 +114,6 @@ def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitt
     return Fitted(projection, model, train)
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
 def self_train(
     labelled: DataFrame,
     unlabelled: DataFrame,
@@ -112,26 +124,36 @@ def self_train(
 
     All rounds but the last score the unlabelled rows. A round's confident rows
     are written out with their vectors, so the next round starts from a table
-    and neither joins them back nor predicts them again.
+    and neither joins them back nor predicts them again. The table of the round
+    before is then deleted.
     """
+    spark = labelled.sparkSession
     columns = ["row_id", "LABEL", "emb"]
     labelled = labelled.select(*columns)
     unlabelled = unlabelled.select("row_id", "emb")
     if base is None:
         base = Projection.identity(vector_width(labelled))
     train = labelled.withColumn("is_pseudo", F.lit(False))
-    counts = []
+    counts, kept = [], None
     for rnd in range(settings.rounds + 1):
-        counts.append(round_counts(train).withColumn("round", F.lit(rnd)))
+        counts.append((rnd, *round_counts(train).first()))
         fitted = fit_labelled(train, settings, base)
         if rnd == settings.rounds:
             break
-        confident = cut_lineage(
-            select_top(fitted.score(unlabelled), settings.threshold), f"confident-{rnd}"
+        path = new_path(spark, f"confident-{rnd}")
+        confident = write_table(
+            select_confident(fitted.score(unlabelled), settings.threshold), path
         )
-        chosen = select_top(confident, settings.threshold, round_cap(settings.cap, rnd))
-        train = augment(labelled, chosen.select(*columns), train)
-    fitted.rounds = _union(counts).select("round", *counts[0].drop("round").columns)
+        chosen = cap_by_class(confident, round_cap(settings.cap, rnd))
+        if chosen.isEmpty():
+            drop_table(spark, path)
+            continue
+        train = augment(labelled, chosen.select(*columns))
+        if kept is not None:
+            drop_table(spark, kept)
+        kept = path
+    fitted.rounds = spark.createDataFrame(counts, ROUND_SCHEMA)
+    fitted.scratch = kept
     return fitted
 
 
@@ -142,6 +164,8 @@ def fit_predict(
     self_training: bool = True,
 ) -> tuple[Fitted, DataFrame]:
     """Final run: fit on all labelled rows, then ``row_id, score, LABEL`` of the rest."""
+    require_unique_ids(labelled)
+    require_unique_ids(unlabelled)
     base = Projection.identity(vector_width(labelled))
     if settings.simcse != "none":
         base = stage_one(labelled, unlabelled, settings, base, settings.simcse_cache)
@@ -150,8 +174,3 @@ def fit_predict(
     else:
         fitted = fit_labelled(labelled, settings, base)
     return fitted, fitted.predict(unlabelled, settings.output_cut)
-
-
-def rounds_log(fitted: Fitted, spark: SparkSession) -> DataFrame:
-    """Epoch metrics of the last fit, to be appended to a run log."""
-    return fitted.projection.epoch_table(spark)

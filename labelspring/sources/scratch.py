@@ -31,13 +31,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/labelspring/{uuid.uuid4().hex}/{name}"
 
 
+def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Write the rows to the path and go on from the written table."""
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and go on from the written table.
+    """Go on from a copy of the rows in the shared folder.
 
     Survives the loss of any executor, and unlike a checkpoint stays columnar:
     a later step that needs the ids and scores does not read the vectors.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, new_path(df.sparkSession, name))
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`write_table` wrote and nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
