@@ -204,7 +204,7 @@ def report(spark, folder):
 
 def pair_texts(spark, folder):
     rows = views.labelled(spark, folder)
-    return attach_pair_values(make_pairs(rows, PAIRS), rows, "TEXT")
+    return attach_pair_values(make_pairs(rows, PAIRS), rows, "TEXT", PAIRS)
 
 
 def same_class(spark, folder):
@@ -290,7 +290,7 @@ def normalised(spark, folder):
 
 def _vector_pairs(spark, folder):
     rows = views.vectors(spark, folder)
-    return attach_pair_values(make_pairs(rows, PAIRS), rows, "emb")
+    return attach_pair_values(make_pairs(rows, PAIRS), rows, "emb", PAIRS)
 
 
 def cosines(spark, folder):

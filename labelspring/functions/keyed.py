@@ -39,17 +39,11 @@ def keyed_order(key: Column, tag: str | None, seed: int = DEFAULT_SEED) -> Colum
 
 
 def keyed_index(
-    key: Column,
-    tag: str,
-    size: Column,
-    seed: int = DEFAULT_SEED,
-    wide_pool: int = WIDE_POOL,
+    key: Column, tag: str, size: int, seed: int = DEFAULT_SEED, wide_pool: int = WIDE_POOL
 ) -> Column:
     """Position in ``[0, size)`` drawn for ``key``."""
-    draw = F.when(size < wide_pool, keyed_hash(key, tag, seed)).otherwise(
-        keyed_order(key, tag, seed)
-    )
-    return F.pmod(draw, size)
+    draw = keyed_hash if size < wide_pool else keyed_order
+    return F.pmod(draw(key, tag, seed), F.lit(size))
 
 
 def keyed_chance(key: Column, tag: str, seed: int = DEFAULT_SEED) -> Column:

@@ -205,7 +205,8 @@ def fit_pairs(
 
     Always starts from ``start``, so no round builds on another's matrix.
     """
-    pairs = attach_pair_values(make_pairs(train, n_pairs, seed), train, "emb").persist()
+    drawn = make_pairs(train, n_pairs, seed)
+    pairs = attach_pair_values(drawn, train, "emb", n_pairs).persist()
     weights, log = start.weights, []
     try:
         for epoch in range(1, epochs + 1):

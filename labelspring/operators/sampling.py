@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from labelspring.operators.rank import hashed_rank
 
 CLASSES = (0, 1)
 
+# Tables of ids are broadcast up to this many rows, a few megabytes.
+BROADCAST_ROWS = 100_000
+
 
 def class_pools(df: DataFrame) -> DataFrame:
     """Rows of the two classes; any other label belongs to neither pool."""
@@ -32,50 +37,56 @@ def class_index(df: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     return hashed_rank(pools, order, by=("LABEL",), size="pool_size")
 
 
-def _pair_ids(df: DataFrame, start: int, stop: int) -> DataFrame:
-    """``pair_id`` with the sizes ``m0`` and ``m1`` of the two class pools."""
-    label = F.col("LABEL")
-    sizes = df.agg(
-        F.struct(F.count_if(label == 0).alias("m0"), F.count_if(label == 1).alias("m1"))
-    ).scalar()
-    ids = df.sparkSession.range(start, stop)
-    return ids.select(F.col("id").alias("pair_id"), sizes.alias("m")).select("pair_id", "m.*")
+def _class_sizes(df: DataFrame) -> dict[int, int]:
+    """Rows of each class pool."""
+    row = df.agg(*[F.count_if(F.col("LABEL") == c).alias(f"m{c}") for c in CLASSES]).first()
+    return {c: row[f"m{c}"] for c in CLASSES}
 
 
-def _filled(size: Column) -> Column:
-    message = F.raise_error(F.lit("a class has no rows to draw pairs from"))
-    return F.when(size > 0, size).otherwise(message.cast("bigint"))
+def _require_rows(sizes: dict[int, int]) -> None:
+    for label, size in sizes.items():
+        if not size:
+            raise ValueError(f"class {label} has no rows to draw pairs from")
+
+
+def _pair_ids(df: DataFrame, start: int, stop: int) -> DataFrame:
+    return df.sparkSession.range(start, stop).withColumnRenamed("id", "pair_id")
 
 
 def _end(side: int, label: Column, idx: Column) -> Column:
     return F.struct(F.lit(side).alias("side"), label.alias("cls"), idx.alias("idx"))
 
 
-def _same_class(df: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+def _same_class(ids: DataFrame, sizes: dict[int, int], seed: int) -> DataFrame:
     """``pair_id, label, ends``: class and position of two distinct rows of one class."""
-    pair, m, a = F.col("pair_id"), F.col("m"), F.col("a_idx")
+    _require_rows(sizes)
+    pair = F.col("pair_id")
+
+    def positions(m: int) -> Column:
+        a = keyed_index(pair, "a", m, seed)
+        if m == 1:
+            return F.struct(a.alias("a"), a.alias("b"))
+        step = keyed_index(pair, "b", m - 1, seed) + 1
+        return F.struct(a.alias("a"), F.pmod(a + step, F.lit(m)).alias("b"))
+
     side = F.pmod(keyed_hash(pair, "cls", seed), F.lit(2)).cast("int")
-    drawn = (
-        _pair_ids(df, start, stop)
-        .withColumn("cls", side)
-        .withColumn("m", _filled(F.when(F.col("cls") == 1, F.col("m1")).otherwise(F.col("m0"))))
-        .withColumn("a_idx", keyed_index(pair, "a", m, seed))
+    drawn = ids.withColumn("cls", side).withColumn(
+        "at", F.when(F.col("cls") == 1, positions(sizes[1])).otherwise(positions(sizes[0]))
+    )
+    ends = F.array(
+        _end(0, F.col("cls"), F.col("at.a")), _end(1, F.col("cls"), F.col("at.b"))
     )
-    step = keyed_index(pair, "b", F.greatest(m - 1, F.lit(1)), seed) + 1
-    b = F.when(m > 1, F.pmod(a + step, m)).otherwise(a)
-    ends = F.array(_end(0, F.col("cls"), a), _end(1, F.col("cls"), b))
     return drawn.select("pair_id", F.lit(1.0).alias("label"), ends.alias("ends"))
 
 
-def _cross_class(df: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+def _cross_class(ids: DataFrame, sizes: dict[int, int], seed: int) -> DataFrame:
     """``pair_id, label, ends``: class and position of a positive and a negative row."""
+    _require_rows(sizes)
     pair = F.col("pair_id")
-    positive = keyed_index(pair, "pos", _filled(F.col("m1")), seed)
-    negative = keyed_index(pair, "neg", _filled(F.col("m0")), seed)
+    positive = keyed_index(pair, "pos", sizes[1], seed)
+    negative = keyed_index(pair, "neg", sizes[0], seed)
     ends = F.array(_end(0, F.lit(1), positive), _end(1, F.lit(0), negative))
-    return _pair_ids(df, start, stop).select(
-        "pair_id", F.lit(0.0).alias("label"), ends.alias("ends")
-    )
+    return ids.select("pair_id", F.lit(0.0).alias("label"), ends.alias("ends"))
 
 
 def _gather_ends(ends: DataFrame, **values: str) -> DataFrame:
@@ -89,11 +100,26 @@ def _gather_ends(ends: DataFrame, **values: str) -> DataFrame:
     )
 
 
-def _resolve(draws: DataFrame, df: DataFrame, seed: int) -> DataFrame:
-    """Row ids of the drawn positions; the pools are ranked and joined once for both ends."""
+def _resolve(draws: DataFrame, df: DataFrame, sizes: dict[int, int], seed: int) -> DataFrame:
+    """Row ids of the drawn positions; each pool is ranked once for both ends.
+
+    A class of few rows is drawn again and again, so a shuffle by position would
+    pile its draws into a few tasks. Such a class is broadcast instead; of a
+    larger one no row can expect many draws.
+    """
     ends = draws.select("pair_id", "label", F.inline("ends"))
-    index = class_index(df, seed).select(F.col("LABEL").alias("cls"), "idx", "row_id")
-    return _gather_ends(ends.join(index, ["cls", "idx"]), row_id="{}")
+    few = [c for c in CLASSES if sizes[c] <= BROADCAST_ROWS]
+    many = [c for c in CLASSES if sizes[c] > BROADCAST_ROWS]
+    found = []
+    for classes in (few, many):
+        if not classes:
+            continue
+        index = class_index(df.filter(F.col("LABEL").isin(*classes)), seed).select(
+            F.col("LABEL").alias("cls"), "idx", "row_id"
+        )
+        side = F.broadcast(index) if classes is few else index
+        found.append(ends.join(side, ["cls", "idx"]))
+    return _gather_ends(reduce(DataFrame.unionByName, found), row_id="{}")
 
 
 def same_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -101,22 +127,23 @@ def same_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFra
 
     The class is a fair coin; a class of one row pairs that row with itself.
     """
-    pools = class_pools(df).select("row_id", "LABEL")
-    return _resolve(_same_class(pools, 0, n, seed), pools, seed)
+    sizes = _class_sizes(df)
+    return _resolve(_same_class(_pair_ids(df, 0, n), sizes, seed), df, sizes, seed)
 
 
 def cross_class_pairs(df: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """``n`` pairs of one positive and one negative row, drawn with replacement, label 0.0."""
-    pools = class_pools(df).select("row_id", "LABEL")
-    return _resolve(_cross_class(pools, 0, n, seed), pools, seed)
+    sizes = _class_sizes(df)
+    return _resolve(_cross_class(_pair_ids(df, 0, n), sizes, seed), df, sizes, seed)
 
 
 def make_pairs(df: DataFrame, n: int = 3000, seed: int = DEFAULT_SEED) -> DataFrame:
     """``pair_id, label, a, b``: half same-class pairs, the rest cross-class."""
-    pools = class_pools(df).select("row_id", "LABEL")
+    sizes = _class_sizes(df)
     half = n // 2
-    draws = _same_class(pools, 0, half, seed).unionByName(_cross_class(pools, half, n, seed))
-    return _resolve(draws, pools, seed)
+    same = _same_class(_pair_ids(df, 0, half), sizes, seed)
+    cross = _cross_class(_pair_ids(df, half, n), sizes, seed)
+    return _resolve(same.unionByName(cross), df, sizes, seed)
 
 
 def shuffle_pairs(pairs: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -125,10 +152,14 @@ def shuffle_pairs(pairs: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     return hashed_rank(pairs, order, key="pair_id", name="position")
 
 
-def attach_pair_values(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+def attach_pair_values(
+    pairs: DataFrame, rows: DataFrame, value: str, n_pairs: int | None = None
+) -> DataFrame:
     """Add ``{value}_a`` and ``{value}_b`` from ``rows(row_id, value)``.
 
-    Both ends are stacked, so the wide table is read once.
+    Both ends are stacked, so the wide table is read once. When the caller knows
+    that there are few pairs, their ids are broadcast and the wide table is not
+    shuffled either.
     """
     ends = pairs.select(
         "pair_id",
@@ -140,7 +171,9 @@ def attach_pair_values(pairs: DataFrame, rows: DataFrame, value: str) -> DataFra
             )
         ),
     )
-    found = ends.join(rows.select("row_id", value), "row_id")
+    if n_pairs is not None and n_pairs <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    found = rows.select("row_id", value).join(ends, "row_id")
     return _gather_ends(found, row_id="{}", **{value: value + "_{}"})
 
 
