@@ -237,7 +237,7 @@ def splits(spark, folder):
 
 
 def masked(spark, folder):
-    rows = mask_tokens(views.documents(spark, folder))
+    rows = mask_tokens(tables.spread(views.documents(spark, folder)))
     positions = F.transform("targets", lambda t: t.position.cast("string"))
     tokens = F.transform("targets", lambda t: t.token)
     return rows.select(
@@ -257,8 +257,7 @@ def batched(spark, folder):
 
 
 def hashed(spark, folder):
-    encoded = hashed_encode(views.documents(spark, folder), WIDTH, dtype="float64")
-    return _wide(encoded, ("row_id",), digits=9)
+    return _wide(encoded_documents(spark, folder, "float64"), ("row_id",), digits=9)
 
 
 def embedded(spark, folder):
@@ -275,7 +274,7 @@ def model_encoded(spark, folder):
 
         return predict
 
-    rows = views.documents(spark, folder)
+    rows = tables.spread(views.documents(spark, folder))
     encoded = model_encode(rows, make_predict_fn, dtype="float64")
     return _wide(encoded, ("row_id",), len(LETTERS), digits=9)
 
@@ -303,8 +302,8 @@ def pair_loss(spark, folder):
 
 
 def ranking_loss(spark, folder):
-    encoded = hashed_encode(views.documents(spark, folder), WIDTH, dtype="float64")
-    return _rounded(in_batch_ranking_loss(batches(encoded.select("row_id", "emb"), 32)), "loss")
+    encoded = encoded_documents(spark, folder, "float64")
+    return _rounded(in_batch_ranking_loss(batches(encoded, 32)), "loss")
 
 
 def dimension_stats(spark, folder):
@@ -321,15 +320,22 @@ def scaled(spark, folder):
     )
 
 
+def encoded_documents(spark, folder, dtype: str = "float32") -> DataFrame:
+    """``row_id, emb`` of all documents by the hashed encoder."""
+    texts = tables.spread(views.documents(spark, folder))
+    return hashed_encode(texts, WIDTH, dtype=dtype).select("row_id", "emb")
+
+
 def encoded_tables(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Labelled and unlabelled documents with hashed vectors, computed once."""
+    """Labelled and unlabelled documents with hashed vectors.
+
+    The texts are encoded where they were read; only vectors meet the labels.
+    """
+    encoded = cut_lineage(encoded_documents(spark, folder), "encoded")
+    labels = views.document_labels(spark, folder)
     return (
-        cut_lineage(
-            hashed_encode(views.labelled(spark, folder), WIDTH).drop("TEXT"), "labelled"
-        ),
-        cut_lineage(
-            hashed_encode(views.unlabelled(spark, folder), WIDTH).drop("TEXT"), "unlabelled"
-        ),
+        cut_lineage(encoded.join(labels, "row_id"), "labelled"),
+        cut_lineage(encoded.join(labels, "row_id", "left_anti"), "unlabelled"),
     )
 
 
@@ -341,17 +347,16 @@ def projection_fit(spark, folder):
 
 
 def simcse_fit(spark, folder):
-    rows = hashed_encode(views.documents(spark, folder), WIDTH).select("row_id", "emb")
-    rows = cut_lineage(rows, "encoded")
+    rows = cut_lineage(encoded_documents(spark, folder), "encoded")
     fitted = fit_simcse(rows, Projection.identity(WIDTH))
     return _wide(apply_projection(rows, fitted, name="emb"), ("row_id",), digits=4)
 
 
 def epoch_loss(spark, folder):
     """Epoch log of the unsupervised fit followed by the supervised one."""
-    labelled, unlabelled = encoded_tables(spark, folder)
-    texts = labelled.select("row_id", "emb").unionByName(unlabelled.select("row_id", "emb"))
-    first = fit_simcse(texts, Projection.identity(WIDTH), epochs=2)
+    encoded = cut_lineage(encoded_documents(spark, folder), "encoded")
+    labelled = encoded.join(views.document_labels(spark, folder), "row_id")
+    first = fit_simcse(encoded, Projection.identity(WIDTH), epochs=2)
     return _rounded(
         fit_pairs(labelled, first).epoch_table(spark), "loss", "grad_norm", digits=4
     )
@@ -539,7 +544,7 @@ def swept(spark, folder):
     changes = [
         {"threshold": 0.80},
         {"threshold": 0.90, "cap": 100},
-        {"model": "rf", "cv_cut": 0.6},
+        {"model": "rf", "model_params": {"trees": 50}, "cv_cut": 0.6},
     ]
     return sweep(labelled, unlabelled, QUICK.but(rounds=1), changes)
 

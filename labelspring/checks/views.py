@@ -21,7 +21,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _labels(spark: SparkSession, folder: str) -> DataFrame:
+def document_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """``row_id, LABEL`` of the labelled documents."""
     return table(spark, folder, "labels").select(
         F.col("doc_id").alias("row_id"), F.col("quality").cast("int").alias("LABEL")
     )
@@ -29,13 +30,13 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """``row_id, TEXT, LABEL`` of the documents with a quality label."""
-    joined = documents(spark, folder).join(_labels(spark, folder), "row_id")
+    joined = documents(spark, folder).join(document_labels(spark, folder), "row_id")
     return joined.select("row_id", "TEXT", "LABEL")
 
 
 def unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     """``row_id, TEXT, LABEL`` of the other documents, ``LABEL`` -1."""
-    rest = documents(spark, folder).join(_labels(spark, folder), "row_id", "left_anti")
+    rest = documents(spark, folder).join(document_labels(spark, folder), "row_id", "left_anti")
     return rest.withColumn("LABEL", F.lit(UNLABELLED))
 
 
@@ -59,7 +60,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"))
     marked = rows.join(
-        _labels(spark, folder).withColumnRenamed("LABEL", "y"), "row_id", "left"
+        document_labels(spark, folder).withColumnRenamed("LABEL", "y"), "row_id", "left"
     )
     draw = F.pmod(keyed_hash(F.col("row_id"), "score"), F.lit(201))
     return marked.select("row_id", (draw / F.lit(200.0)).alias("score"), "y")

@@ -48,6 +48,16 @@ def read_unlabelled(spark: SparkSession, path: str, format: str = "csv") -> Data
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a freshly read table, over all cores if its files fill only some.
+
+    For small inputs before work that is heavy for each row. An input with a
+    partition for every core is left as it was read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header; quotes doubled, blanks and line breaks inside fields kept."""
     df.write.mode("overwrite").csv(

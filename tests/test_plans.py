@@ -14,7 +14,9 @@ from labelspring.plans.training import fit_predict, self_train
 from labelspring.sources.tables import load_model, save_model
 
 WIDTH = 8
-QUICK = Settings(model="elastic", pairs=200, epochs=2, rounds=1, folds=3, simcse_batch=16)
+QUICK = Settings(
+    model="elastic", pairs=200, epochs=2, rounds=1, folds=3, simcse_batch=16, parallel_folds=3
+)
 
 
 def cloud(seed, start, n):
