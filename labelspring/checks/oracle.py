@@ -196,6 +196,51 @@ def letter_count(letter: str) -> str:
     return f"""CAST(length("TEXT") - length(replace("TEXT", '{letter}', '')) AS DOUBLE)"""
 
 
+def descent(epochs: int = 3, rate: float = 2.0, max_norm: float = 1.0) -> str:
+    """Gradient descent on the pair loss, one group of tables for each epoch.
+
+    ``w0`` is the identity; ``w{e}`` holds the matrix after epoch ``e`` as one
+    list of rows, ``step{e}`` the loss before that epoch and its gradient's norm.
+    """
+    entry = "CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE)"
+    row = f"list_transform(range({WIDTH}), lambda j: {entry})"
+    parts = [
+        f"""{VEC}, {pairs("vec")},
+w0 AS (SELECT list_transform(range({WIDTH}), lambda i: {row}) AS w),
+cells AS (
+  SELECT row_id, unnest(range({WIDTH})) AS j, unnest(emb) AS x FROM vec)"""
+    ]
+    for e in range(1, epochs + 1):
+        parts.append(f"""moved{e} AS MATERIALIZED (
+  SELECT row_id, list_transform(w, lambda r: list_dot_product(r, emb)) AS u
+  FROM vec, w{e - 1}),
+unit{e} AS MATERIALIZED (
+  SELECT row_id, n, list_transform(u, lambda x: x / n) AS u
+  FROM (SELECT row_id, u, sqrt(list_dot_product(u, u)) AS n FROM moved{e})),
+error{e} AS MATERIALIZED (
+  SELECT p.a, p.b, a.u AS ua, b.u AS ub, a.n AS na, b.n AS nb,
+         list_dot_product(a.u, b.u) AS c, list_dot_product(a.u, b.u) - p.label AS miss
+  FROM pairs p JOIN unit{e} a ON a.row_id = p.a JOIN unit{e} b ON b.row_id = p.b),
+pulls{e} AS (
+  SELECT a AS row_id, unnest(range({WIDTH})) AS i, 2 * miss / na AS f, c,
+         unnest(ub) AS other, unnest(ua) AS own FROM error{e}
+  UNION ALL
+  SELECT b, unnest(range({WIDTH})), 2 * miss / nb, c, unnest(ua), unnest(ub) FROM error{e}),
+pulled{e} AS (
+  SELECT row_id, i, sum(f * (other - c * own)) AS g FROM pulls{e} GROUP BY row_id, i),
+grad{e} AS MATERIALIZED (
+  SELECT i, j, sum(g * x) / (SELECT count(*) FROM pairs) AS g
+  FROM pulled{e} JOIN cells USING (row_id) GROUP BY i, j),
+step{e} AS (
+  SELECT {e} AS epoch, (SELECT avg(miss * miss) FROM error{e}) AS loss, sqrt(sum(g * g)) AS size
+  FROM grad{e}),
+w{e} AS MATERIALIZED (
+  SELECT list(r ORDER BY i) AS w FROM (
+    SELECT i, list(w[i + 1][j + 1] - {rate} * least(1, {max_norm} / size) * g ORDER BY j) AS r
+    FROM grad{e}, w{e - 1}, step{e} GROUP BY i))""")
+    return ",\n".join(parts)
+
+
 SPLIT_KEY = "CAST(round AS VARCHAR) || '/' || CAST(row_id AS VARCHAR)"
 GAPPY = f"""gappy AS (
   SELECT row_id, CASE WHEN {h("row_id", "gap")} % 10 = 0 THEN NULL
@@ -312,6 +357,15 @@ SELECT CAST(dim AS INTEGER) AS dim, round(mean, 6) AS mean,
 SELECT row_id, "LABEL",
        {wide("(emb[{i}] - avg(emb[{i}]) OVER ()) / (stddev_pop(emb[{i}]) OVER ())", 6)}
 FROM vec""",
+    "projection_fit": f"""WITH {descent()},
+last AS (
+  SELECT row_id, list_transform(w, lambda r: list_dot_product(r, emb)) AS u FROM vec, w3),
+lengths AS (SELECT row_id, u, sqrt(list_dot_product(u, u)) AS n FROM last)
+SELECT row_id, {wide("u[{i}] / n", 6)} FROM lengths""",
+    "pair_epoch_loss": f"""WITH {descent()},
+steps AS (SELECT * FROM step1 UNION ALL SELECT * FROM step2 UNION ALL SELECT * FROM step3)
+SELECT 'pairs' AS stage, CAST(epoch AS INTEGER) AS epoch, round(loss, 6) AS loss,
+       round(size, 6) AS grad_norm, (SELECT count(*) FROM pairs) AS n FROM steps""",
     "pseudo_select": f"""WITH {SCO}, {OPEN}, {PSEUDO} SELECT row_id, score, "LABEL" FROM pseudo""",
     "pseudo_topk": f"""WITH {SCO}, {OPEN}, {PSEUDO}, {RANKED_PSEUDO}
 SELECT row_id, score, "LABEL" FROM ranked WHERE place <= 20""",

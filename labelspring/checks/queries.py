@@ -343,7 +343,14 @@ def projection_fit(spark, folder):
     """All vectors after the supervised fit on pairs of the labelled ones."""
     rows = views.vectors(spark, folder)
     fitted = fit_pairs(rows, Projection.identity(WIDTH))
-    return _wide(apply_projection(rows, fitted, name="emb"), ("row_id",), digits=4)
+    moved = apply_projection(rows, fitted, name="emb", dtype="double")
+    return _wide(moved, ("row_id",))
+
+
+def pair_epoch_loss(spark, folder):
+    """Epoch log of the supervised fit."""
+    fitted = fit_pairs(views.vectors(spark, folder), Projection.identity(WIDTH))
+    return _rounded(fitted.epoch_table(spark), "loss", "grad_norm")
 
 
 def simcse_fit(spark, folder):
@@ -587,6 +594,7 @@ QUERIES: dict[str, Query] = {
     "scaled_features": scaled,
     "projection_fit": projection_fit,
     "simcse_fit": simcse_fit,
+    "pair_epoch_loss": pair_epoch_loss,
     "epoch_loss": epoch_loss,
     "rf_scores": model_scores("rf"),
     "gbm_scores": model_scores("gbm"),

@@ -24,7 +24,7 @@ def _forest(label_std: float, trees: int = 200, depth: int = 30, **params):
         "subsamplingRate": 1.0,
         "minInstancesPerNode": 1,
         "seed": DEFAULT_SEED,
-        "maxMemoryInMB": 1024,
+        "cacheNodeIds": True,  # deep trees: keep each row's node instead of walking down
     }
     return RandomForestRegressor(**COLUMNS, **{**settings, **params})
 

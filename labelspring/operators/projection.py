@@ -60,21 +60,26 @@ class Projection:
 
 
 def apply_projection(
-    df: DataFrame, projection: Projection, vector: str = "emb", name: str = "feat"
+    df: DataFrame,
+    projection: Projection,
+    vector: str = "emb",
+    name: str = "feat",
+    dtype: str = "float",
 ) -> DataFrame:
     """Add ``name``: W times the vector, unit length. Zero vectors stay zero."""
     if projection.is_identity:
-        return df.withColumn(name, l2_normalise(F.col(vector)).cast("array<float>"))
+        return df.withColumn(name, l2_normalise(F.col(vector)).cast(f"array<{dtype}>"))
     weights = df.sparkSession.sparkContext.broadcast(projection.weights)
+    target = np.float32 if dtype == "float" else np.float64
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{dtype}>")
     def project(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return vectors
         moved = np.stack(vectors.to_numpy()).astype(np.float64) @ weights.value.T
         length = np.linalg.norm(moved, axis=1, keepdims=True)
         moved /= np.where(length > 0, length, 1.0)
-        return pd.Series(list(moved.astype(np.float32)))
+        return pd.Series(list(moved.astype(target)))
 
     return df.withColumn(name, project(F.col(vector)))
 
