@@ -1,4 +1,4 @@
-"""Settings of a run; the defaults are those of the final reference run."""
+"""Settings of a run."""
 
 from __future__ import annotations
 
@@ -36,6 +36,9 @@ class Settings:
     cv_cut: float = 0.5
     output_cut: float = 0.5
 
+    # where the fitted projection and model of the final run are kept, if anywhere
+    save_path: str | None = None
+
     folds: int = 5
     parallel_folds: int = 1
 

@@ -29,7 +29,7 @@ from labelspring.operators.selection import (
 )
 from labelspring.plans.settings import Settings
 from labelspring.sources.scratch import drop_table, new_path, write_table
-from labelspring.sources.tables import cached_projection, require_unique_ids
+from labelspring.sources.tables import cached_projection, require_unique_ids, save_model
 
 ROUND_SCHEMA = (
     "round int, total_train long, labeled long, pseudo long, pos long, neg long"
@@ -173,4 +173,8 @@ def fit_predict(
         fitted = self_train(labelled, unlabelled, settings, base)
     else:
         fitted = fit_labelled(labelled, settings, base)
+    if settings.save_path is not None:
+        save_model(
+            labelled.sparkSession, settings.save_path, fitted.projection, fitted.model
+        )
     return fitted, fitted.predict(unlabelled, settings.output_cut)

@@ -11,7 +11,7 @@ from labelspring.plans.evaluate import (
 )
 from labelspring.plans.settings import Settings
 from labelspring.plans.training import fit_predict, self_train
-from labelspring.sources.tables import load_model, save_model
+from labelspring.sources.tables import load_model
 
 WIDTH = 8
 QUICK = Settings(
@@ -78,15 +78,17 @@ def test_nothing_selected_keeps_the_set(labelled, unlabelled):
 
 
 def test_fit_predict_labels_every_row(spark, labelled, unlabelled, hidden, tmp_path):
-    fitted, out = fit_predict(labelled, unlabelled, QUICK.but(simcse="all"))
+    path = str(tmp_path / "run")
+    fitted, out = fit_predict(
+        labelled, unlabelled, QUICK.but(simcse="all", save_path=path)
+    )
     rows = {r["row_id"]: r for r in out.collect()}
     assert set(rows) == set(hidden)
     assert all(r["LABEL"] == int(r["score"] >= 0.5) for r in rows.values())
     right = sum(hidden[i] == r["LABEL"] for i, r in rows.items()) / len(rows)
     assert right > 0.8
     assert [e[0] for e in fitted.projection.epochs] == ["simcse", "pairs", "pairs"]
-    save_model(spark, str(tmp_path / "run"), fitted.projection, fitted.model)
-    fitted.projection, fitted.model = load_model(spark, str(tmp_path / "run"))
+    fitted.projection, fitted.model = load_model(spark, path)
     again = {r["row_id"]: r["score"] for r in fitted.predict(unlabelled).collect()}
     assert all(again[i] == pytest.approx(r["score"]) for i, r in rows.items())
 
