@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,45 +24,43 @@ def select_confident(scored: DataFrame, threshold: float = 0.85) -> DataFrame:
 def kth_smallest(df: DataFrame, column: str, k: int, direct: int = DIRECT_TOP):
     """Exact k-th smallest value of a numeric column, counted from 1.
 
-    Each pass counts the rows between quantiles of the remaining range and goes
-    on in the one range that holds the value, until ``k`` is small enough to
-    rank directly. No sort and no row leaves its task. None when there are
-    fewer than ``k`` rows.
+    Each pass counts the rows at and between quantiles of the remaining range
+    and goes on in the one part that holds the value, until ``k`` is small enough
+    to rank directly. A value that fills much of the range is a quantile, so it
+    is a part of its own and ends the search. No sort, and no row leaves its
+    task. None when there are fewer than ``k`` rows.
     """
     rest = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
     while k > direct:
         facts = rest.agg(
-            F.count(F.lit(1)).alias("n"),
             F.min("x").alias("low"),
             F.max("x").alias("high"),
             F.percentile_approx("x", [i / GRID for i in range(1, GRID)], 10 * GRID).alias("q"),
         ).first()
-        if facts["n"] < k:
+        if facts["low"] is None:
             return None
-        if facts["low"] == facts["high"]:
-            return facts["low"]
-        # Ranges are [edge, next edge): an edge above the minimum always splits.
-        low = float(facts["low"])
-        edges = sorted({float(e) for e in [*facts["q"], facts["high"]] if float(e) > low})
-        if not edges:
-            break  # integers that share one double: too few to need another pass
-        splits = [float("-inf"), *edges, float("inf")]
-        placed = Bucketizer(splits=splits, inputCol="d", outputCol="range").transform(
-            rest.withColumn("d", F.col("x").cast("double"))
-        )
-        counts = placed.groupBy("range").agg(
+        points = {float(v) for v in [facts["low"], *facts["q"], facts["high"]]}
+        if len(points) == 1 and facts["low"] != facts["high"]:
+            break  # integers that share one double: few enough to rank
+        edges = sorted(points | {math.nextafter(v, math.inf) for v in points})
+        placed = Bucketizer(
+            splits=[-math.inf, *edges, math.inf], inputCol="d", outputCol="part"
+        ).transform(rest.withColumn("d", F.col("x").cast("double")))
+        counts = placed.groupBy("part").agg(
             F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
         )
-        for row in sorted(counts.collect(), key=lambda r: r["range"]):
+        for row in sorted(counts.collect(), key=lambda r: r["part"]):
             if k <= row["n"]:
                 break
             k -= row["n"]
+        else:
+            return None
         if row["low"] == row["high"]:
             return row["low"]
         rest = rest.filter(F.col("x").between(row["low"], row["high"]))
-    if rest.limit(k).count() < k:
-        return None
-    return rest.orderBy("x").limit(k).agg(F.max("x")).first()[0]
+    top = rest.orderBy("x").limit(k).agg(F.max("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    found = top.first()
+    return found["x"] if found["n"] == k else None
 
 
 def first_by_score(

@@ -91,6 +91,20 @@ def test_kth_smallest_of_neighbouring_integers(spark):
     assert kth_smallest(df, "x", 31, direct=3) == values[30]
 
 
+def test_a_hot_value_ends_the_search_early(spark):
+    """Two thirds of the rows share one value, the rest are distinct."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") / 60_000).otherwise(F.lit(0.3)).alias("x")
+    )
+    values = sorted(r["x"] for r in df.collect())
+    context = spark.sparkContext
+    for k in (5_000, 30_000, 59_000):
+        context.setJobGroup(f"kth-{k}", "one search")
+        assert kth_smallest(df, "x", k, direct=10) == values[k - 1]
+        assert len(context.statusTracker().getJobIdsForGroup(f"kth-{k}")) <= 15
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_augment_replaces_earlier_pseudo_rows(spark):
     lab = spark.createDataFrame([(1, 0), (2, 1)], "row_id long, LABEL int")
     first = spark.createDataFrame([(10, 1), (11, 0)], "row_id long, LABEL int")
