@@ -37,7 +37,8 @@ def hashed_rank(
     is joined on the keys by which the window has already partitioned the rows.
     """
     groups = list(by)
-    rows = df.withColumn("_order", order).withColumn(
+    # Never NULL, so the join below does not hash every row again to test for it.
+    rows = df.withColumn("_order", F.coalesce(order, F.lit(0))).withColumn(
         "_bucket", F.shiftright(F.col("_order"), ORDER_BITS - bucket_bits)
     )
     keys = [*groups, "_bucket"]
