@@ -30,6 +30,18 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("double")
 
 
+def _from_cells() -> list[Column]:
+    """Threshold metrics from the columns ``tp, fp, fn, tn, mse``."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return [
+        ((tp + tn) / F.nullif(tp + tn + fp + fn, F.lit(0.0))).alias("accuracy"),
+        _ratio(tp, tp + fp).alias("precision"),
+        _ratio(tp, tp + fn).alias("recall"),
+        _ratio(tp * 2, tp * 2 + fp + fn).alias("f1"),
+        F.col("mse"),
+    ]
+
+
 def threshold_metrics(df: DataFrame, cut: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 at the cut, and the mean squared error."""
     hit = label_by_cut(F.col("score"), cut) == 1
@@ -41,15 +53,7 @@ def threshold_metrics(df: DataFrame, cut: float = 0.5, by: tuple[str, ...] = ())
         _count(~hit & ~true).alias("tn"),
         F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("mse"),
     )
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return counts.select(
-        *by,
-        ((tp + tn) / F.nullif(tp + tn + fp + fn, F.lit(0.0))).alias("accuracy"),
-        _ratio(tp, tp + fp).alias("precision"),
-        _ratio(tp, tp + fn).alias("recall"),
-        _ratio(tp * 2, tp * 2 + fp + fn).alias("f1"),
-        "mse",
-    )
+    return counts.select(*by, *_from_cells())
 
 
 def confusion(df: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -84,7 +88,9 @@ def _score_ranges(df: DataFrame) -> list[float]:
 
 
 def _cumulated(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Distinct scores with ``pos, cnt`` and the running ``tp, n`` from the top.
+    """Distinct scores with ``pos, cnt`` and the running ``above, seen`` from the top.
+
+    ``above`` counts the positives and ``seen`` the rows with at least that score.
 
     Equal scores are merged first, so a score shared by a third of all rows is
     one row. The ranges then cut the running sum into many tasks; what precedes
@@ -99,14 +105,12 @@ def _cumulated(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     placed = Bucketizer(splits=edges, inputCol="score", outputCol="_range").transform(grouped)
     keys = [*by, "_range"]
     ranges = placed.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("cnt").alias("_cnt"))
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    above = whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_range"))
+    above = whole.rowsBetween(Window.unboundedPreceding, -1)
     before = ranges.select(
         *keys,
         F.coalesce(F.sum("_pos").over(above), F.lit(0.0)).alias("_tp"),
         F.coalesce(F.sum("_cnt").over(above), F.lit(0.0)).alias("_n"),
-        F.sum("_pos").over(whole).alias("positives"),
-        F.sum("_cnt").over(whole).alias("total"),
     )
     inside = (
         Window.partitionBy(*keys)
@@ -115,53 +119,68 @@ def _cumulated(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
     running = placed.select(
         *keys,
+        "score",
         "pos",
-        "cnt",
+        (F.col("cnt") - F.col("pos")).alias("neg"),
         F.sum("pos").over(inside).alias("_tp_in"),
         F.sum("cnt").over(inside).alias("_n_in"),
     )
     return running.join(before, keys).select(
         *by,
+        "score",
         "pos",
-        "cnt",
-        (F.col("_tp") + F.col("_tp_in")).alias("tp"),
-        (F.col("_n") + F.col("_n_in")).alias("n"),
-        "positives",
-        (F.col("total") - F.col("positives")).alias("negatives"),
+        "neg",
+        (F.col("_tp") + F.col("_tp_in")).alias("above"),
+        (F.col("_n") + F.col("_n_in")).alias("seen"),
     )
 
 
+def _ranking_sums() -> list[Column]:
+    pos, neg, above, seen = (F.col(c) for c in ("pos", "neg", "above", "seen"))
+    return [
+        F.sum(neg * (above - pos / 2)).alias("area"),
+        F.sum(pos * above / seen).alias("steps"),
+        F.sum("pos").alias("positives"),
+        F.sum("neg").alias("negatives"),
+    ]
+
+
+def _from_sums() -> list[Column]:
+    """Ranking metrics from the sums."""
+    pairs = F.col("positives") * F.col("negatives")
+    return [
+        (F.col("area") / F.nullif(pairs, F.lit(0.0))).alias("auc"),
+        _ratio(F.col("steps"), F.col("positives")).alias("pr_auc"),
+    ]
+
+
 def ranking_metrics(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``auc`` with ties counting half, and step-form average precision ``pr_auc``.
 
     ``auc`` is NULL where only one class occurs; ``pr_auc`` is 0 without positives.
     """
-    pos, tp, n = F.col("pos"), F.col("tp"), F.col("n")
-    sums = _cumulated(df, by).groupBy(*by).agg(
-        F.sum((F.col("cnt") - pos) * (tp - pos / 2)).alias("area"),
-        F.sum(pos * tp / n).alias("steps"),
-        F.max("positives").alias("positives"),
-        F.max("negatives").alias("negatives"),
-    )
-    every = F.col("positives") * F.col("negatives")
-    return sums.select(
-        *by,
-        (F.col("area") / F.nullif(every, F.lit(0.0))).alias("auc"),
-        _ratio(F.col("steps"), F.col("positives")).alias("pr_auc"),
-    )
+    sums = _cumulated(df, by).groupBy(*by).agg(*_ranking_sums())
+    return sums.select(*by, *_from_sums())
 
 
 def metrics_at_cut(df: DataFrame, cut: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
-    """All metrics, one row for each value of ``by``."""
-    ranking = ranking_metrics(df, by)
-    threshold = threshold_metrics(df, cut, by)
-    if by:
-        return ranking.join(threshold, list(by)).select(*by, *ALL_METRICS)
-    # One row each: a join on a constant, not a cross product.
-    joined = ranking.withColumn("_one", F.lit(1)).join(
-        threshold.withColumn("_one", F.lit(1)), "_one"
+    """All metrics, one row for each value of ``by``, from one table of distinct scores."""
+    score, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    hit = label_by_cut(score, cut) == 1
+    error = pos * (1 - score) * (1 - score) + neg * score * score
+
+    def total(condition: Column, count: Column) -> Column:
+        return F.sum(F.when(condition, count).otherwise(F.lit(0.0)))
+
+    sums = _cumulated(df, by).groupBy(*by).agg(
+        *_ranking_sums(),
+        total(hit, pos).alias("tp"),
+        total(hit, neg).alias("fp"),
+        total(~hit, pos).alias("fn"),
+        total(~hit, neg).alias("tn"),
+        (F.sum(error) / F.sum(pos + neg)).alias("mse"),
     )
-    return joined.select(*ALL_METRICS)
+    return sums.select(*by, *_from_sums(), *_from_cells())
 
 
 def fold_metrics(df: DataFrame, cut: float = 0.5) -> DataFrame:

@@ -63,7 +63,8 @@ def canonical_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """The same rows in the same partitions and order, whatever they were before.
 
     Tree learning samples by partition and position, so without this the same
-    training set could give another forest.
+    training set could give another forest. The number of partitions, by default
+    that of the session's shuffles, is part of the layout.
     """
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
