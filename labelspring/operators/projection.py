@@ -14,13 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.functions.keyed import DEFAULT_SEED
 from labelspring.functions.vectors import l2_normalise
 from labelspring.operators.losses import RANKING_SCALE, gather_batches
 from labelspring.operators.sampling import attach_pair_values, batches, make_pairs
+from labelspring.sources.scratch import drop_table, new_path, write_table
 
 GRADIENT_SCHEMA = "shard int, total double, n long, grad array<double>"
 SHARDS = 64
@@ -223,10 +224,15 @@ def fit_pairs(
     return Projection(weights, [*start.epochs, *log])
 
 
-def dropout_views(
-    df: DataFrame, epoch: int, probability: float = 0.1, seed: int = DEFAULT_SEED
-) -> DataFrame:
-    """Add ``view_a`` and ``view_b``: the vector under two dropout masks.
+def dropout_view(
+    vector: Column,
+    row_id: Column,
+    epoch: int,
+    view: int,
+    probability: float = 0.1,
+    seed: int = DEFAULT_SEED,
+) -> Column:
+    """The vector with entries dropped by chance and the others scaled up.
 
     A mask bit is a hash of seed, row, epoch, view and dimension, so a task that
     is run again drops the same entries.
@@ -234,15 +240,30 @@ def dropout_views(
     keep = 1.0 - probability
     cut = int(probability * (1 << 20))
 
-    def masked(view):
-        def entry(x, i):
-            draw = F.xxhash64(F.lit(seed), F.col("row_id"), F.lit(epoch), F.lit(view), i)
-            dropped = F.pmod(draw, F.lit(1 << 20)) < cut
-            return F.when(dropped, F.lit(0.0)).otherwise(x.cast("double") / keep)
+    def entry(x, i):
+        draw = F.xxhash64(F.lit(seed), row_id, F.lit(epoch), F.lit(view), i)
+        dropped = F.pmod(draw, F.lit(1 << 20)) < cut
+        return F.when(dropped, F.lit(0.0)).otherwise(x.cast("double") / keep)
+
+    return F.transform(vector, entry)
+
+
+def two_views(
+    grouped: DataFrame, epoch: int, probability: float = 0.1, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """``view_a`` and ``view_b`` of each batch with arrays ``row_id`` and ``emb``.
+
+    The masks are drawn after the rows have met, so only the vectors are shuffled.
+    """
 
-        return F.transform("emb", entry)
+    def views(view):
+        return F.zip_with(
+            "emb",
+            "row_id",
+            lambda x, r: dropout_view(x, r, epoch, view, probability, seed),
+        )
 
-    return df.withColumn("view_a", masked(0)).withColumn("view_b", masked(1))
+    return grouped.select(views(0).alias("view_a"), views(1).alias("view_b"))
 
 
 def fit_simcse(
@@ -256,13 +277,22 @@ def fit_simcse(
     scale: float = RANKING_SCALE,
     seed: int = DEFAULT_SEED,
 ) -> Projection:
-    """Unsupervised fit on ``texts(row_id, emb)``: tell a row's two views from its batch."""
+    """Unsupervised fit on ``texts(row_id, emb)``: tell a row's two views from its batch.
+
+    With more than one epoch the batches are written out and read by each.
+    """
     weights, log = start.weights, []
-    batched = batches(texts.select("row_id", "emb"), batch_size, seed)
+    grouped = gather_batches(
+        batches(texts.select("row_id", "emb"), batch_size, seed), "row_id", "emb"
+    )
+    path = new_path(texts.sparkSession, "batches") if epochs > 1 else None
+    if path is not None:
+        grouped = write_table(grouped, path)
     for epoch in range(1, epochs + 1):
-        views = dropout_views(batched, epoch, dropout, seed)
-        grouped = gather_batches(views, "view_a", "view_b")
-        loss, grad, n = ranking_gradient(grouped, weights, scale)
+        views = two_views(grouped, epoch, dropout, seed)
+        loss, grad, n = ranking_gradient(views, weights, scale)
         weights, size = _step(weights, grad, learning_rate, max_grad_norm)
         log.append(("simcse", epoch, loss, size, n))
+    if path is not None:
+        drop_table(texts.sparkSession, path)
     return Projection(weights, [*start.epochs, *log])

@@ -11,11 +11,12 @@ from labelspring.operators.losses import (
 from labelspring.operators.projection import (
     Projection,
     apply_projection,
-    dropout_views,
+    dropout_view,
     fit_pairs,
     fit_simcse,
     pair_gradient,
     ranking_gradient,
+    two_views,
 )
 from labelspring.operators.sampling import attach_pair_values, batches, make_pairs
 
@@ -67,8 +68,8 @@ def test_pair_gradient(rows):
 
 
 def test_ranking_gradient(spark, rows):
-    views = dropout_views(batches(rows, 16), epoch=1, probability=0.2)
-    grouped = gather_batches(views, "view_a", "view_b").cache()
+    gathered = gather_batches(batches(rows, 16), "row_id", "emb")
+    grouped = two_views(gathered, epoch=1, probability=0.2).cache()
     local = grouped.collect()
     assert max(len(g["view_a"]) for g in local) == 16
 
@@ -99,9 +100,16 @@ def test_ranking_loss_without_dropout(spark, rows):
 
 def test_dropout_masks_differ_by_view_and_repeat(rows):
     wide = rows.withColumn("emb", F.array_repeat(F.lit(1.0), 400))
-    one = dropout_views(wide.repartition(3), 1).orderBy("row_id").collect()
-    again = dropout_views(wide.repartition(5), 1).orderBy("row_id").collect()
-    assert one == again
+
+    def views(df):
+        drawn = [
+            dropout_view(F.col("emb"), F.col("row_id"), 1, v).alias(f"view_{end}")
+            for v, end in enumerate("ab")
+        ]
+        return df.select("row_id", *drawn).orderBy("row_id").collect()
+
+    one = views(wide.repartition(3))
+    assert one == views(wide.repartition(5))
     a = np.array([r["view_a"] for r in one])
     b = np.array([r["view_b"] for r in one])
     assert (a == 0).mean() == pytest.approx(0.1, abs=0.01)
@@ -124,8 +132,7 @@ def test_simcse_fit_lowers_its_loss(spark, rows):
     start = Projection.identity(WIDTH)
     fitted = fit_simcse(rows, start, epochs=2, batch_size=16)
     assert [e[:2] for e in fitted.epochs] == [("simcse", 1), ("simcse", 2)]
-    views = dropout_views(batches(rows, 16), epoch=1)
-    grouped = gather_batches(views, "view_a", "view_b")
+    grouped = two_views(gather_batches(batches(rows, 16), "row_id", "emb"), epoch=1)
     before = ranking_gradient(grouped, start.weights)[0]
     assert before == pytest.approx(fitted.epochs[0][2])
     once = fit_simcse(rows, start, epochs=1, batch_size=16)
