@@ -35,12 +35,11 @@ def read_labelled(spark: SparkSession, path: str, format: str = "csv") -> DataFr
 
 
 def read_unlabelled(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """``row_id, TEXT, LABEL`` with ``LABEL`` -1 where the file has no such column."""
+    """``row_id, TEXT, LABEL`` with ``LABEL`` -1 where the file has none."""
     rows = _read_rows(spark, path, format)
+    label = F.lit(UNLABELLED)
     if "LABEL" in rows.columns:
-        label = strict_long(F.col("LABEL"), "LABEL").cast("int")
-    else:
-        label = F.lit(UNLABELLED)
+        label = F.coalesce(F.col("LABEL").try_cast("decimal(38,10)").cast("int"), label)
     return rows.select(
         strict_long(F.col("row_id"), "row_id").alias("row_id"),
         text_as_string(F.col("TEXT")).alias("TEXT"),

@@ -57,8 +57,19 @@ def test_bad_rows_fail_the_job(spark, tmp_path, row):
 def test_unlabelled_rows_get_the_sentinel_only_when_needed(spark, tmp_path):
     path = csv(tmp_path, "row_id,TEXT\n1,a\n")
     assert tuple(read_unlabelled(spark, path).first()) == (1, "a", -1)
-    path = csv(tmp_path, "row_id,TEXT,LABEL\n1,a,0\n")
-    assert tuple(read_unlabelled(spark, path).first()) == (1, "a", 0)
+    path = csv(tmp_path, "row_id,TEXT,LABEL\n1,a,0\n2,b,\n")
+    rows = read_unlabelled(spark, path).orderBy("row_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", 0), (2, "b", -1)]
+
+
+def test_blank_lines_and_other_line_ends(spark, tmp_path):
+    path = csv(tmp_path, "row_id,TEXT,LABEL\n1,a,1\n\n2,b,0\n\n")
+    assert sorted(r["row_id"] for r in read_labelled(spark, path).collect()) == [1, 2]
+    path = tmp_path / "crlf.csv"
+    path.write_bytes(b'row_id,TEXT,LABEL\r\n1,"a\r\nb",1\r\n2,c,0\r\n')
+    rows = read_labelled(spark, str(path)).orderBy("row_id").collect()
+    assert [(r["row_id"], r["LABEL"]) for r in rows] == [(1, 1), (2, 0)]
+    assert rows[0]["TEXT"].split() == ["a", "b"]
 
 
 def test_parquet_and_unknown_formats(spark, tmp_path):
