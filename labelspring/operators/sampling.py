@@ -21,6 +21,9 @@ CLASSES = (0, 1)
 # Tables of ids are broadcast up to this many rows, a few megabytes.
 BROADCAST_ROWS = 100_000
 
+# A row drawn more often than this is joined by several tasks.
+HOT_DRAWS = 10_000
+
 
 def class_pools(df: DataFrame) -> DataFrame:
     """Rows of the two classes; any other label belongs to neither pool."""
@@ -152,14 +155,35 @@ def shuffle_pairs(pairs: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     return hashed_rank(pairs, order, key="pair_id", name="position")
 
 
+def _join_drawn_often(ends: DataFrame, rows: DataFrame, n_pairs: int) -> DataFrame:
+    """Join on ``row_id`` where some rows are drawn far more often than others.
+
+    A row drawn more than ``quota`` times is copied, and its draws are dealt out to
+    the copies. At most ``BROADCAST_ROWS`` rows can exceed the quota.
+    """
+    quota = max(HOT_DRAWS, -(-2 * n_pairs // max(BROADCAST_ROWS, 1)))
+    hot = (
+        ends.groupBy("row_id")
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(quota)).cast("int").alias("copies"))
+        .filter(F.col("copies") > 1)
+    )
+    copies = F.coalesce(F.col("copies"), F.lit(1))
+    dealt = ends.join(F.broadcast(hot), "row_id", "left").withColumn(
+        "copy", F.pmod(F.col("pair_id"), copies).cast("int")
+    )
+    copied = rows.join(F.broadcast(hot), "row_id", "left").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), copies - 1))
+    )
+    return dealt.drop("copies").join(copied.drop("copies"), ["row_id", "copy"])
+
+
 def attach_pair_values(
-    pairs: DataFrame, rows: DataFrame, value: str, n_pairs: int | None = None
+    pairs: DataFrame, rows: DataFrame, value: str, n_pairs: int
 ) -> DataFrame:
     """Add ``{value}_a`` and ``{value}_b`` from ``rows(row_id, value)``.
 
-    Both ends are stacked, so the wide table is read once. When the caller knows
-    that there are few pairs, their ids are broadcast and the wide table is not
-    shuffled either.
+    Both ends are stacked, so the wide table is read once. The ids of few pairs
+    are broadcast, and then the wide table is not shuffled either.
     """
     ends = pairs.select(
         "pair_id",
@@ -171,9 +195,11 @@ def attach_pair_values(
             )
         ),
     )
-    if n_pairs is not None and n_pairs <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    found = rows.select("row_id", value).join(ends, "row_id")
+    rows = rows.select("row_id", value)
+    if n_pairs <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(ends), "row_id")
+    else:
+        found = _join_drawn_often(ends, rows, n_pairs)
     return _gather_ends(found, row_id="{}", **{value: value + "_{}"})
 
 

@@ -7,6 +7,7 @@ from labelspring.functions.keyed import keyed_order
 from labelspring.operators.rank import hashed_rank
 from labelspring.operators import sampling
 from labelspring.operators.sampling import (
+    attach_pair_values,
     batches,
     class_index,
     cross_class_pairs,
@@ -93,6 +94,21 @@ def test_broadcast_and_shuffled_pools_agree(spark, rows, monkeypatch):
         assert collected(make_pairs(rows, 300), "pair_id", "a", "b", "label") == expected
 
 
+@pytest.mark.parametrize("broadcast, hot", [(100_000, 10_000), (5, 1), (299, 7), (299, 10_000)])
+def test_values_are_attached_to_both_ends(spark, monkeypatch, broadcast, hot):
+    rows = table(spark, 1, 40).withColumn("TEXT", F.concat(F.lit("t"), F.col("row_id")))
+    pairs = make_pairs(rows, 300)
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(sampling, "HOT_DRAWS", hot)
+    found = attach_pair_values(pairs, rows, "TEXT", 300).collect()
+    assert len(found) == 300
+    assert all(r["TEXT_a"] == f"t{r['a']}" and r["TEXT_b"] == f"t{r['b']}" for r in found)
+    assert sorted((r["pair_id"], r["a"], r["b"]) for r in found) == collected(
+        pairs, "pair_id", "a", "b"
+    )
+    assert sum(r["a"] == 0 for r in found) > 100  # the only positive row
+
+
 def test_single_row_class_pairs_with_itself(spark):
     rows = table(spark, 1, 10)
     same = same_class_pairs(rows, 60).collect()
