@@ -118,6 +118,7 @@ PAIR_COSINE = f"""{VEC}, {pairs("vec")}, cosines AS (
            AS cosine
   FROM pairs p JOIN vec x ON x.row_id = p.a JOIN vec y ON y.row_id = p.b)"""
 
+SLOT_SHARE = "sum(CASE WHEN slot = {j} THEN c ELSE 0 END) / max(n) AS emb_{j}"
 SLOTS = f"""tokens AS (
   SELECT row_id, unnest(regexp_split_to_array(lower({as_string('"TEXT"')}), '\\s+')) AS t
   FROM docs),
@@ -126,7 +127,7 @@ slots AS (
   FROM tokens GROUP BY 1, 2),
 lengths AS (SELECT row_id, sqrt(sum(c * c)) AS n FROM slots GROUP BY 1),
 bags AS (
-  SELECT s.row_id, {", ".join(f"sum(CASE WHEN slot = {i} THEN c ELSE 0 END) / max(n) AS emb_{i}" for i in DIMS)}
+  SELECT s.row_id, {", ".join(SLOT_SHARE.replace("{j}", str(j)) for j in DIMS)}
   FROM slots s JOIN lengths l ON s.row_id = l.row_id GROUP BY s.row_id)"""
 
 RATIO = "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0 END"
@@ -171,7 +172,8 @@ metrics AS (
 
 
 def judged_metrics(columns: str, cut: float = 0.5, digits: int = 6) -> str:
-    return f"WITH {SCO}, {JUDGED}, {metrics('judged', cut=cut, digits=digits)} SELECT {columns} FROM metrics"
+    tables = f"{SCO}, {JUDGED}, {metrics('judged', cut=cut, digits=digits)}"
+    return f"WITH {tables} SELECT {columns} FROM metrics"
 
 
 FOLD_METRICS = f"{SCO}, {JUDGED}, {folded('judged', 'y')}, {metrics('folded', 'fold', digits=15)}"
@@ -242,6 +244,19 @@ w{e} AS MATERIALIZED (
 
 
 SPLIT_KEY = "CAST(round AS VARCHAR) || '/' || CAST(row_id AS VARCHAR)"
+HELD_OUT = "(place < round(CAST(0.2 AS DOUBLE) * m))"
+
+
+def split_rounds(table: str, rounds: int = 5) -> str:
+    """Rows of a table, once for each round, ranked in their class."""
+    return f"""repeated AS (
+  SELECT CAST(r AS INTEGER) AS round, row_id, "LABEL"
+  FROM {table}, (SELECT unnest(range({rounds})) AS r)),
+ranked AS (
+  SELECT *, {rank(digest(SPLIT_KEY, "split"), 'round, "LABEL"')} AS place,
+         count(*) OVER (PARTITION BY round, "LABEL") AS m FROM repeated)"""
+
+
 GAPPY = f"""gappy AS (
   SELECT row_id, CASE WHEN {h("row_id", "gap")} % 10 = 0 THEN NULL
                       WHEN {h("row_id", "gap")} % 10 = 1 THEN 'NA' ELSE "TEXT" END AS "TEXT"
@@ -294,14 +309,12 @@ UNION ALL SELECT row_id, "TEXT", "TEXT" FROM unl""",
 SELECT row_id, "LABEL", idx, m AS pool_size FROM pool""",
     "stratified_folds": f"""WITH {VEC}, {folded("vec", "LABEL")}
 SELECT row_id, "LABEL", fold FROM folded""",
-    "shuffle_splits": f"""WITH {VEC}, repeated AS (
-  SELECT CAST(r AS INTEGER) AS round, row_id, "LABEL"
-  FROM vec, (SELECT unnest(range(5)) AS r)),
-ranked AS (
-  SELECT *, {rank(digest(SPLIT_KEY, "split"), 'round, "LABEL"')} AS place,
-         count(*) OVER (PARTITION BY round, "LABEL") AS m FROM repeated)
-SELECT round, row_id, "LABEL",
-       CAST(place < round(CAST(0.2 AS DOUBLE) * m) AS INTEGER) AS held_out FROM ranked""",
+    "shuffle_splits": f"""WITH {VEC}, {split_rounds("vec")}
+SELECT round, row_id, "LABEL", CAST({HELD_OUT} AS INTEGER) AS held_out FROM ranked""",
+    "split_assignment": f"""WITH {LAB}, {split_rounds("lab")}
+SELECT round AS fold, row_id, "LABEL" AS y FROM ranked WHERE {HELD_OUT}""",
+    "cv_assignment": f"""WITH {LAB}, {folded("lab", "LABEL")}
+SELECT fold, row_id, "LABEL" AS y FROM folded""",
     "mlm_mask": f"""WITH {DOCS},
 split AS (SELECT row_id, string_split("TEXT", ' ') AS tk FROM docs),
 drawn AS (

@@ -499,6 +499,19 @@ def validation(settings: Settings, self_training: bool, **options) -> Query:
     return query
 
 
+def cv_assignment(spark, folder):
+    """Which row a whole validation scored in which fold, and its true label."""
+    labelled, unlabelled = encoded_tables(spark, folder)
+    settings = QUICK.but(fine_tune=False)
+    return cross_validate(labelled, unlabelled, settings, False).oof.drop("score")
+
+
+def split_assignment(spark, folder):
+    """The same for the repeated splits; ``fold`` is the round."""
+    labelled, _ = encoded_tables(spark, folder)
+    return repeated_splits(labelled, QUICK.but(fine_tune=False)).oof.drop("score")
+
+
 def cv_oof(spark, folder):
     """Per-fold and pooled metrics of a validation with the unsupervised stage run once."""
     labelled, unlabelled = encoded_tables(spark, folder)
@@ -620,6 +633,8 @@ QUERIES: dict[str, Query] = {
     "cv_two_stage": validation(QUICK.but(simcse="fold"), False),
     "cv_self_training": validation(QUICK.but(cv_cut=0.6, threshold=0.8), True),
     "cv_proper": validation(QUICK.but(simcse="fold"), True),
+    "cv_assignment": cv_assignment,
+    "split_assignment": split_assignment,
     "cv_oof": cv_oof,
     "fold_ensemble": ensemble,
     "cv_ensemble": ensemble_cv,

@@ -16,26 +16,31 @@ from labelspring.operators.scaling import fit_scaler
 COLUMNS = {"featuresCol": "_scaled", "labelCol": "LABEL", "predictionCol": "_prediction"}
 
 
-def _forest(label_std: float, trees: int = 200, depth: int = 30, **params):
+def _forest(label_std: float, seed: int, trees: int = 200, depth: int = 30, **params):
     settings = {
         "numTrees": trees,
         "maxDepth": depth,
         "featureSubsetStrategy": "all",
         "subsamplingRate": 1.0,
         "minInstancesPerNode": 1,
-        "seed": DEFAULT_SEED,
+        "seed": seed,
         "cacheNodeIds": True,  # deep trees: keep each row's node instead of walking down
     }
     return RandomForestRegressor(**COLUMNS, **{**settings, **params})
 
 
-def _boosting(label_std: float, stages: int = 200, depth: int = 3, **params):
-    settings = {"maxIter": stages, "maxDepth": depth, "stepSize": 0.1, "seed": DEFAULT_SEED}
+def _boosting(label_std: float, seed: int, stages: int = 200, depth: int = 3, **params):
+    settings = {"maxIter": stages, "maxDepth": depth, "stepSize": 0.1, "seed": seed}
     return GBTRegressor(**COLUMNS, **{**settings, **params})
 
 
 def _elastic(
-    label_std: float, alpha: float = 0.01, l1_ratio: float = 0.5, iterations: int = 5000, **params
+    label_std: float,
+    seed: int,
+    alpha: float = 0.01,
+    l1_ratio: float = 0.5,
+    iterations: int = 5000,
+    **params,
 ):
     # Spark divides the L2 part of the penalty by the std of the label.
     l1 = alpha * l1_ratio
@@ -52,11 +57,13 @@ def _elastic(
 REGRESSORS = {"rf": _forest, "gbm": _boosting, "elastic": _elastic}
 
 
-def make_regressor(name: str, label_std: float = 1.0, **params):
+def make_regressor(
+    name: str, label_std: float = 1.0, seed: int = DEFAULT_SEED, **params
+):
     """Unfitted regressor by name; the names are the keys of ``REGRESSORS``."""
     if name not in REGRESSORS:
         raise ValueError(f"unknown model {name!r}, expected one of {sorted(REGRESSORS)}")
-    return REGRESSORS[name](label_std, **params)
+    return REGRESSORS[name](label_std, seed, **params)
 
 
 def canonical_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -76,6 +83,7 @@ def fit_model(
     model: str = "rf",
     vector: str = "feat",
     partitions: int | None = None,
+    seed: int = DEFAULT_SEED,
     **params,
 ) -> PipelineModel:
     """Fit scaler and regressor on ``train(row_id, LABEL, <vector>)``."""
@@ -95,7 +103,7 @@ def fit_model(
         if not facts["n"]:
             raise ValueError("there are no labelled rows to fit on")
         scaler = fit_scaler(laid_out, facts["n"], "_features", "_scaled")
-        regressor = make_regressor(model, facts["label_std"] or 0.0, **params)
+        regressor = make_regressor(model, facts["label_std"] or 0.0, seed, **params)
         fitted = regressor.fit(scaler.transform(laid_out))
         return PipelineModel([*scaler.stages, fitted])
     finally:

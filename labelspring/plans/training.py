@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import label_by_cut
@@ -71,6 +71,15 @@ def vector_width(df: DataFrame) -> int:
     return row["width"]
 
 
+def _own_key(df: DataFrame, second: Column) -> DataFrame:
+    """Ids that stay unique when two tables are put together.
+
+    A labelled and an unlabelled row may carry the same ``row_id``: the first
+    table's ids become even, the second's odd.
+    """
+    return df.withColumn("row_id", F.col("row_id") * 2 + second.cast("int"))
+
+
 def stage_one(
     labelled: DataFrame,
     unlabelled: DataFrame,
@@ -79,7 +88,9 @@ def stage_one(
     cache: str | None = None,
 ) -> Projection:
     """Unsupervised fit on the given labelled and all unlabelled texts, labels unused."""
-    texts = labelled.select("row_id", "emb").unionByName(unlabelled.select("row_id", "emb"))
+    texts = _own_key(labelled.select("row_id", "emb"), F.lit(0)).unionByName(
+        _own_key(unlabelled.select("row_id", "emb"), F.lit(1))
+    )
 
     def fit():
         return fit_simcse(
@@ -109,7 +120,10 @@ def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitt
             settings.seed,
         )
     model = fit_model(
-        apply_projection(train, projection), settings.model, **settings.model_params
+        apply_projection(train, projection),
+        settings.model,
+        seed=settings.seed,
+        **settings.model_params,
     )
     return Fitted(projection, model, train)
 
@@ -137,7 +151,7 @@ def self_train(
     counts, kept = [], None
     for rnd in range(settings.rounds + 1):
         counts.append((rnd, *round_counts(train).first()))
-        fitted = fit_labelled(train, settings, base)
+        fitted = fit_labelled(_own_key(train, F.col("is_pseudo")), settings, base)
         if rnd == settings.rounds:
             break
         path = new_path(spark, f"confident-{rnd}")
@@ -152,6 +166,7 @@ def self_train(
         if kept is not None:
             drop_table(spark, kept)
         kept = path
+    fitted.train = train
     fitted.rounds = spark.createDataFrame(counts, ROUND_SCHEMA)
     fitted.scratch = kept
     return fitted

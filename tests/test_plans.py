@@ -64,6 +64,21 @@ def test_self_training(labelled, unlabelled, hidden):
     assert right > 0.85
 
 
+def test_both_tables_may_use_the_same_ids(labelled, unlabelled):
+    """Equal ids name different rows: the result is that of distinct ids."""
+    shifted = unlabelled.withColumn("row_id", F.col("row_id") - 1000)
+    settings = QUICK.but(simcse="all")
+    apart, out = fit_predict(labelled, unlabelled, settings)
+    same, shifted_out = fit_predict(labelled, shifted, settings)
+    assert same.projection.epochs[-1][4] == settings.pairs
+    assert same.train.count() == apart.train.count()
+    scores = {r["row_id"]: r["score"] for r in out.collect()}
+    again = {r["row_id"] + 1000: r["score"] for r in shifted_out.collect()}
+    assert scores.keys() == again.keys()
+    agree = sum((scores[i] >= 0.5) == (again[i] >= 0.5) for i in scores)
+    assert agree > 0.95 * len(scores)
+
+
 def test_a_cap_limits_each_class(labelled, unlabelled):
     fitted = self_train(labelled, unlabelled, QUICK.but(rounds=2, cap={0: 5}))
     rounds = fitted.rounds.orderBy("round").collect()
