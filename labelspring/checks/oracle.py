@@ -8,6 +8,10 @@ from __future__ import annotations
 from labelspring.functions.columns import MISSING_TEXTS
 
 WIDTH = 64
+
+# Metrics of few rows are short decimals, which a coarser rounding would often meet
+# exactly half way; there the order of a sum would decide.
+DIGITS = 10
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 DIMS = range(WIDTH)
 
@@ -133,7 +137,7 @@ bags AS (
 RATIO = "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0 END"
 
 
-def metrics(table: str, by: str = "", cut: float = 0.5, digits: int = 6) -> str:
+def metrics(table: str, by: str = "", cut: float = 0.5, digits: int = DIGITS) -> str:
     """All metrics of a table with ``y`` and ``score``, one row for each ``by``."""
     lead = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
@@ -171,14 +175,14 @@ metrics AS (
   FROM ranking r JOIN cells t ON {same_group})"""
 
 
-def judged_metrics(columns: str, cut: float = 0.5, digits: int = 6) -> str:
-    tables = f"{SCO}, {JUDGED}, {metrics('judged', cut=cut, digits=digits)}"
+def judged_metrics(columns: str, cut: float = 0.5) -> str:
+    tables = f"{SCO}, {JUDGED}, {metrics('judged', cut=cut)}"
     return f"WITH {tables} SELECT {columns} FROM metrics"
 
 
 FOLD_METRICS = f"{SCO}, {JUDGED}, {folded('judged', 'y')}, {metrics('folded', 'fold', digits=15)}"
 METRIC_NAMES = ("auc", "pr_auc", "accuracy", "precision", "recall", "f1", "mse")
-ROUNDED_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in METRIC_NAMES)
+ROUNDED_METRICS = ", ".join(f"round({m}, {DIGITS}) AS {m}" for m in METRIC_NAMES)
 
 AUGMENTED = f"""{SCO}, {JUDGED}, {OPEN}, {PSEUDO}, augmented AS (
   SELECT row_id, y AS "LABEL", CAST(0 AS INTEGER) AS is_pseudo FROM judged
@@ -393,8 +397,8 @@ SELECT count(*) AS total_train, count(*) FILTER (is_pseudo = 0) AS labeled,
        count(*) FILTER (is_pseudo = 1) AS pseudo,
        count(*) FILTER (is_pseudo = 1 AND "LABEL" = 1) AS pos,
        count(*) FILTER (is_pseudo = 1 AND "LABEL" = 0) AS neg FROM augmented""",
-    "roc_auc": judged_metrics("auc", digits=9),
-    "average_precision": judged_metrics("pr_auc", digits=9),
+    "roc_auc": judged_metrics("auc"),
+    "average_precision": judged_metrics("pr_auc"),
     "accuracy": judged_metrics("accuracy"),
     "precision_recall_f1": judged_metrics("precision, recall, f1"),
     "mse": judged_metrics("mse"),
@@ -406,8 +410,8 @@ FROM judged j, (SELECT unnest([0, 1]) AS k) GROUP BY k""",
     "fold_metrics": f"WITH {FOLD_METRICS} SELECT fold, {ROUNDED_METRICS} FROM metrics",
     "fold_summary": f"WITH {FOLD_METRICS} "
     + " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, "
-        f"round(stddev_pop({m}), 6) AS std FROM metrics"
+        f"SELECT '{m}' AS metric, round(avg({m}), {DIGITS}) AS mean, "
+        f"round(stddev_pop({m}), {DIGITS}) AS std FROM metrics"
         for m in METRIC_NAMES
     ),
     "oof_metrics": judged_metrics(", ".join(METRIC_NAMES)),

@@ -88,6 +88,12 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df
 
 
+def _metric(df: DataFrame) -> DataFrame:
+    """All metric columns, to ten digits."""
+    values = [c for c, kind in df.dtypes if kind == "double"]
+    return _rounded(df, *values, digits=10)
+
+
 def _wide(df: DataFrame, lead: tuple[str, ...], width: int = WIDTH, digits: int = 6):
     wide = to_wide(df, width, lead=lead)
     return wide.select(*lead, *[F.round(c, digits).alias(c) for c in wide.columns[len(lead) :]])
@@ -441,24 +447,24 @@ def self_training(spark, folder):
 
 
 def roc_auc(spark, folder):
-    return _rounded(ranking_metrics(_judged(spark, folder)).select("auc"), "auc", digits=9)
+    return _metric(ranking_metrics(_judged(spark, folder)).select("auc"))
 
 
 def average_precision(spark, folder):
-    return _rounded(ranking_metrics(_judged(spark, folder)).select("pr_auc"), "pr_auc", digits=9)
+    return _metric(ranking_metrics(_judged(spark, folder)).select("pr_auc"))
 
 
 def accuracy(spark, folder):
-    return _rounded(threshold_metrics(_judged(spark, folder)).select("accuracy"), "accuracy")
+    return _metric(threshold_metrics(_judged(spark, folder)).select("accuracy"))
 
 
 def precision_recall_f1(spark, folder):
     columns = ("precision", "recall", "f1")
-    return _rounded(threshold_metrics(_judged(spark, folder)).select(*columns), *columns)
+    return _metric(threshold_metrics(_judged(spark, folder)).select(*columns))
 
 
 def mse(spark, folder):
-    return _rounded(threshold_metrics(_judged(spark, folder)).select("mse"), "mse")
+    return _metric(threshold_metrics(_judged(spark, folder)).select("mse"))
 
 
 def confusion_matrix(spark, folder):
@@ -466,22 +472,19 @@ def confusion_matrix(spark, folder):
 
 
 def per_fold(spark, folder):
-    metrics = fold_metrics(_folded(spark, folder))
-    return _rounded(metrics, *metrics.columns[1:])
+    return _metric(fold_metrics(_folded(spark, folder)))
 
 
 def summary(spark, folder):
-    return _rounded(fold_summary(fold_metrics(_folded(spark, folder))), "mean", "std")
+    return _metric(fold_summary(fold_metrics(_folded(spark, folder))))
 
 
 def pooled(spark, folder):
-    metrics = metrics_at_cut(_folded(spark, folder))
-    return _rounded(metrics, *metrics.columns)
+    return _metric(metrics_at_cut(_folded(spark, folder)))
 
 
 def at_cut(spark, folder):
-    metrics = metrics_at_cut(_judged(spark, folder), 0.6)
-    return _rounded(metrics, *metrics.columns)
+    return _metric(metrics_at_cut(_judged(spark, folder), 0.6))
 
 
 # Evaluation
