@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from labelspring.llm.decontaminate import contamination
+from labelspring.llm.lines import without_boilerplate
 from labelspring.llm.minhash import near_duplicates
+from labelspring.llm.quality import quality_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +24,108 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), words=2, percent=80)
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts of every document and its verdict, the host's included."""
+    return quality_verdicts(_table(spark, folder, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document the benchmark items that it holds, substitutions allowed."""
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text without its host's boilerplate lines, as length and digest."""
+    cleaned = without_boilerplate(_table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("_n_dropped").alias("n_dropped"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+QUALITY = r"""
+WITH texts AS (
+  SELECT doc_id, source,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) AS n_symbols
+  FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts
+), windows AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w AS t
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, t FROM windows WHERE t IS NOT NULL GROUP BY doc_id, t HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows JOIN twice USING (doc_id, t))
+  GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, source, len(words) AS n_words,
+    length(array_to_string(words, '')) AS word_chars, n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM texts LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+      OR 100 * n_dup_lines > 30 * n_lines AS failed
+  FROM counted
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS bad FROM judged GROUP BY source
+), moments AS (
+  SELECT sum(bad) / sum(n) AS mean, count(*) / sum(n) AS spread,
+    sum(bad * bad / n) / sum(n) AS squares FROM hosts
+), prior AS (
+  SELECT mean, squares - mean * mean - mean * (1 - mean) * spread AS between_hosts FROM moments
+), weighted AS (
+  SELECT mean, CASE WHEN between_hosts > 0
+    THEN least(1e6, greatest(0, mean * (1 - mean) / between_hosts - 1)) ELSE 1e6 END AS k FROM prior
+), verdicts AS (
+  SELECT source, (bad + mean * k) / (n + k) > 0.5 AS host_failed FROM hosts, weighted
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, host_failed,
+  NOT base_failed AND NOT host_failed AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+LINES = r"""
+WITH split AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+), placed AS (
+  SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split
+), stripped AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM placed
+), counted AS (
+  SELECT source, bare, count(DISTINCT doc_id) AS n FROM stripped WHERE bare <> '' GROUP BY ALL
+), hosts AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+bad AS (
+  SELECT source, bare FROM counted JOIN hosts USING (source) WHERE n >= 3 AND n > total * 0.1
+), rest AS (
+  SELECT doc_id, count(*) FILTER (WHERE bad.bare IS NOT NULL) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.bare IS NULL), '') AS text
+  FROM stripped LEFT JOIN bad ON stripped.source = bad.source AND stripped.bare = bad.bare
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(n_dropped AS BIGINT) AS n_dropped,
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+FROM rest
+"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op2_quality_rules": QUALITY,
+    "op10_line_dedup": LINES,
+}

@@ -53,13 +53,17 @@ class Membership:
 
     It only thins out the rows that an exact join sees next. Built by Spark,
     one word of 64 bits to a row, so the driver gets at most ``bits / 64`` rows.
+    ``bits`` is a power of two. Each value sets the bits that :meth:`probes` names.
     """
 
-    def __init__(self, values: DataFrame, column: str, bits: int = FILTER_BITS):
-        at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    def __init__(self, values: DataFrame, column: str, bits: int = FILTER_BITS, hashed=False):
+        key = F.col(column).cast("long")
+        key = key if hashed else F.xxhash64(key)
+        at = F.explode(F.array(*[F.pmod(part, F.lit(bits)) for part in (key, F.shiftright(key, 32))]))
         words = (
             values.where(F.col(column).isNotNull())
-            .select((at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+            .select(at.alias("at"))
+            .select((F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
             .groupBy("word")
             .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
         )
@@ -69,28 +73,30 @@ class Membership:
         self.bits = bits
         self.sent = values.sparkSession.sparkContext.broadcast(mask)
 
-    def position(self, column: str) -> Column:
-        """The place of a value in the bitmap, to be computed before :meth:`holds`."""
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
-
-    def holds(self, positions: np.ndarray) -> np.ndarray:
-        words = self.sent.value[positions >> 6].view(np.uint64)
-        return (words >> (positions & 63).astype(np.uint64)) & np.uint64(1) == 1
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """For 64-bit hashes, whether both their bits are set."""
+        out = np.ones(len(hashes), bool)
+        words = self.sent.value
+        for at in (hashes.view(np.int64), hashes.view(np.int64) >> 32):
+            at = at & (self.bits - 1)
+            out &= (words[at >> 6] >> (at & 63)) & 1 == 1
+        return out
 
 
 def thinned(rows: DataFrame, members: Membership, column: str) -> DataFrame:
     """The rows whose ``column`` may be a member; all rows that are one stay."""
 
     def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
             at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             mask = members.holds(at)
             if mask.any():
-                import pyarrow as pa
-
                 yield batch.drop_columns(["_at"]).filter(pa.array(mask))
 
-    return rows.select("*", members.position(column).alias("_at")).mapInArrow(keep, rows.schema)
+    hashed = rows.select("*", F.xxhash64(F.col(column).cast("long")).alias("_at"))
+    return hashed.mapInArrow(keep, rows.schema)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
