@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from labelspring.llm.archives import archive_index
 from labelspring.llm.decontaminate import contamination
+from labelspring.llm.licenses import COPYRIGHT_LINE, KNOWN_LICENSES, SPELLINGS, license_scan
 from labelspring.llm.lines import without_boilerplate
 from labelspring.llm.minhash import near_duplicates
+from labelspring.llm.mixing import mixed
 from labelspring.llm.quality import quality_verdicts
+from labelspring.llm.scoring import pseudo_likelihood
+from labelspring.llm.urls import url_host, url_path, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,11 +35,99 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document under a network of the corpus."""
+    return pseudo_likelihood(_table(spark, folder, "documents"))
+
+
+START = 1_704_067_200  # 2024-01-01, UTC
+
+
+def _draw(value: Column, tag: str) -> Column:
+    """An integer from a text, the same in SQL."""
+    return F.conv(F.substring(F.md5(F.concat(value, F.lit(tag))), 1, 8), 16, 10).cast("long")
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """The pages, spread over two years by their ids."""
+    second = F.pmod(F.col("page_id") * 7919, F.lit(63_072_000)) + START
+    return pages.select("page_id", "url", F.timestamp_seconds(second).alias("fetched"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list about the pages' own hosts, domains and paths.
+
+    A third of the hosts are added, removed and in part added again; some
+    domains and paths are added for good.
+    """
+    urls = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    hosts = urls.select(F.col("host").alias("pattern")).where("host <> ''").distinct()
+    hosts = hosts.withColumn("h", _draw(F.col("pattern"), "host")).where("h % 3 = 0")
+    domains = urls.select(F.regexp_extract("host", "([^.]+\\.[^.]+)$", 1).alias("pattern"))
+    domains = domains.where("pattern <> ''").distinct()
+    domains = domains.withColumn("h", _draw(F.col("pattern"), "domain")).where("h % 7 = 0")
+    paths = urls.where("host <> '' and length(path) > 1").select(F.concat("host", "path").alias("pattern"))
+    paths = paths.distinct().withColumn("h", _draw(F.col("pattern"), "path")).where("h % 5 = 0")
+
+    def entry(rows: DataFrame, action: str, day: str) -> DataFrame:
+        at = F.timestamp_seconds(F.expr(day) * 86400 + START)
+        return rows.select("pattern", F.lit(action).alias("action"), at.alias("dated"))
+
+    return (
+        entry(hosts, "add", "h % 200")
+        .union(entry(hosts, "remove", "h % 200 + 60 + h % 90"))
+        .union(entry(hosts.where("h % 2 = 0"), "add", "h % 200 + 400"))
+        .union(entry(domains, "add", "h % 700"))
+        .union(entry(paths, "add", "h % 365"))
+    )
+
+
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """For every page the list entries that were active when it was fetched."""
+    pages = _table(spark, folder, "pages")
+    verdicts = url_verdicts(page_captures(pages), dated_list(pages))
+    return verdicts.select(
+        "page_id",
+        "n_active",
+        "pattern",
+        F.unix_seconds("valid_from").alias("valid_from"),
+        "kept",
+    )
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document the licences whose entire text it, or one of its lines, is."""
+    known = spark.createDataFrame(KNOWN_LICENSES, "license_id string, text string")
+    return license_scan(_table(spark, folder, "documents"), known)
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, from the merged index of the archives that hold it."""
+    pages = _table(spark, folder, "pages")
+    at = F.timestamp_seconds(F.pmod(F.col("page_id") * 7919, F.lit(63_072_000)) + START)
+    captured = pages.withColumn("captured", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return archive_index(captured).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """For every document the benchmark items that it holds, substitutions allowed."""
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's domain posteriors and the rate at which it is to be read."""
+    documents = _table(spark, folder, "documents")
+    labelled = corpus_pipeline.domains(_table(spark, folder, "labels"))
+    targets = corpus_pipeline.TARGETS
+    rows = mixed(documents, labelled, targets)
+    posteriors = [
+        F.round(F.col("posterior")[i], 6).alias(f"p_{name}") for i, name in enumerate(targets)
+    ]
+    return rows.select("doc_id", "n_tokens", *posteriors, F.round("rate", 6).alias("rate"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text without its host's boilerplate lines, as length and digest."""
     cleaned = without_boilerplate(_table(spark, folder, "documents"))
@@ -48,8 +142,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_url_filters": op4_url_filters,
+    "op5_license_scan": op5_license_scan,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
+    "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 QUALITY = r"""
@@ -125,7 +225,101 @@ SELECT doc_id, CAST(n_dropped AS BIGINT) AS n_dropped,
 FROM rest
 """
 
+URLS = r"""
+WITH parsed AS (
+  SELECT page_id, url, page_id * 7919 % 63072000 AS fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]*)', 1) AS path
+  FROM pages
+), named AS (
+  SELECT DISTINCT host AS pattern, 'host' AS tag FROM parsed WHERE host <> ''
+  UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1), 'domain' FROM parsed
+    WHERE regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
+  UNION SELECT host || path, 'path' FROM parsed WHERE host <> '' AND length(path) > 1
+), drawn AS (
+  SELECT pattern, tag, CAST('0x' || substr(md5(pattern || tag), 1, 8) AS BIGINT) AS h FROM named
+), entries AS (
+  SELECT pattern, 'add' AS action, h % 200 AS day FROM drawn WHERE tag = 'host' AND h % 3 = 0
+  UNION SELECT pattern, 'remove', h % 200 + 60 + h % 90 FROM drawn WHERE tag = 'host' AND h % 3 = 0
+  UNION SELECT pattern, 'add', h % 200 + 400 FROM drawn WHERE tag = 'host' AND h % 6 = 0
+  UNION SELECT pattern, 'add', h % 700 FROM drawn WHERE tag = 'domain' AND h % 7 = 0
+  UNION SELECT pattern, 'add', h % 365 FROM drawn WHERE tag = 'path' AND h % 5 = 0
+), changes AS (
+  SELECT lower(pattern) AS pattern, day * 86400 AS dated, max(action) AS action
+  FROM entries GROUP BY ALL
+), labelled AS (
+  SELECT *, string_split(host, '.') AS labels FROM parsed WHERE host <> ''
+), asked AS (
+  SELECT DISTINCT page_id, fetched, unnest(list_concat(
+    list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.')),
+    CASE WHEN length(path) > 1 THEN [host || path] ELSE [] END)) AS pattern
+  FROM labelled
+), latest AS (
+  SELECT page_id, asked.pattern, dated, action
+  FROM asked ASOF JOIN changes ON asked.pattern = changes.pattern AND asked.fetched >= changes.dated
+), active AS (
+  SELECT page_id, count(*) AS n_active,
+    min(struct_pack(l := -length(pattern), p := pattern, d := dated)) AS best
+  FROM latest WHERE action = 'add' GROUP BY page_id
+)
+SELECT page_id, CAST(coalesce(n_active, 0) AS BIGINT) AS n_active, best.p AS pattern,
+  CAST(best.d + 1704067200 AS BIGINT) AS valid_from, n_active IS NULL AS kept
+FROM pages LEFT JOIN active USING (page_id)
+"""
+
+WARC = """
+WITH paid AS (
+  SELECT page_id, coalesce(html, '') AS html,
+    CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+), typed AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html)
+    ELSE page_id END AS response FROM paid
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM typed
+"""
+
+
+def _licenses_sql() -> str:
+    """The canonical forms as SQL, from the same patterns."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        sql = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '\\r\\n?', chr(10), 'g'), {quoted(COPYRIGHT_LINE)}, '', 'g')"
+        for pattern, written in SPELLINGS:
+            target = written.replace("$", "\\")
+            sql = f"regexp_replace({sql}, {quoted(pattern)}, {quoted(target)}, 'g')"
+        spaced = f"regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        trimmed = f"list_transform(string_split({spaced}, chr(10)), lambda line: trim(line, ' '))"
+        return f"list_filter({trimmed}, lambda line: line <> '')"
+
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN_LICENSES)
+    return f"""
+WITH known AS (
+  SELECT array_to_string({form("t")}, ' ') AS form, min(i) AS license_id
+  FROM (VALUES {known}) AS given(i, t) GROUP BY 1
+), formed AS (
+  SELECT doc_id, {form("text")} AS lines FROM documents
+), whole AS (
+  SELECT doc_id, lines, array_to_string(lines, ' ') AS form FROM formed
+), noticed AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids
+  FROM (SELECT doc_id, unnest(lines) AS line FROM whole) JOIN known ON line = form GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN whole.form <> '' THEN sha256(whole.form) END AS text_digest,
+  license_id, coalesce(notice_ids, '') AS notice_ids
+FROM whole LEFT JOIN known ON whole.form = known.form LEFT JOIN noticed USING (doc_id)
+"""
+
+
 LLM_ORACLE: dict[str, str] = {
     "op2_quality_rules": QUALITY,
+    "op4_url_filters": URLS,
+    "op5_license_scan": _licenses_sql(),
+    "op6_warc": WARC,
     "op10_line_dedup": LINES,
 }
