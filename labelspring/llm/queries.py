@@ -16,6 +16,7 @@ from labelspring.llm.minhash import near_duplicates
 from labelspring.llm.mixing import mixed
 from labelspring.llm.quality import quality_verdicts
 from labelspring.llm.scoring import pseudo_likelihood
+from labelspring.llm.suffixes import repeat_report
 from labelspring.llm.urls import url_host, url_path, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +117,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that stand elsewhere too."""
+    return repeat_report(_table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's domain posteriors and the rate at which it is to be read."""
     documents = _table(spark, folder, "documents")
@@ -147,6 +153,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,

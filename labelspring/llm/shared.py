@@ -83,7 +83,7 @@ class Membership:
         return out
 
 
-def thinned(rows: DataFrame, members: Membership, column: str) -> DataFrame:
+def thinned(rows: DataFrame, members: Membership, column: str, hashed=False) -> DataFrame:
     """The rows whose ``column`` may be a member; all rows that are one stay."""
 
     def keep(batches: Iterator) -> Iterator:
@@ -95,8 +95,9 @@ def thinned(rows: DataFrame, members: Membership, column: str) -> DataFrame:
             if mask.any():
                 yield batch.drop_columns(["_at"]).filter(pa.array(mask))
 
-    hashed = rows.select("*", F.xxhash64(F.col(column).cast("long")).alias("_at"))
-    return hashed.mapInArrow(keep, rows.schema)
+    key = F.col(column).cast("long")
+    placed = rows.select("*", (key if hashed else F.xxhash64(key)).alias("_at"))
+    return placed.mapInArrow(keep, rows.schema)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
