@@ -8,15 +8,15 @@ one id link whatever each of them is near to. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm.components import connected_components
-from labelspring.llm.shared import Membership, spread_join, thinned
+from labelspring.llm.shared import Membership, spread_join, thinned, union_all
 from labelspring.llm.tokens import (
     LOWER,
     letters,
@@ -33,6 +33,8 @@ from labelspring.sources.scratch import drop_table, new_path, write_table
 BANDS, ROWS = 50, 6
 #: Standard deviations that the estimate from the minima may lie below the bound.
 SLACK = 6.0
+#: Turns in which each bucket's classes meet DRAWN of them, before all that are still apart meet.
+TURNS, DRAWN = 3, 8
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, minima binary"
 
@@ -134,14 +136,12 @@ def _estimated(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFr
     return rows.mapInArrow(agree, "u long, v long").distinct()
 
 
-def _confirmed(
-    pairs: DataFrame, docs: DataFrame, words: int, percent: int
-) -> tuple[DataFrame, str]:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are as similar as asked for, written."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    at_sets, at_pairs = new_path(spark, "sets"), new_path(spark, "near")
-    sets = write_table(full_sets(docs, nodes, words), at_sets)
     u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     common = F.size(F.array_intersect("set_u", "set_v"))
@@ -151,9 +151,7 @@ def _confirmed(
         .select("u", "v", (F.size("set_u") + F.size("set_v")).alias("sizes"), common.alias("common"))
         .where(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent)
     )
-    written = write_table(near.select("u", "v").distinct(), at_pairs)
-    drop_table(spark, at_sets)
-    return written, at_pairs
+    return write_table(near.select("u", "v").distinct(), new_path(pairs.sparkSession, "near"))
 
 
 def near_duplicates(
@@ -164,31 +162,34 @@ def near_duplicates(
     Documents are linked if the distinct shingles of ``words`` words have a
     Jaccard similarity of at least ``percent`` / 100. Equal sets are one class,
     so copies are never paired. In each bucket of a band all classes are compared
-    with the smallest; classes of one bucket that are then still in different
-    components are compared with each other, so no link is left to chance but
-    for the banding. Every link is confirmed on the full sets.
+    with the smallest. Where a bucket still has several components, the classes'
+    shingles that no other such class has bound how similar any two can be. Within
+    that bound classes meet, in turns, a few others drawn by a hash, which joins
+    large groups, and then all that are still apart. So no link is left to chance
+    but for the banding. Every link is confirmed on the full sets.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    paths = {
-        n: new_path(spark, n)
-        for n in ("signed", "classes", "buckets", "shared", "first", "rest", "labels", "moved")
-    }
-    signed = write_table(signatures(docs, words), paths["signed"])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return write_table(df, new_path(spark, name))
+
+    signed = kept(signatures(docs, words), "signed")
     identity = ["set_a", "set_b", "n_shingles"]
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = write_table(
+    classes = kept(
         linked.groupBy(*identity).agg(
             F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")
         ),
-        paths["classes"],
+        "classes",
     )
     named = classes.select(*identity, F.col("node").alias("doc_id"))
+    at_buckets = new_path(spark, "buckets")
     buckets = write_table(
         linked.join(named, [*identity, "doc_id"], "left_semi")
         .dropDuplicates([*identity, "doc_id"])
         .select(F.explode("bands").alias("band"), F.col("doc_id").alias("node")),
-        paths["buckets"],
+        at_buckets,
     )
     leaders = (
         buckets.groupBy("band")
@@ -196,33 +197,54 @@ def near_duplicates(
         .where("leader < last")
         .drop("last")
     )
-    shared = write_table(spread_join(buckets, leaders, ["band"], "node"), paths["shared"])
-    drop_table(spark, paths["buckets"])
-    similarity = percent / 100
-
-    def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
-        asked = write_table(pairs.distinct(), new_path(spark, "asked"))
-        likely = write_table(_estimated(asked, signed, similarity), paths[name])
-        return _confirmed(likely, docs, words, percent)[0]
-
-    first = linked_pairs(
-        shared.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")),
-        "first",
+    shared = kept(spread_join(buckets, leaders, ["band"], "node"), "shared")
+    drop_table(spark, at_buckets)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return kept(_estimated(pairs, signed, percent / 100), "likely")
+
+    stars = shared.where("node <> leader")
+    stars = stars.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    stars = likely(kept(stars, "asked"))
+    at_sets = new_path(spark, "sets")
+    links = [_confirmed(stars, write_table(full_sets(docs, _ends(stars), words), at_sets), percent)]
+    drop_table(spark, at_sets)
+    components = kept(connected_components(links[0]), "components")
+    own = components.select("node", F.col("component").alias("own"))
+    open_buckets = kept(
+        _mixed_buckets(
+            spread_join(shared.drop("leader"), own, ["node"], "band", "left").select(
+                "band", "node", F.coalesce("own", "node").alias("own")
+            )
+        ),
+        "open",
     )
-    labels = write_table(connected_components(first), paths["labels"])
-    rest = linked_pairs(_apart(shared, labels), "rest")
-    if not rest.isEmpty():
-        labels = connected_components(first.unionByName(rest))
-    at_class = classes.join(labels, "node", "left").select(
+    sets = kept(full_sets(docs, open_buckets.select("node").distinct(), words), "sets")
+    bounds = kept(_bounds(sets), "bounds")
+    linkable = bounds.where(F.col("rare") * 100 <= F.col("size") * (100 - percent))
+    open_buckets = kept(_mixed_buckets(open_buckets.join(linkable, "node")), "open")
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        return _confirmed(likely(pairs), sets, percent)
+
+    for turn in range(TURNS):
+        asked = _drawn_pairs(open_buckets, bounds, turn, percent)
+        found, open_buckets = _turn(open_buckets, asked, linked_pairs)
+        links += found
+        if not found:
+            break
+    links += _turn(open_buckets, _all_pairs(open_buckets, percent), linked_pairs)[0]
+    if len(links) > 1:
+        components = kept(connected_components(union_all(links).distinct()), "components")
+
+    at_class = classes.join(components, "node", "left").select(
         *identity, "copies", "node", F.coalesce("component", "node").alias("component_id")
     )
-    moved = write_table(
+    moved = kept(
         at_class.where("copies > 1 or component_id <> node").select(*identity, "component_id"),
-        paths["moved"],
+        "moved",
     )
-    sizes = signed.select("doc_id", *identity)
-    found = spread_join(sizes, moved, identity, "doc_id", "left")
-    drop_table(spark, paths["shared"])
+    found = spread_join(signed.select("doc_id", *identity), moved, identity, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
         "doc_id",
@@ -232,24 +254,93 @@ def near_duplicates(
     )
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components, but for those of leaders.
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """The rows of ``band, node, own`` whose bucket holds more than one component."""
+    mixed = (
+        placed.groupBy("band")
+        .agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        .where("low < high")
+        .select("band")
+    )
+    return placed.join(mixed, "band", "left_semi")
+
+
+def _bounds(sets: DataFrame) -> DataFrame:
+    """``node, size, rare``: the size of each set, and how much of it no other set has."""
+    rare = (
+        sets.select("node", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        .where("node = last")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("rare"))
+    )
+    sizes = sets.select("node", F.size("shingles").alias("size"))
+    return sizes.join(rare, "node", "left").select("node", "size", F.coalesce("rare", F.lit(0)).alias("rare"))
+
+
+def _reachable(percent: int) -> Column:
+    """Whether two sets can be similar, if they have all in common that is not rare."""
+    most = F.least(F.col("size") - F.col("rare"), F.col("size_u") - F.col("rare_u"))
+    return most * 100 >= (F.col("size") + F.col("size_u") - most) * percent
+
+
+def _turn(
+    open_buckets: DataFrame, asked: DataFrame, linked_pairs: Callable[[DataFrame], DataFrame]
+) -> tuple[list[DataFrame], DataFrame]:
+    """The links among ``u, v, own_u, own_v``, and the buckets that are open after them."""
+    spark = open_buckets.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return write_table(df, new_path(spark, name))
+
+    asked = kept(asked, "asked")
+    if asked.isEmpty():
+        return [], open_buckets
+    found = linked_pairs(asked.select("u", "v").distinct())
+    met = asked.join(found, ["u", "v"]).select(
+        F.col("own_u").alias("u"), F.col("own_v").alias("v")
+    )
+    joined = kept(connected_components(met), "joined").select(
+        F.col("node").alias("own"), F.col("component").alias("to")
+    )
+    if joined.isEmpty():
+        return [], open_buckets
+    placed = spread_join(open_buckets, joined, ["own"], "node", "left").select(
+        "band", "node", F.coalesce("to", "own").alias("own"), "size", "rare"
+    )
+    return [found], kept(_mixed_buckets(placed), "open")
+
+
+def _drawn_pairs(
+    open_buckets: DataFrame, bounds: DataFrame, turn: int, percent: int
+) -> DataFrame:
+    """Each node of a bucket with DRAWN others of it that are in other components."""
+    order = [F.xxhash64("node", F.lit(turn * DRAWN + k)) for k in range(DRAWN)]
+    drawn = open_buckets.groupBy("band").agg(
+        *[F.min_by("node", o).alias(f"n{k}") for k, o in enumerate(order)],
+        *[F.min_by("own", o).alias(f"o{k}") for k, o in enumerate(order)],
+    )
+    each = [F.struct(F.col(f"n{k}").alias("u"), F.col(f"o{k}").alias("own_u")) for k in range(DRAWN)]
+    leaders = drawn.select("band", F.explode(F.array_distinct(F.array(*each))).alias("drawn"))
+    limits = bounds.select(
+        F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("rare").alias("rare_u")
+    )
+    leaders = leaders.select("band", "drawn.*").join(limits, "u")
+    met = spread_join(open_buckets, leaders, ["band"], "node")
+    return (
+        met.where((F.col("own") != F.col("own_u")) & _reachable(percent))
+        .select("u", F.col("node").alias("v"), "own_u", F.col("own").alias("own_v"))
+        .distinct()
+    )
+
+
+def _all_pairs(open_buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in one bucket and different components.
 
     The largest component of a bucket is the one side; what is not in it meets
     all that is in another component. Pairs inside a component are not made.
     """
-    spark = shared.sparkSession
-    placed = write_table(
-        spread_join(shared, labels.withColumnRenamed("component", "own"), ["node"], "band", "left")
-        .select("band", "leader", "node", F.coalesce("own", "node").alias("own")),
-        new_path(spark, "placed"),
-    )
-    mixed = placed.groupBy("band").agg(
-        F.min("own").alias("low"), F.max("own").alias("high")
-    ).where("low < high").select("band")
-    open_buckets = write_table(
-        placed.join(mixed, "band", "left_semi"), new_path(spark, "open")
-    )
     main = (
         open_buckets.groupBy("band", "own")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -259,12 +350,13 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     minor = (
         open_buckets.join(main, "band")
         .where("own <> main")
-        .select("band", F.col("node").alias("other"), F.col("own").alias("other_own"), "main")
+        .select("band", "main", *[F.col(c).alias(f"{c}_u") for c in ("node", "own", "size", "rare")])
+        .withColumnRenamed("node_u", "u")
     )
     met = spread_join(open_buckets, minor, ["band"], "node").where(
-        "own <> other_own and (own = main or node < other) and leader <> node and leader <> other"
+        F.expr("own <> own_u and (own = main or node < u)") & _reachable(percent)
     )
-    return met.select(F.greatest("node", "other").alias("v"), F.least("node", "other").alias("u"))
+    return met.select("u", F.col("node").alias("v"), "own_u", F.col("own").alias("own_v")).distinct()
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
