@@ -27,7 +27,7 @@ COPYRIGHT_LINE = (
 SPELLINGS = (
     (r"\(c\)|©", "copyright"),
     (r"https://", "http://"),
-    (r"\b(sub)?[ -]?licence(s|d)?\b", "$1license$2"),
+    (r"\b(sub)?licence", "$1license"),
     (r"\bsub[ -]license", "sublicense"),
     (r"\bnon[ -]commercial", "noncommercial"),
     (r"\borganisation", "organization"),

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier, fitted to labelled documents, gives every document a posterior
-over the domains. A nonnegative rate for each document is then fitted, so that
-the expected tokens of each domain, ``sum(rate * tokens * posterior)``, come as
-near to the targets as they can, in the least-squares sense.
+over the domains. A nonnegative rate for each document is then fitted by least
+squares, so that the expected tokens of each domain, ``sum(rate * tokens *
+posterior)``, match the targets; a small weight on ``tokens * (rate - 1)^2``
+makes the rates unique, and keeps them moderate where no rates meet the targets.
 
 NULL and empty texts have no tokens, a posterior from the intercept alone, and
 change no total. Rows are mixed one by one, so a repeated row counts again.
@@ -31,8 +32,10 @@ FIT_ROWS = 10_000
 #: Buckets that words are hashed to.
 FEATURES = 512
 STEPS, RATE, DECAY = 300, 4.0, 1e-4
-#: Passes over the posteriors, and the relative miss at which they end.
-PASSES, CLOSE = 30, 1e-6
+#: Weight of the rates' distance from 1, in squared shares of all tokens.
+RIDGE = 1e-3
+#: Passes over the posteriors, and the relative gradient at which they end.
+PASSES, CLOSE = 40, 1e-9
 
 
 @dataclass
@@ -113,28 +116,27 @@ def fit_softmax(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def rates(posteriors: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """The rates after the projected steps so far, all of them 1 at first."""
-    r = np.ones(len(posteriors))
-    for step in history:
-        r = np.maximum(0.0, r - posteriors @ step)
-    return r
+def rates(posteriors: np.ndarray, push: np.ndarray) -> np.ndarray:
+    """The rates that the domains' push gives, projected on what is not negative."""
+    return np.maximum(0.0, 1.0 - posteriors @ push)
 
 
-def _totals(members: DataFrame, history: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of the domains at the rates, and their derivatives, in one pass."""
+def _totals(members: DataFrame, push: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """In one pass: ``sum(n r^2)``, expected tokens of the domains, and their derivatives."""
+    k = len(push)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, slope = np.zeros(k), np.zeros((k, k))
+        square, total, slope = 0.0, np.zeros(k), np.zeros((k, k))
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            r = rates(p, history)
+            r = rates(p, push)
+            square += float((n * r) @ r)
             total += (r * n) @ p
             slope += (p * (n * (r > 0))[:, None]).T @ p
-        values = np.concatenate([total, slope.ravel()])
+        values = np.concatenate([[square], total, slope.ravel()])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["cell", "value"]
         )
@@ -142,47 +144,58 @@ def _totals(members: DataFrame, history: list[np.ndarray], k: int) -> tuple[np.n
     sums = members.mapInArrow(partial, "cell int, value double").groupBy("cell").agg(
         F.sum("value").alias("value")
     )
-    values = np.zeros(k + k * k)
+    values = np.zeros(1 + k + k * k)
     for row in sums.collect():
         values[row["cell"]] = row["value"]
-    return values[:k], values[k:].reshape(k, k)
+    return float(values[0]), values[1 : 1 + k], values[1 + k :].reshape(k, k)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Projected steps that bring ``n_tokens, posterior`` to the targets, and the totals there.
+def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The domains' push whose rates solve the least squares, and the expected tokens there.
 
-    Each step follows the gradient of the squared miss, scaled by the inverse of
-    the active rows' second moments, and is halved while it does not help. The
-    driver sees one sum for each domain and pair of domains.
+    The gradient for a document depends on its posteriors and on the domains'
+    misses alone, so the rates are a projection of ``1 - posterior @ push``.
+    Each pass takes the gradient of all documents at once, scaled by the active
+    documents' second moments, and halves the step while the objective does not
+    fall. The driver sees sums by domain and pair of domains.
     """
     k = len(targets)
-    history: list[np.ndarray] = []
-    total, slope = _totals(members, history, k)
-    scale = max(float(np.abs(targets).sum()), 1.0)
-    miss, size = total - targets, 1.0
+    push = np.zeros(k)
+    square, total, slope = _totals(members, push)
+    ridge = RIDGE * max(float(targets.sum()), 1.0)
+
+    def objective(at: np.ndarray, squares: float) -> float:
+        return float(ridge * (at @ at) / 2 + squares / 2 + targets @ at)
+
+    value, size = objective(push, square), 1.0
+    step = None
     for _ in range(PASSES):
-        if np.abs(miss).sum() <= CLOSE * scale or size < 1e-3 or not slope.any():
+        gradient = ridge * push - total + targets
+        if step is None:
+            step = np.linalg.solve(slope + ridge * np.eye(k), gradient)
+        if np.abs(gradient).sum() <= CLOSE * max(float(targets.sum()), 1.0):
             break
-        ridge = 1e-9 * np.trace(slope) * np.eye(k)
-        step = size * np.linalg.solve(slope + ridge, miss)
-        found, curved = _totals(members, [*history, step], k)
-        if (found - targets) @ (found - targets) < miss @ miss:
-            history.append(step)
-            total, slope, miss, size = found, curved, found - targets, min(1.0, 2 * size)
+        moved = push - size * step
+        squares, found, curved = _totals(members, moved)
+        if objective(moved, squares) <= value - 1e-4 * size * float(gradient @ step):
+            push, total, slope, value = moved, found, curved, objective(moved, squares)
+            step, size = None, 1.0
         else:
-            size /= 4
-    return history, total
+            size /= 2
+            if size < 1e-6:
+                break
+    return push, total
 
 
 def with_posteriors(
-    documents: DataFrame, model: DomainModel, history: list[np.ndarray] | None = None
+    documents: DataFrame, model: DomainModel, push: np.ndarray | None = None
 ) -> DataFrame:
     """Add ``n_tokens`` and ``posterior`` (in the order of the domains), and ``rate`` on request."""
     added = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("posterior", T.ArrayType(T.DoubleType())),
     ]
-    if history is not None:
+    if push is not None:
         added.append(T.StructField("rate", T.DoubleType()))
     names = [f.name for f in added]
     rows = documents.drop(*names)
@@ -197,8 +210,8 @@ def with_posteriors(
                 flat = pa.array(p.ravel())
                 at = pa.array(np.arange(0, len(flat) + 1, k, dtype=np.int32))
                 columns = [pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(at, flat)]
-                if history is not None:
-                    columns.append(pa.array(rates(p, history)))
+                if push is not None:
+                    columns.append(pa.array(rates(p, push)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *columns], [*part.schema.names, *names]
                 )
@@ -220,5 +233,5 @@ def mixed(documents: DataFrame, labelled: DataFrame, weights: dict[str, float])
     )
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     shares = np.array([weights[d] for d in domains], np.float64)
-    history, _ = fit_rates(members, shares / shares.sum() * total)
-    return with_posteriors(documents, model, history)
+    push, _ = fit_rates(members, shares / shares.sum() * total)
+    return with_posteriors(documents, model, push)
