@@ -25,6 +25,11 @@ def h(key: str, tag: str) -> str:
     return f"CAST(('0x' || substr({digest(key, tag)}, 1, 8)) AS BIGINT)"
 
 
+def wide_h(key: str, tag: str) -> str:
+    """60 bits of the digest, by which positions in a pool are drawn."""
+    return f"CAST(('0x' || substr({digest(key, tag)}, 1, 15)) AS BIGINT)"
+
+
 def rank(order: str, by: str = "", key: str = "row_id") -> str:
     part = f"PARTITION BY {by} " if by else ""
     return f"(row_number() OVER ({part}ORDER BY {order}, {key}) - 1)"
@@ -92,9 +97,9 @@ def same(start: int, stop: int) -> str:
   SELECT d.p AS pair_id, a.row_id AS a, b.row_id AS b, CAST(1 AS DOUBLE) AS label
   FROM (
     SELECT p, cls, a_idx,
-           CASE WHEN m > 1 THEN (a_idx + 1 + {h("p", "b")} % greatest(m - 1, 1)) % m
+           CASE WHEN m > 1 THEN (a_idx + 1 + {wide_h("p", "b")} % greatest(m - 1, 1)) % m
                 ELSE a_idx END AS b_idx
-    FROM (SELECT i.p, s."LABEL" AS cls, s.m, {h("i.p", "a")} % s.m AS a_idx
+    FROM (SELECT i.p, s."LABEL" AS cls, s.m, {wide_h("i.p", "a")} % s.m AS a_idx
           FROM (SELECT unnest(range({start}, {stop})) AS p) i
           JOIN sizes s ON s."LABEL" = {h("i.p", "cls")} % 2)) d
   JOIN pool a ON a."LABEL" = d.cls AND a.idx = d.a_idx
@@ -104,8 +109,8 @@ def same(start: int, stop: int) -> str:
 def cross(start: int, stop: int) -> str:
     return f"""
   SELECT d.p AS pair_id, a.row_id AS a, b.row_id AS b, CAST(0 AS DOUBLE) AS label
-  FROM (SELECT p, {h("p", "pos")} % (SELECT m FROM sizes WHERE "LABEL" = 1) AS a_idx,
-               {h("p", "neg")} % (SELECT m FROM sizes WHERE "LABEL" = 0) AS b_idx
+  FROM (SELECT p, {wide_h("p", "pos")} % (SELECT m FROM sizes WHERE "LABEL" = 1) AS a_idx,
+               {wide_h("p", "neg")} % (SELECT m FROM sizes WHERE "LABEL" = 0) AS b_idx
         FROM (SELECT unnest(range({start}, {stop})) AS p)) d
   JOIN pool a ON a."LABEL" = 1 AND a.idx = d.a_idx
   JOIN pool b ON b."LABEL" = 0 AND b.idx = d.b_idx"""
@@ -284,8 +289,8 @@ SELECT fold, row_id, y, score FROM folded""",
 SELECT row_id, {as_string('"TEXT"')} AS "TEXT" FROM gappy""",
     "class_pools": """SELECT vec_id AS row_id, label AS "LABEL" FROM embeddings
 WHERE label IN (0, 1)""",
-    "sentinel_label": f"""WITH {LAB}
-SELECT row_id, CAST(-1 AS INTEGER) AS "LABEL" FROM lab""",
+    "sentinel_label": f"""WITH {UNL}
+SELECT row_id, CAST(-1 AS INTEGER) AS "LABEL" FROM unl""",
     "clip_score": f"""WITH {SCO}
 SELECT row_id, round(least(greatest(
     score * CAST(1.6 AS DOUBLE) - CAST(0.3 AS DOUBLE), 0), 1), 9) AS score FROM sco""",

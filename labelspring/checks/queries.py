@@ -16,7 +16,7 @@ from labelspring.functions.columns import (
     text_as_string,
 )
 from labelspring.functions.keyed import keyed_hash
-from labelspring.functions.vectors import l2_normalise, to_wide
+from labelspring.functions.vectors import to_wide, with_unit_length
 from labelspring.operators.encoders import attach_vectors, hashed_encode, model_encode
 from labelspring.operators.losses import (
     cosine_pair_loss,
@@ -72,7 +72,7 @@ from labelspring.plans.evaluate import (
 from labelspring.plans.settings import Settings
 from labelspring.plans.training import fit_predict, self_train
 from labelspring.sources import tables
-from labelspring.sources.scratch import cut_lineage, new_path
+from labelspring.sources.scratch import cut_lineage, drop_table, new_path, write_table
 
 PAIRS = 3000
 WIDTH = 64
@@ -173,7 +173,7 @@ def pools(spark, folder):
 
 
 def sentinel(spark, folder):
-    return sentinel_label(views.labelled(spark, folder), has_label=False).drop("TEXT")
+    return sentinel_label(views.unlabelled(spark, folder), has_label=False).drop("TEXT")
 
 
 def clip(spark, folder):
@@ -290,7 +290,8 @@ def normalised(spark, folder):
         "emb", lambda x: x.cast("double") * (F.pmod(F.col("row_id"), F.lit(7)) + 1)
     )
     rows = views.vectors(spark, folder).withColumn("emb", stretched)
-    return _wide(rows.withColumn("emb", l2_normalise(F.col("emb"))), ("row_id",))
+    unit = with_unit_length(rows, "emb", "unit").drop("emb").withColumnRenamed("unit", "emb")
+    return _wide(unit, ("row_id",))
 
 
 def _vector_pairs(spark, folder):
@@ -337,12 +338,16 @@ def encoded_tables(spark, folder) -> tuple[DataFrame, DataFrame]:
 
     The texts are encoded where they were read; only vectors meet the labels.
     """
-    encoded = cut_lineage(encoded_documents(spark, folder), "encoded")
+    path = new_path(spark, "encoded")
+    encoded = write_table(encoded_documents(spark, folder), path)
     labels = views.document_labels(spark, folder)
-    return (
-        cut_lineage(encoded.join(labels, "row_id"), "labelled"),
-        cut_lineage(encoded.join(labels, "row_id", "left_anti"), "unlabelled"),
-    )
+    try:
+        return (
+            cut_lineage(encoded.join(labels, "row_id"), "labelled"),
+            cut_lineage(encoded.join(labels, "row_id", "left_anti"), "unlabelled"),
+        )
+    finally:
+        drop_table(spark, path)
 
 
 def projection_fit(spark, folder):
@@ -567,7 +572,9 @@ def swept(spark, folder):
     changes = [
         {"threshold": 0.80},
         {"threshold": 0.90, "cap": 100},
+        {"threshold": 0.80, "cv_cut": 0.6},
         {"model": "rf", "model_params": {"trees": 50}, "cv_cut": 0.6},
+        {"model": "gbm", "model_params": {"stages": 20}},
     ]
     return sweep(labelled, unlabelled, QUICK.but(rounds=1), changes)
 

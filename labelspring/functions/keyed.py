@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
 
-# Pools smaller than this are indexed with the 32-bit hash, larger ones with
-# the 60-bit hash, so that the modulo bias stays below one in 4,096.
-WIDE_POOL = 1 << 20
-
 
 def _digest(key: Column, tag: str | None, seed: int) -> Column:
     parts = [F.lit(str(seed)), key.cast("string")]
@@ -38,12 +34,9 @@ def keyed_order(key: Column, tag: str | None, seed: int = DEFAULT_SEED) -> Colum
     return _leading_bits(_digest(key, tag, seed), 15)
 
 
-def keyed_index(
-    key: Column, tag: str, size: int, seed: int = DEFAULT_SEED, wide_pool: int = WIDE_POOL
-) -> Column:
-    """Position in ``[0, size)`` drawn for ``key``."""
-    draw = keyed_hash if size < wide_pool else keyed_order
-    return F.pmod(draw(key, tag, seed), F.lit(size))
+def keyed_index(key: Column, tag: str, size: int, seed: int = DEFAULT_SEED) -> Column:
+    """Position in ``[0, size)`` drawn for ``key``, from 60 bits whatever the size."""
+    return F.pmod(keyed_order(key, tag, seed), F.lit(size))
 
 
 def keyed_chance(key: Column, tag: str, seed: int = DEFAULT_SEED) -> Column:

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from labelspring.functions.columns import clip_score
-from labelspring.functions.keyed import DEFAULT_SEED
+from labelspring.functions.keyed import DEFAULT_SEED, keyed_order
+from labelspring.operators.rank import hashed_rank
 from labelspring.operators.scaling import fit_scaler
 
+#: Partitions of the rows a model is fitted on. Part of the result of the tree models.
+FIT_PARTITIONS = 16
+#: A model is fitted on at most so many rows, since a forest grows with them.
+FIT_ROWS = 20_000
+#: Bins of a feature, and memory for the node statistics of one pass, of the tree models.
+MAX_BINS, NODE_MB = 32, 1024
+
 COLUMNS = {"featuresCol": "_scaled", "labelCol": "LABEL", "predictionCol": "_prediction"}
 
 
@@ -24,13 +32,22 @@ def _forest(label_std: float, seed: int, trees: int = 200, depth: int = 30, **pa
         "subsamplingRate": 1.0,
         "minInstancesPerNode": 1,
         "seed": seed,
+        "maxBins": MAX_BINS,
+        "maxMemoryInMB": NODE_MB,
         "cacheNodeIds": True,  # deep trees: keep each row's node instead of walking down
     }
     return RandomForestRegressor(**COLUMNS, **{**settings, **params})
 
 
 def _boosting(label_std: float, seed: int, stages: int = 200, depth: int = 3, **params):
-    settings = {"maxIter": stages, "maxDepth": depth, "stepSize": 0.1, "seed": seed}
+    settings = {
+        "maxIter": stages,
+        "maxDepth": depth,
+        "stepSize": 0.1,
+        "seed": seed,
+        "maxBins": MAX_BINS,
+        "maxMemoryInMB": NODE_MB,
+    }
     return GBTRegressor(**COLUMNS, **{**settings, **params})
 
 
@@ -66,29 +83,53 @@ def make_regressor(
     return REGRESSORS[name](label_std, seed, **params)
 
 
-def canonical_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def canonical_layout(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """The same rows in the same partitions and order, whatever they were before.
 
     Tree learning samples by partition and position, so without this the same
-    training set could give another forest. The number of partitions, by default
-    that of the session's shuffles, is part of the layout.
+    training set could give another forest. The number of partitions is part of
+    the layout, so it does not follow the session's settings.
     """
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, "row_id").sortWithinPartitions("row_id")
 
 
+def bounded_rows(df: DataFrame, most: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """At most about ``most`` rows, with each class's share of them unchanged.
+
+    A class keeps its first rows in a hashed order, one of them at least. Only ids
+    are ranked; the ids that stay are as few as ``most`` says, so they are broadcast.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    ids = df.select("row_id", "LABEL")
+    ranked = hashed_rank(
+        ids, keyed_order(F.col("row_id"), "fit", seed), by=("LABEL",), name="_idx", size="_m"
+    )
+    quota = F.greatest(F.round(F.col("_m") * F.lit(most / n)), F.lit(1))
+    kept = ranked.filter(F.col("_idx") < quota).select("row_id")
+    return df.join(F.broadcast(kept), "row_id", "left_semi")
+
+
 def fit_model(
     train: DataFrame,
     model: str = "rf",
     vector: str = "feat",
-    partitions: int | None = None,
+    partitions: int = FIT_PARTITIONS,
     seed: int = DEFAULT_SEED,
+    fit_rows: int = FIT_ROWS,
     **params,
 ) -> PipelineModel:
-    """Fit scaler and regressor on ``train(row_id, LABEL, <vector>)``."""
-    rows = train.select(
-        "row_id", F.col("LABEL").cast("double").alias("LABEL"), F.col(vector).alias("_vector")
+    """Fit scaler and regressor on ``train(row_id, LABEL, <vector>)``.
+
+    Of more than ``fit_rows`` rows a stratified part is used; scoring has no bound.
+    """
+    rows = bounded_rows(
+        train.select(
+            "row_id", F.col("LABEL").cast("double").alias("LABEL"), F.col(vector).alias("_vector")
+        ),
+        fit_rows,
+        seed,
     )
     laid_out = (
         canonical_layout(rows, partitions)

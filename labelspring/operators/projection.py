@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.functions.keyed import DEFAULT_SEED
-from labelspring.functions.vectors import l2_normalise
+from labelspring.functions.vectors import with_unit_length
 from labelspring.operators.losses import RANKING_SCALE, gather_batches
 from labelspring.operators.sampling import attach_pair_values, batches, make_pairs
 from labelspring.sources.scratch import drop_table, new_path, write_table
@@ -26,6 +26,7 @@ from labelspring.sources.scratch import drop_table, new_path, write_table
 GRADIENT_SCHEMA = "shard int, total double, n long, grad array<double>"
 SHARDS = 64
 
+STORED_SCHEMA = "i int, w array<double>, epoch int, note array<string>"
 EPOCH_SCHEMA = "stage string, epoch int, loss double, grad_norm double, n long"
 
 
@@ -48,16 +49,29 @@ class Projection:
         """``stage, epoch, loss, grad_norm, n``: the mean loss before each step."""
         return spark.createDataFrame(self.epochs, EPOCH_SCHEMA)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(i, row.tolist()) for i, row in enumerate(self.weights)]
-        spark.createDataFrame(rows, "i int, w array<double>").write.mode(
-            "overwrite"
-        ).parquet(path)
+    def save(self, spark: SparkSession, path: str, facts: str | None = None) -> None:
+        """Keep the matrix, its epochs, and ``facts`` about what it was fitted to."""
+        rows = [(i, row.tolist(), None, None) for i, row in enumerate(self.weights)]
+        rows += [(None, None, i, list(map(str, e))) for i, e in enumerate(self.epochs)]
+        rows.append((None, None, None, [facts or ""]))
+        spark.createDataFrame(rows, STORED_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Projection:
-        rows = spark.read.parquet(path).orderBy("i").collect()
-        return cls(np.array([r["w"] for r in rows]))
+        return cls.load_with_facts(spark, path)[0]
+
+    @classmethod
+    def load_with_facts(cls, spark: SparkSession, path: str) -> tuple[Projection, str]:
+        rows = spark.read.schema(STORED_SCHEMA).parquet(path).collect()
+        weights = sorted((r["i"], r["w"]) for r in rows if r["i"] is not None)
+        epochs = [
+            (stage, int(epoch), float(loss), float(size), int(n))
+            for _, (stage, epoch, loss, size, n) in sorted(
+                (r["epoch"], r["note"]) for r in rows if r["epoch"] is not None
+            )
+        ]
+        facts = [r["note"][0] for r in rows if r["i"] is None and r["epoch"] is None and r["note"]]
+        return cls(np.array([w for _, w in weights]), epochs), (facts or [""])[0]
 
 
 def apply_projection(
@@ -69,7 +83,8 @@ def apply_projection(
 ) -> DataFrame:
     """Add ``name``: W times the vector, unit length. Zero vectors stay zero."""
     if projection.is_identity:
-        return df.withColumn(name, l2_normalise(F.col(vector)).cast(f"array<{dtype}>"))
+        unit = with_unit_length(df, vector, "_unit")
+        return unit.withColumn(name, F.col("_unit").cast(f"array<{dtype}>")).drop("_unit")
     weights = df.sparkSession.sparkContext.broadcast(projection.weights)
     target = np.float32 if dtype == "float" else np.float64
 
@@ -286,13 +301,15 @@ def fit_simcse(
         batches(texts.select("row_id", "emb"), batch_size, seed), "row_id", "emb"
     )
     path = new_path(texts.sparkSession, "batches") if epochs > 1 else None
-    if path is not None:
-        grouped = write_table(grouped, path)
-    for epoch in range(1, epochs + 1):
-        views = two_views(grouped, epoch, dropout, seed)
-        loss, grad, n = ranking_gradient(views, weights, scale)
-        weights, size = _step(weights, grad, learning_rate, max_grad_norm)
-        log.append(("simcse", epoch, loss, size, n))
-    if path is not None:
-        drop_table(texts.sparkSession, path)
+    try:
+        if path is not None:
+            grouped = write_table(grouped, path)
+        for epoch in range(1, epochs + 1):
+            views = two_views(grouped, epoch, dropout, seed)
+            loss, grad, n = ranking_gradient(views, weights, scale)
+            weights, size = _step(weights, grad, learning_rate, max_grad_norm)
+            log.append(("simcse", epoch, loss, size, n))
+    finally:
+        if path is not None:
+            drop_table(texts.sparkSession, path)
     return Projection(weights, [*start.epochs, *log])

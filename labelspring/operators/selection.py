@@ -118,15 +118,21 @@ def select_top(
     return cap_by_class(select_confident(scored, threshold), cap)
 
 
-def augment(labelled: DataFrame, pseudo: DataFrame, current: DataFrame | None = None) -> DataFrame:
+def augment(
+    labelled: DataFrame,
+    pseudo: DataFrame,
+    current: DataFrame | None = None,
+    checked: bool = False,
+) -> DataFrame:
     """Labelled rows plus this round's pseudo rows, marked by ``is_pseudo``.
 
     Earlier pseudo rows are replaced. When nothing was selected the ``current``
-    set stays as it is, earlier pseudo rows included.
+    set stays as it is, earlier pseudo rows included. A caller who knows that
+    something was selected says so by ``checked``.
     """
     columns = [c for c in labelled.columns if c != "is_pseudo"]
     base = labelled.select(*columns, F.lit(False).alias("is_pseudo"))
-    if pseudo.isEmpty():
+    if not checked and pseudo.isEmpty():
         return base if current is None else current
     return base.unionByName(pseudo.select(*columns, F.lit(True).alias("is_pseudo")))
 

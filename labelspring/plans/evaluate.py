@@ -8,7 +8,7 @@ that table at once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -97,10 +97,6 @@ def cross_validate(
     """
     require_unique_ids(unlabelled)
     folded, path = _fold_table(labelled, settings)
-    identity = Projection.identity(vector_width(folded))
-    shared = identity
-    if settings.simcse == "all":
-        shared = stage_one(folded, unlabelled, settings, identity, settings.simcse_cache)
 
     def run(fold: int) -> tuple[DataFrame, DataFrame | None]:
         train, held_out = fold_rows(folded, fold)
@@ -111,20 +107,27 @@ def cross_validate(
             fitted = self_train(train, unlabelled, settings, base)
         else:
             fitted = fit_labelled(train, settings, base)
-        test = None
-        if keep_test_scores:
-            scored = fitted.score(unlabelled.select("row_id", "emb"))
-            test = cut_lineage(
-                scored.select(F.lit(fold).alias("fold"), "row_id", "score"),
-                f"test-{fold}",
-            )
-        held = _held_out(fitted, held_out, fold)
-        fitted.release()
-        return held, test
+        try:
+            test = None
+            if keep_test_scores:
+                scored = fitted.score(unlabelled.select("row_id", "emb"))
+                test = cut_lineage(
+                    scored.select(F.lit(fold).alias("fold"), "row_id", "score"),
+                    f"test-{fold}",
+                )
+            return _held_out(fitted, held_out, fold), test
+        finally:
+            fitted.release()
 
     spark = labelled.sparkSession
-    parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
-    drop_table(spark, path)
+    try:
+        identity = Projection.identity(vector_width(folded))
+        shared = identity
+        if settings.simcse == "all":
+            shared = stage_one(folded, unlabelled, settings, identity, settings.simcse_cache)
+        parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
+    finally:
+        drop_table(spark, path)
     return Validation(
         _union([held for held, _ in parts]),
         settings.cv_cut,
@@ -150,7 +153,6 @@ def repeated_splits(
     )
     path = new_path(labelled.sparkSession, "splits")
     split = write_table(rows.join(flags, "row_id"), path)
-    base = Projection.identity(vector_width(split))
 
     def run(rnd: int) -> tuple[DataFrame]:
         held = F.col(f"held_{rnd}")
@@ -159,8 +161,11 @@ def repeated_splits(
         return (_held_out(fitted, split.filter(held).select(*columns), rnd),)
 
     spark = labelled.sparkSession
-    parts = _each(spark, list(rounds), settings.parallel_folds, run)
-    drop_table(spark, path)
+    try:
+        base = Projection.identity(vector_width(split))
+        parts = _each(spark, list(rounds), settings.parallel_folds, run)
+    finally:
+        drop_table(spark, path)
     return Validation(_union([held for (held,) in parts]), settings.cv_cut)
 
 
@@ -175,8 +180,10 @@ def validate_frozen(fitted: Fitted, labelled: DataFrame, settings: Settings) ->
         return (_held_out(refitted, held_out, fold),)
 
     spark = labelled.sparkSession
-    parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
-    drop_table(spark, path)
+    try:
+        parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
+    finally:
+        drop_table(spark, path)
     return Validation(_union([held for (held,) in parts]), settings.cv_cut)
 
 
@@ -205,11 +212,18 @@ def sweep(
     changes: list[dict],
     self_training: bool = True,
 ) -> DataFrame:
-    """Pooled metrics of one validation for each set of changed settings."""
-    tables = []
+    """Pooled metrics for each set of changed settings.
+
+    Settings that differ in a cut alone share one validation, and their metrics
+    come from its scores.
+    """
+    tables, known = [], {}
     for change in changes:
         varied = settings.but(**change)
-        result = cross_validate(labelled, unlabelled, varied, self_training)
+        fitted_by = repr(varied.but(cv_cut=0.5, output_cut=0.5, parallel_folds=1))
+        if fitted_by not in known:
+            known[fitted_by] = cross_validate(labelled, unlabelled, varied, self_training)
+        result = replace(known[fitted_by], cut=varied.cv_cut)
         tables.append(
             result.pooled().select(
                 F.lit(varied.model).alias("model"),

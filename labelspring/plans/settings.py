@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from labelspring.functions.keyed import DEFAULT_SEED
+from labelspring.operators.models import FIT_PARTITIONS, FIT_ROWS
 
 
 @dataclass(frozen=True)
@@ -13,6 +14,10 @@ class Settings:
     model_params: dict = field(default_factory=dict)
     seed: int = DEFAULT_SEED
 
+    # rows that fit the regressor, at most, and the layout they are fitted in
+    fit_rows: int = FIT_ROWS
+    fit_partitions: int = FIT_PARTITIONS
+
     # supervised fit of the projection, in every round
     fine_tune: bool = True
     pairs: int = 3000

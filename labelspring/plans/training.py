@@ -6,7 +6,7 @@ vectors are computed once by the caller. A round only applies its matrix.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -29,11 +29,20 @@ from labelspring.operators.selection import (
 )
 from labelspring.plans.settings import Settings
 from labelspring.sources.scratch import drop_table, new_path, write_table
-from labelspring.sources.tables import cached_projection, require_unique_ids, save_model
+from labelspring.sources.tables import (
+    cached_projection,
+    fingerprint,
+    require_unique_ids,
+    save_model,
+)
 
 ROUND_SCHEMA = (
     "round int, total_train long, labeled long, pseudo long, pos long, neg long"
 )
+LOG_SCHEMA = "round int, stage string, epoch int, loss double, grad_norm double, n long"
+
+# Chosen ids are broadcast up to this many; the caps say how many there can be.
+BROADCAST_CHOSEN = 100_000
 
 
 @dataclass
@@ -45,6 +54,7 @@ class Fitted:
     train: DataFrame
     rounds: DataFrame | None = None
     scratch: str | None = None
+    log: list[tuple] = field(default_factory=list)
 
     def release(self) -> None:
         """Delete the written pseudo-labels; ``train`` can no longer be read."""
@@ -52,6 +62,10 @@ class Fitted:
             drop_table(self.train.sparkSession, self.scratch)
             self.scratch = None
 
+    def epoch_log(self) -> DataFrame:
+        """``round, stage, epoch, loss, grad_norm, n`` of all rounds."""
+        return self.train.sparkSession.createDataFrame(self.log, LOG_SCHEMA)
+
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``score`` to rows with ``emb``."""
         moved = apply_projection(df, self.projection)
@@ -65,7 +79,7 @@ class Fitted:
 
 
 def vector_width(df: DataFrame) -> int:
-    row = df.select(F.size("emb").alias("width")).first()
+    row = df.filter(F.col("emb").isNotNull()).select(F.size("emb").alias("width")).first()
     if row is None:
         raise ValueError("there are no rows with vectors")
     return row["width"]
@@ -74,10 +88,11 @@ def vector_width(df: DataFrame) -> int:
 def _own_key(df: DataFrame, second: Column) -> DataFrame:
     """Ids that stay unique when two tables are put together.
 
-    A labelled and an unlabelled row may carry the same ``row_id``: the first
-    table's ids become even, the second's odd.
+    A labelled and an unlabelled row may carry the same ``row_id``, any 64-bit
+    integer, so the key is a text that begins with the table it is from.
     """
-    return df.withColumn("row_id", F.col("row_id") * 2 + second.cast("int"))
+    table = F.when(second, F.lit("u")).otherwise(F.lit("l"))
+    return df.withColumn("row_id", F.concat(table, F.col("row_id").cast("string")))
 
 
 def stage_one(
@@ -88,8 +103,8 @@ def stage_one(
     cache: str | None = None,
 ) -> Projection:
     """Unsupervised fit on the given labelled and all unlabelled texts, labels unused."""
-    texts = _own_key(labelled.select("row_id", "emb"), F.lit(0)).unionByName(
-        _own_key(unlabelled.select("row_id", "emb"), F.lit(1))
+    texts = _own_key(labelled.select("row_id", "emb"), F.lit(False)).unionByName(
+        _own_key(unlabelled.select("row_id", "emb"), F.lit(True))
     )
 
     def fit():
@@ -103,7 +118,19 @@ def stage_one(
             seed=settings.seed,
         )
 
-    return cached_projection(labelled.sparkSession, cache, fit)
+    facts = ""
+    if cache is not None:
+        given = (
+            settings.simcse_epochs,
+            settings.simcse_batch,
+            settings.simcse_learning_rate,
+            settings.max_grad_norm,
+            settings.seed,
+            len(base.weights),
+            base.is_identity,
+        )
+        facts = f"{given} {fingerprint(texts)}"
+    return cached_projection(labelled.sparkSession, cache, fit, facts)
 
 
 def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitted:
@@ -122,10 +149,38 @@ def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitt
     model = fit_model(
         apply_projection(train, projection),
         settings.model,
+        partitions=settings.fit_partitions,
         seed=settings.seed,
+        fit_rows=settings.fit_rows,
         **settings.model_params,
     )
-    return Fitted(projection, model, train)
+    log = [(0, *epoch) for epoch in projection.epochs]
+    return Fitted(projection, model, train, log=log)
+
+
+def _chosen_rows(
+    fitted: Fitted, unlabelled: DataFrame, settings: Settings, rnd: int, path: str
+) -> DataFrame:
+    """``row_id, LABEL, emb`` of the round's pseudo-labels, written to ``path``.
+
+    Under a cap only ids and scores of the confident rows are written; the cap is
+    cut there, and the vectors follow for the rows below it.
+    """
+    scored = select_confident(fitted.score(unlabelled), settings.threshold)
+    columns = ["row_id", "LABEL", "emb"]
+    cap = round_cap(settings.cap, rnd)
+    if cap is None:
+        return write_table(scored.select(*columns), path)
+    narrow = new_path(unlabelled.sparkSession, "scores")
+    try:
+        chosen = cap_by_class(
+            write_table(scored.select("row_id", "score", "LABEL"), narrow), cap
+        ).select("row_id", "LABEL")
+        if 2 * cap <= BROADCAST_CHOSEN:
+            chosen = F.broadcast(chosen)
+        return write_table(unlabelled.join(chosen, "row_id").select(*columns), path)
+    finally:
+        drop_table(unlabelled.sparkSession, narrow)
 
 
 def self_train(
@@ -136,10 +191,10 @@ def self_train(
 ) -> Fitted:
     """Fit, promote confident predictions to labels, and fit again from ``base``.
 
-    All rounds but the last score the unlabelled rows. A round's confident rows
+    All rounds but the last score the unlabelled rows. A round's pseudo-labels
     are written out with their vectors, so the next round starts from a table
     and neither joins them back nor predicts them again. The table of the round
-    before is then deleted.
+    before is then deleted, and if a round fails so is its own.
     """
     spark = labelled.sparkSession
     columns = ["row_id", "LABEL", "emb"]
@@ -148,27 +203,31 @@ def self_train(
     if base is None:
         base = Projection.identity(vector_width(labelled))
     train = labelled.withColumn("is_pseudo", F.lit(False))
-    counts, kept = [], None
-    for rnd in range(settings.rounds + 1):
-        counts.append((rnd, *round_counts(train).first()))
-        fitted = fit_labelled(_own_key(train, F.col("is_pseudo")), settings, base)
-        if rnd == settings.rounds:
-            break
-        path = new_path(spark, f"confident-{rnd}")
-        confident = write_table(
-            select_confident(fitted.score(unlabelled), settings.threshold), path
-        )
-        chosen = cap_by_class(confident, round_cap(settings.cap, rnd))
-        if chosen.isEmpty():
-            drop_table(spark, path)
-            continue
-        train = augment(labelled, chosen.select(*columns))
-        if kept is not None:
-            drop_table(spark, kept)
-        kept = path
+    counts, log, kept, path = [], [], None, None
+    try:
+        for rnd in range(settings.rounds + 1):
+            counts.append((rnd, *round_counts(train).first()))
+            fitted = fit_labelled(_own_key(train, F.col("is_pseudo")), settings, base)
+            log += [(rnd, *epoch) for epoch in fitted.projection.epochs]
+            if rnd == settings.rounds:
+                break
+            path = new_path(spark, f"pseudo-{rnd}")
+            chosen = _chosen_rows(fitted, unlabelled, settings, rnd, path)
+            if chosen.isEmpty():
+                drop_table(spark, path)
+                continue
+            train = augment(labelled, chosen, checked=True)
+            if kept is not None:
+                drop_table(spark, kept)
+            kept = path
+    except BaseException:
+        for written in {kept, path} - {None}:
+            drop_table(spark, written)
+        raise
     fitted.train = train
     fitted.rounds = spark.createDataFrame(counts, ROUND_SCHEMA)
     fitted.scratch = kept
+    fitted.log = log
     return fitted
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ def read_labelled(spark: SparkSession, path: str, format: str = "csv") -> DataFr
 
 
 def read_unlabelled(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """``row_id, TEXT, LABEL`` with ``LABEL`` -1 where the file has none."""
+    """``row_id, TEXT, LABEL`` with ``LABEL`` -1 where the file has none.
+
+    A label that is not a number counts as none.
+    """
     rows = _read_rows(spark, path, format)
     label = F.lit(UNLABELLED)
     if "LABEL" in rows.columns:
@@ -135,11 +140,28 @@ def load_model(spark: SparkSession, path: str) -> tuple[Projection, PipelineMode
     )
 
 
-def cached_projection(spark: SparkSession, path: str | None, fit) -> Projection:
-    """The projection saved under ``path``, or the result of ``fit()``, saved there."""
+def fingerprint(df: DataFrame) -> str:
+    """Number of rows, and a sum of hashes that changes with any value of them."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hashes"),
+    ).first()
+    return f"{row['n']}:{row['hashes']}"
+
+
+def cached_projection(
+    spark: SparkSession, path: str | None, fit: Callable[[], Projection], facts: str = ""
+) -> Projection:
+    """The projection saved under ``path`` with the same ``facts``, or that of ``fit()``.
+
+    ``facts`` names all that the fit depends on. A saved projection with others is
+    fitted again and replaced.
+    """
     if path is not None and path_exists(spark, path):
-        return Projection.load(spark, path)
+        projection, known = Projection.load_with_facts(spark, path)
+        if known == facts:
+            return projection
     projection = fit()
     if path is not None:
-        projection.save(spark, path)
+        projection.save(spark, path, facts)
     return projection

@@ -56,16 +56,16 @@ def test_four_decimals(spark):
     assert column(spark, [0.8025, 1.0, 0.66666], four_decimals) == ["0.8025", "1.0000", "0.6667"]
 
 
-def test_wide_pools_draw_beyond_32_bits(spark):
+def test_draws_use_60_bits_for_every_pool_size(spark):
     keys = spark.range(2000)
     size = 1 << 50
     drawn = keys.select(keyed_index(F.col("id"), "a", size).alias("x")).agg(F.max("x")).first()[0]
     assert (1 << 32) < drawn < size
-    both = keys.select(
-        keyed_index(F.col("id"), "a", 7), keyed_hash(F.col("id"), "a") % 7,
-        keyed_index(F.col("id"), "a", 7, wide_pool=7), keyed_order(F.col("id"), "a") % 7,
-    ).collect()
-    assert all(r[0] == r[1] and r[2] == r[3] for r in both)
+    for small in (7, 1 << 20, (1 << 20) + 1):
+        both = keys.select(
+            keyed_index(F.col("id"), "a", small), keyed_order(F.col("id"), "a") % small
+        )
+        assert all(r[0] == r[1] for r in both.collect())
 
 
 def test_unit_vectors(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from labelspring.operators.models import fit_model, make_regressor, score_rows
+from labelspring.operators.models import bounded_rows, fit_model, make_regressor, score_rows
 from labelspring.operators.scaling import fit_scaler, scaler_stats
 
 WIDTH = 6
@@ -73,9 +73,14 @@ def test_elastic_net_meets_the_optimality_conditions(rows, data):
 @pytest.mark.parametrize(
     "name, params", [("rf", {"trees": 12}), ("gbm", {"stages": 8}), ("elastic", {})]
 )
-def test_fit_does_not_depend_on_partitioning(rows, name, params):
-    one = scores(rows, fit_model(rows.repartition(1), name, partitions=3, **params))
-    seven = scores(rows, fit_model(rows.repartition(7), name, partitions=3, **params))
+def test_fit_depends_on_neither_partitioning_nor_session(spark, rows, name, params):
+    one = scores(rows, fit_model(rows.repartition(1), name, **params))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        seven = scores(rows, fit_model(rows.repartition(7), name, **params))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert np.allclose(one, seven, atol=1e-9)
     assert one.min() >= 0.0 and one.max() <= 1.0
     truth = np.array([r["LABEL"] for r in rows.orderBy("row_id").collect()])
@@ -93,6 +98,41 @@ def test_defaults_of_the_regressors():
     assert elastic.getRegParam() == pytest.approx(0.01 * (0.5 + 0.5 * 0.5))
 
 
+def test_the_bound_on_fitted_rows_keeps_class_shares(spark):
+    df = spark.range(1000).selectExpr("id as row_id", "cast(id % 10 = 0 as int) as LABEL")
+    kept = bounded_rows(df, 200).groupBy("LABEL").count()
+    assert {r["LABEL"]: r["count"] for r in kept.collect()} == {0: 180, 1: 20}
+    again = bounded_rows(df.repartition(7), 200)
+    assert again.exceptAll(bounded_rows(df, 200)).count() == 0
+    assert bounded_rows(df, 1000).count() == 1000
+    assert bounded_rows(df, 2).count() == 3  # a class keeps a row
+
+
+def test_all_rows_are_scored_by_a_bounded_fit(rows):
+    model = fit_model(rows, "rf", trees=5, fit_rows=60)
+    assert score_rows(rows, model).count() == 240
+    assert model.stages[-1].trees[0].numNodes < 120
+
+
+def test_forest_scores_are_the_means_of_its_trees(rows):
+    model = fit_model(rows, "rf", trees=4, depth=5)
+    forest = model.stages[-1]
+    parts = model.transform(rows.withColumn("_features", array_to_vector("feat")))
+    found = parts.select(vector_to_array("_scaled").alias("x"), "_prediction").collect()
+
+    def walk(node, x):
+        while node.numDescendants():
+            split = node.split()
+            left = x[split.featureIndex()] <= split.threshold()
+            node = node.leftChild() if left else node.rightChild()
+        return node.prediction()
+
+    roots = [tree._call_java("rootNode") for tree in forest.trees]
+    for row in found[::12]:
+        mean = np.mean([walk(root, row["x"]) for root in roots])
+        assert row["_prediction"] == pytest.approx(mean, abs=1e-9)
+
+
 def test_unknown_regressor():
     with pytest.raises(ValueError, match="unknown model"):
         make_regressor("svm")

@@ -1,7 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelspring.operators.projection import Projection
+from labelspring.plans import training
 from labelspring.plans.evaluate import (
     cross_validate,
     fold_ensemble,
@@ -11,6 +15,7 @@ from labelspring.plans.evaluate import (
 )
 from labelspring.plans.settings import Settings
 from labelspring.plans.training import fit_predict, self_train
+from labelspring.sources.scratch import shared_folder
 from labelspring.sources.tables import load_model
 
 WIDTH = 8
@@ -79,6 +84,73 @@ def test_both_tables_may_use_the_same_ids(labelled, unlabelled):
     assert agree > 0.95 * len(scores)
 
 
+def test_any_64_bit_id_is_accepted(labelled, unlabelled):
+    high = (1 << 63) - 5000
+    far = unlabelled.withColumn("row_id", F.col("row_id") + F.lit(high))
+    out = fit_predict(labelled, far, QUICK.but(simcse="all", cap=20))[1]
+    ids = {r["row_id"] for r in out.collect()}
+    assert ids == {high + i for i in range(1000, 1300)}
+
+
+def scratch_files(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "labelspring"
+    return {str(p) for p in folder.rglob("part-*")} if folder.exists() else set()
+
+
+def test_runs_leave_no_files(spark, labelled, unlabelled, monkeypatch):
+    before = scratch_files(spark)
+    fitted = self_train(labelled, unlabelled, QUICK.but(rounds=2, cap={0: 5}))
+    assert len(scratch_files(spark) - before) > 0
+    fitted.release()
+    assert scratch_files(spark) == before
+    real, calls = training.fit_labelled, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(training, "fit_labelled", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        self_train(labelled, unlabelled, QUICK.but(rounds=2))
+    calls.clear()
+    with pytest.raises(RuntimeError, match="lost"):
+        cross_validate(labelled, unlabelled, QUICK.but(parallel_folds=1))
+    assert scratch_files(spark) == before
+
+
+def test_only_rows_under_the_cap_are_written_with_vectors(spark, labelled, unlabelled):
+    fitted = self_train(labelled, unlabelled, QUICK.but(cap=5))
+    assert spark.read.parquet(fitted.scratch).count() == 10
+    fitted.release()
+
+
+def test_log_of_all_rounds(labelled, unlabelled):
+    fitted = self_train(labelled, unlabelled, QUICK.but(rounds=2))
+    rows = fitted.epoch_log().collect()
+    assert sorted((r["round"], r["epoch"]) for r in rows) == [(r, e) for r in range(3) for e in (1, 2)]
+
+
+def test_stage_one_is_fitted_again_for_other_settings(labelled, unlabelled, tmp_path, monkeypatch):
+    calls = []
+    real = training.fit_simcse
+    monkeypatch.setattr(training, "fit_simcse", lambda *a, **k: calls.append(1) or real(*a, **k))
+    cached = QUICK.but(simcse="all", simcse_cache=str(tmp_path / "stage"))
+    base = Projection.identity(WIDTH)
+
+    def stage(settings, rows=unlabelled):
+        return training.stage_one(labelled, rows, settings, base, settings.simcse_cache)
+
+    first, second = stage(cached), stage(cached)
+    assert len(calls) == 1
+    assert np.array_equal(first.weights, second.weights) and first.epochs == second.epochs
+    other = stage(cached.but(simcse_epochs=2))
+    assert len(calls) == 2 and not np.array_equal(first.weights, other.weights)
+    stage(cached.but(simcse_epochs=2), unlabelled.limit(100))
+    assert len(calls) == 3
+
+
 def test_a_cap_limits_each_class(labelled, unlabelled):
     fitted = self_train(labelled, unlabelled, QUICK.but(rounds=2, cap={0: 5}))
     rounds = fitted.rounds.orderBy("round").collect()
@@ -183,6 +255,18 @@ def test_sweep_has_one_row_for_each_setting(labelled, unlabelled):
     assert all(r["auc"] > 0.8 for r in table)
 
 
+def test_sweep_over_a_cut_fits_once(labelled, unlabelled, monkeypatch):
+    from labelspring.plans import evaluate
+
+    calls = []
+    real = evaluate.cross_validate
+    monkeypatch.setattr(evaluate, "cross_validate", lambda *a, **k: calls.append(1) or real(*a, **k))
+    changes = [{"cv_cut": c} for c in (0.4, 0.5, 0.6)]
+    table = evaluate.sweep(labelled, unlabelled, QUICK, changes).collect()
+    assert len(calls) == 1 and [r["cut"] for r in table] == [0.4, 0.5, 0.6]
+    assert len({r["auc"] for r in table}) == 1 and len({r["recall"] for r in table}) > 1
+
+
 @pytest.mark.parametrize("change", [{"simcse": "both"}, {"threshold": 0.5}])
 def test_settings_are_checked(change):
     with pytest.raises(ValueError):
@@ -197,7 +281,7 @@ def test_validation_texts_stay_out_of_the_fold_stage(labelled, unlabelled, monke
     real = training.fit_simcse
 
     def spy(texts, *args, **kwargs):
-        seen.append(texts.agg(F.count_if(F.col("row_id") < 1000), F.count("*")).first())
+        seen.append(texts.agg(F.count_if(F.col("row_id").startswith("l")), F.count("*")).first())
         return real(texts, *args, **kwargs)
 
     monkeypatch.setattr(training, "fit_simcse", spy)
