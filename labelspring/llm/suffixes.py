@@ -12,7 +12,9 @@ of one anchor share is the first ``length - 255`` bytes of that suffix; their
 fingerprint is the order of the index. Batches of documents come one by one. A
 new batch's suffixes are sorted, scanned against each level of the family for
 fingerprints that both have, and merged with a level of equal size into the
-next. Only anchors with a repeated fingerprint are looked at more closely.
+next. Only anchors with a repeated fingerprint are looked at more closely: where
+the strings of one anchor are not repeated as a whole, they get anchors among
+their first 16 places, and then their own places.
 
 Rows are told apart by their texts, so rows that repeat a ``doc_id`` or have none
 are judged like any other; other columns are not looked at. An empty table gives
@@ -34,12 +36,14 @@ from labelspring.llm.tokens import PIECE, pieces, powers, prefix_sums, span_hash
 from labelspring.sources.scratch import drop_table, new_path, write_table
 
 LENGTH = 400
-GRAM, PLACES = 32, 256
+GRAM = 32
+#: The first places of a string in which its anchor lies, from coarse to fine.
+PLACES = (256, 16, 1)
 BATCHES = 4
 _INDEX_BITS = 21
 _INDEX = np.uint64((1 << _INDEX_BITS) - 1)
 
-ANCHORS = "key binary, at int, low int, high int, mark long, span long"
+ANCHORS = "key binary, low int, high int, mark long, span long"
 
 
 def text_key(text: Column) -> Column:
@@ -59,13 +63,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:count], before[width - 1 : width - 1 + count])
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Text number, place, first and last string start, mark and span of all anchors.
+def anchors_of(
+    data: np.ndarray, offsets: np.ndarray, length: int, places: int
+) -> tuple[np.ndarray, ...]:
+    """Text number, first and last string start, mark and span of all anchors.
 
     ``mark`` is the hash of what all strings of ``length`` bytes with this anchor
     share, ``span`` of all that they cover together.
     """
-    none = tuple(np.zeros(0, t) for t in [np.int64] * 4 + [np.uint64] * 2)
+    none = tuple(np.zeros(0, t) for t in [np.int64] * 3 + [np.uint64] * 2)
     starts, ends = offsets[:-1], offsets[1:] - length + 1
     long = ends > starts
     if not long.any():
@@ -74,8 +80,8 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     grams = (sums[GRAM:] - sums[:-GRAM]) * powers(len(data) - GRAM + 1, back=True)
     grams ^= grams >> np.uint64(32)
     grams *= np.uint64(0x9E3779B97F4A7C15)
-    places = np.arange(len(grams), dtype=np.uint64)
-    least = sliding_least((grams & ~_INDEX) | places, PLACES)
+    index = np.arange(len(grams), dtype=np.uint64)
+    least = sliding_least((grams & ~_INDEX) | index, places)
     n = (ends - starts)[long]
     text = np.repeat(np.flatnonzero(long), n)
     begin = np.arange(n.sum()) + np.repeat(starts[long] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
@@ -86,10 +92,10 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     last = np.concatenate([runs[1:], [len(anchor)]]) - 1
     at, text = anchor[runs], text[runs]
     low, high = begin[runs], begin[last]
-    mark = span_hashes(sums, at, at + length - PLACES + 1)
+    mark = span_hashes(sums, at, at + length - places + 1)
     span = span_hashes(sums, low, high + length)
     base = offsets[text]
-    return text, at - base, low - base, high - base, mark, span
+    return text, low - base, high - base, mark, span
 
 
 def suffix_anchors(texts: DataFrame, length: int) -> DataFrame:
@@ -103,17 +109,17 @@ def suffix_anchors(texts: DataFrame, length: int) -> DataFrame:
                     if len(offsets) == 2:
                         part = data[shift : shift + PIECE + length - 1]
                         cuts = np.array([0, len(part)])
-                    text, at, low, high, mark, span = anchors_of(part, cuts, length)
+                    text, low, high, mark, span = anchors_of(part, cuts, length, PLACES[0])
                     if not len(text):
                         continue
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(row + text)),
-                            *(pa.array((x + shift).astype(np.int32)) for x in (at, low, high)),
+                            *(pa.array((x + shift).astype(np.int32)) for x in (low, high)),
                             pa.array(mark.view(np.int64)),
                             pa.array(span.view(np.int64)),
                         ],
-                        ["key", "at", "low", "high", "mark", "span"],
+                        ["key", "low", "high", "mark", "span"],
                     )
 
     return texts.mapInArrow(find, ANCHORS)
@@ -155,42 +161,69 @@ class IndexFamily:
         return self._keep(union_all(self.repeated).distinct(), "repeated")[0]
 
 
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    sums = prefix_sums(data)
-    count = len(data) - length + 1
-    starts = np.arange(count)
-    return span_hashes(sums, starts, starts + length)
+def finer_anchors(texts: DataFrame, length: int, places: int) -> DataFrame:
+    """The anchors of the strings that start in ``lows``..``highs`` of ``key, text``.
 
+    ``weights`` says how often a stretch counts: 2 if it is known to be repeated.
+    """
 
-def string_hashes(texts: DataFrame, length: int) -> DataFrame:
-    """A hash of each string of the anchors listed in ``lows, highs, marks, weights``."""
+    def flushed(keys: list, lows: list, weights: list, parts: list) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        text, low, high, mark, span = anchors_of(np.concatenate(parts), offsets, length, places)
+        base = np.array(lows)[text]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys, pa.binary()).take(pa.array(text)),
+                pa.array((low + base).astype(np.int32)),
+                pa.array((high + base).astype(np.int32)),
+                pa.array(mark.view(np.int64)),
+                pa.array(span.view(np.int64)),
+                pa.array(np.array(weights, np.int32)[text]),
+            ],
+            ["key", "low", "high", "mark", "span", "weight"],
+        )
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = ([], [], [], []), 0
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 data = np.frombuffer(row["text"].encode(), np.uint8)
-                parts = [
-                    (low, window_hashes(data[low : high + length], length), mark, weight)
-                    for low, high, mark, weight in zip(
-                        row["lows"], row["highs"], row["marks"], row["weights"], strict=True
-                    )
-                ]
-                counts = [len(p[1]) for p in parts]
-                starts = np.concatenate([p[0] + np.arange(c) for p, c in zip(parts, counts, strict=True)])
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["key"]] * n, pa.binary()),
-                        pa.array(starts.astype(np.int32)),
-                        pa.array(np.repeat([p[2] for p in parts], counts)),
-                        pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)),
-                        pa.array(np.repeat([p[3] for p in parts], counts).astype(np.int32)),
-                    ],
-                    ["key", "start", "mark", "string", "weight"],
-                )
+                for low, high, weight in zip(row["lows"], row["highs"], row["weights"], strict=True):
+                    part = data[low : high + length]
+                    for values, value in zip(held, (row["key"], low, weight, part), strict=True):
+                        values.append(value)
+                    size += len(part)
+                    if size > PIECE // 2:
+                        yield flushed(*held)
+                        held, size = ([], [], [], []), 0
+            if size:
+                yield flushed(*held)
+
+    return texts.mapInArrow(find, f"{ANCHORS}, weight int")
+
+
+def classes_of(anchors: DataFrame) -> DataFrame:
+    """``mark, span, n`` and ``one``, a stretch of the class; ``n`` adds up the weights."""
+    return anchors.groupBy("mark", "span").agg(
+        F.sum("weight").alias("n"), F.min(F.struct("key", "low", "high")).alias("one")
+    )
 
-    return texts.mapInArrow(make, "key binary, start int, mark long, string long, weight int")
+
+def undecided(classes: DataFrame) -> DataFrame:
+    """``key, low, high, weight`` to be looked at in finer places.
+
+    That is all classes of a repeated mark of which one class is alone, one
+    stretch for each.
+    """
+    marks = (
+        classes.groupBy("mark")
+        .agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+        .where("total > 1 and least = 1")
+        .select("mark")
+    )
+    weight = F.least("n", F.lit(2)).cast("int").alias("weight")
+    return classes.join(marks, "mark", "left_semi").select("one.*", weight)
 
 
 def cleaned(texts: DataFrame, length: int) -> DataFrame:
@@ -232,48 +265,41 @@ def repeated_starts(
     def kept(df: DataFrame, name: str) -> DataFrame:
         return write_table(df, new_path(spark, name))
 
-    anchors = kept(suffix_anchors(texts, length), "anchors")
+    at_anchors = new_path(spark, "anchors")
+    anchors = write_table(suffix_anchors(texts, length), at_anchors)
     family = IndexFamily(spark)
     number = F.pmod(F.xxhash64("key"), F.lit(batches))
     for k in range(batches):
         family.add(anchors.where(number == k).select("mark"))
-    matched = kept(spread_join(anchors, family.repeated_marks(), ["mark"], "key"), "matched")
+    found = spread_join(anchors, family.repeated_marks(), ["mark"], "key")
+    matched = kept(found.withColumn("weight", F.lit(1)), "matched")
+    drop_table(spark, at_anchors)
 
     equal = ["mark", "span"]
-    classes = kept(
-        matched.groupBy(*equal).agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "high")).alias("one")
-        ),
-        "classes",
-    )
-    alone = classes.where("n = 1").select("mark", "one.*", F.lit(1).alias("weight"))
-    decided = (
-        classes.where("n > 1")
-        .join(alone.select("mark").distinct(), "mark", "left_semi")
-        .select("mark", "one.*", F.lit(2).alias("weight"))
-    )
-    asked = kept(alone.unionByName(decided), "asked")
-    own = kept(spread_join(matched, copied, ["key"], "at", "left_anti"), "own")
+    classes = kept(classes_of(matched), "classes")
     whole = classes.where("n > 1").select(*equal)
-    resolved = kept(spread_join(own, whole, equal, "key").select("key", "low", "high"), "resolved")
+    own = kept(spread_join(matched, copied, ["key"], "low", "left_anti"), "own")
+    starts = [kept(spread_join(own, whole, equal, "key").select("key", "low", "high"), "resolved")]
+    asked = kept(undecided(classes), "asked")
 
-    keys = asked.select("key").union(resolved.select("key"))
+    keys = asked.select("key").union(starts[0].select("key"))
     members = Membership(keys.select(F.xxhash64("key").alias("h")), "h", hashed=True)
     some = thinned(texts.withColumn("_h", F.xxhash64("key")), members, "_h", hashed=True)
     some = kept(some.drop("_h").dropDuplicates(["key"]), "texts")
-    lists = asked.groupBy("key").agg(
-        *[F.collect_list(c).alias(f"{c}s") for c in ("low", "high", "mark", "weight")]
-    )
-    strings = kept(string_hashes(some.join(lists, "key"), length), "strings")
-    twice = (
-        strings.groupBy("mark", "string")
-        .agg(F.sum("weight").alias("n"))
-        .where("n > 1")
-        .select("mark", "string")
-    )
-    found = spread_join(strings.where("weight = 1"), twice, ["mark", "string"], "start")
-    found = found.select("key", F.col("start").alias("low"), F.col("start").alias("high"))
-    return kept(resolved.unionByName(found), "starts"), some
+    for places in PLACES[1:]:
+        at_finer = new_path(spark, "finer")
+        lists = asked.groupBy("key").agg(
+            *[F.collect_list(c).alias(f"{c}s") for c in ("low", "high", "weight")]
+        )
+        finer = write_table(finer_anchors(some.join(lists, "key"), length, places), at_finer)
+        classes = kept(classes_of(finer), "classes")
+        whole = classes.where("n > 1").select(*equal)
+        found = spread_join(finer.where("weight = 1"), whole, equal, "key")
+        starts.append(kept(found.select("key", "low", "high"), "resolved"))
+        drop_table(spark, at_finer)
+        if places != PLACES[-1]:
+            asked = kept(undecided(classes), "asked")
+    return union_all(starts), some
 
 
 def _removal(documents: DataFrame, length: int, batches: int) -> tuple[DataFrame, DataFrame]:
@@ -281,10 +307,10 @@ def _removal(documents: DataFrame, length: int, batches: int) -> tuple[DataFrame
 
     Texts that several rows have are repeated from end to end. The others go
     through the index family. An anchor whose strings cover the same bytes as
-    those of another anchor is decided at once. Of the rest, which stand at the
-    ends of a match, every string is hashed and counted, and of anchors already
-    decided one for each class. Text is read again only for documents with a
-    match.
+    those of another anchor is decided at once. The rest, which stand at the ends
+    of a match, get finer anchors together with one of each class that was
+    decided, down to single strings. Text is read again only for documents with
+    a match.
     """
     spark = documents.sparkSession
     rows = documents.select(
