@@ -421,6 +421,7 @@ FROM judged j, (SELECT unnest([0, 1]) AS k) GROUP BY k""",
     ),
     "oof_metrics": judged_metrics(", ".join(METRIC_NAMES)),
     "metrics_at_cut": judged_metrics(", ".join(METRIC_NAMES), cut=0.6),
+    "run_job": f"WITH {UNL} SELECT row_id FROM unl",
     "fold_ensemble": f"""WITH {UNL}, means AS (
   SELECT row_id, ({" + ".join(
       f"({h(f'''{f} || '/' || CAST(row_id AS VARCHAR)''', 'score')} % 201) / CAST(200 AS DOUBLE)"

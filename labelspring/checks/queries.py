@@ -70,6 +70,7 @@ from labelspring.plans.evaluate import (
     validate_frozen,
 )
 from labelspring.plans.settings import Settings
+from labelspring.plans.job import run_job
 from labelspring.plans.training import fit_predict, self_train
 from labelspring.sources import tables
 from labelspring.sources.scratch import cut_lineage, drop_table, new_path, write_table
@@ -79,6 +80,14 @@ WIDTH = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CAPS = {0: 10, 1: 20}
 
+# Spark's solver stops when the loss no longer falls, which leaves about 1e-5 in a score.
+SCORE_DIGITS = 2
+
+# The elastic net to its end, on vectors as they are.
+EXACT = Settings(
+    model="elastic", model_params={"tol": 1e-14}, fine_tune=False, parallel_folds=4
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -394,6 +403,11 @@ def model_scores(model: str, **params) -> Query:
     return query
 
 
+def elastic_scores(spark, folder):
+    scores = model_scores("elastic", **EXACT.model_params)(spark, folder)
+    return _rounded(scores, "score", digits=SCORE_DIGITS)
+
+
 # Self-training
 
 
@@ -492,6 +506,12 @@ def at_cut(spark, folder):
     return _metric(metrics_at_cut(_judged(spark, folder), 0.6))
 
 
+def elastic_self_training(spark, folder):
+    """Counts of each round with the elastic net, whose one answer SQL finds too."""
+    labelled, unlabelled = encoded_tables(spark, folder)
+    return self_train(labelled, unlabelled, EXACT.but(threshold=0.9)).rounds
+
+
 # Evaluation
 
 QUICK = Settings(model="elastic", parallel_folds=4)
@@ -567,6 +587,40 @@ def predicted(spark, folder):
     return fit_predict(labelled, unlabelled, Settings(simcse="all"))[1]
 
 
+def elastic_cv(spark, folder):
+    labelled, unlabelled = encoded_tables(spark, folder)
+    oof = cross_validate(labelled, unlabelled, EXACT, False).oof
+    return _rounded(oof, "score", digits=SCORE_DIGITS)
+
+
+def elastic_cv_ensemble(spark, folder):
+    labelled, unlabelled = encoded_tables(spark, folder)
+    result = cross_validate(labelled, unlabelled, EXACT, False, keep_test_scores=True)
+    return fold_ensemble(result.test_scores, EXACT.folds).drop("score")
+
+
+def elastic_splits(spark, folder):
+    labelled, _ = encoded_tables(spark, folder)
+    oof = repeated_splits(labelled, EXACT).oof
+    return oof.withColumn("LABEL", label_by_cut(F.col("score"), 0.5)).drop("score")
+
+
+def elastic_fit_predict(spark, folder):
+    labelled, unlabelled = encoded_tables(spark, folder)
+    predicted = fit_predict(labelled, unlabelled, EXACT.but(rounds=1, threshold=0.9))[1]
+    return _rounded(predicted, "score", digits=SCORE_DIGITS)
+
+
+def whole_job(spark, folder):
+    """Ids that a job from files to file has labelled; SQL knows which these must be."""
+    path = new_path(spark, "job")
+    tables.write_csv(views.labelled(spark, folder), f"{path}/train.csv")
+    tables.write_csv(views.unlabelled(spark, folder).drop("LABEL"), f"{path}/test.csv")
+    overrides = ["model=elastic", "fine_tune=False", "rounds=1"]
+    job = run_job(spark, f"{path}/train.csv", f"{path}/test.csv", f"{path}/out", overrides)
+    return job.select("row_id")
+
+
 def swept(spark, folder):
     labelled, unlabelled = encoded_tables(spark, folder)
     changes = [
@@ -621,7 +675,13 @@ QUERIES: dict[str, Query] = {
     "epoch_loss": epoch_loss,
     "rf_scores": model_scores("rf"),
     "gbm_scores": model_scores("gbm"),
-    "elastic_scores": model_scores("elastic"),
+    "elastic_scores": elastic_scores,
+    "elastic_self_training": elastic_self_training,
+    "elastic_cv": elastic_cv,
+    "elastic_cv_ensemble": elastic_cv_ensemble,
+    "elastic_splits": elastic_splits,
+    "elastic_fit_predict": elastic_fit_predict,
+    "run_job": whole_job,
     "pseudo_select": pseudo_select,
     "pseudo_topk": pseudo_topk,
     "pseudo_topk_round": pseudo_topk_round,

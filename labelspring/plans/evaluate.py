@@ -28,7 +28,7 @@ from labelspring.plans.training import (
     stage_one,
     vector_width,
 )
-from labelspring.sources.scratch import cut_lineage, drop_table, new_path, write_table
+from labelspring.sources.scratch import drop_table, new_path, write_table
 from labelspring.sources.tables import require_unique_ids
 
 
@@ -39,6 +39,13 @@ class Validation:
     oof: DataFrame
     cut: float
     test_scores: DataFrame | None = None
+    scratch: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Delete the written scores; the tables can no longer be read."""
+        for path in self.scratch:
+            drop_table(self.oof.sparkSession, path)
+        self.scratch = ()
 
     def per_fold(self) -> DataFrame:
         return fold_metrics(self.oof, self.cut)
@@ -74,11 +81,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _held_out(fitted: Fitted, rows: DataFrame, fold: int) -> DataFrame:
+def _held_out(fitted: Fitted, rows: DataFrame, fold: int) -> tuple[DataFrame, str]:
     scored = fitted.score(rows).select(
         F.lit(fold).alias("fold"), "row_id", F.col("LABEL").alias("y"), "score"
     )
-    return cut_lineage(scored, f"held-out-{fold}")
+    path = new_path(rows.sparkSession, f"held-out-{fold}")
+    return write_table(scored, path), path
 
 
 def cross_validate(
@@ -98,7 +106,7 @@ def cross_validate(
     require_unique_ids(unlabelled)
     folded, path = _fold_table(labelled, settings)
 
-    def run(fold: int) -> tuple[DataFrame, DataFrame | None]:
+    def run(fold: int) -> tuple:
         train, held_out = fold_rows(folded, fold)
         base = shared
         if settings.simcse == "fold":
@@ -108,14 +116,14 @@ def cross_validate(
         else:
             fitted = fit_labelled(train, settings, base)
         try:
-            test = None
+            test, at_test = None, None
             if keep_test_scores:
                 scored = fitted.score(unlabelled.select("row_id", "emb"))
-                test = cut_lineage(
-                    scored.select(F.lit(fold).alias("fold"), "row_id", "score"),
-                    f"test-{fold}",
+                at_test = new_path(labelled.sparkSession, f"test-{fold}")
+                test = write_table(
+                    scored.select(F.lit(fold).alias("fold"), "row_id", "score"), at_test
                 )
-            return _held_out(fitted, held_out, fold), test
+            return *_held_out(fitted, held_out, fold), test, at_test
         finally:
             fitted.release()
 
@@ -129,9 +137,10 @@ def cross_validate(
     finally:
         drop_table(spark, path)
     return Validation(
-        _union([held for held, _ in parts]),
+        _union([held for held, _, _, _ in parts]),
         settings.cv_cut,
-        _union([test for _, test in parts]) if keep_test_scores else None,
+        _union([test for _, _, test, _ in parts]) if keep_test_scores else None,
+        tuple(path for part in parts for path in (part[1], part[3]) if path),
     )
 
 
@@ -154,11 +163,11 @@ def repeated_splits(
     path = new_path(labelled.sparkSession, "splits")
     split = write_table(rows.join(flags, "row_id"), path)
 
-    def run(rnd: int) -> tuple[DataFrame]:
+    def run(rnd: int) -> tuple[DataFrame, str]:
         held = F.col(f"held_{rnd}")
         columns = ["row_id", "LABEL", "emb"]
         fitted = fit_labelled(split.filter(~held).select(*columns), settings, base)
-        return (_held_out(fitted, split.filter(held).select(*columns), rnd),)
+        return _held_out(fitted, split.filter(held).select(*columns), rnd)
 
     spark = labelled.sparkSession
     try:
@@ -166,7 +175,8 @@ def repeated_splits(
         parts = _each(spark, list(rounds), settings.parallel_folds, run)
     finally:
         drop_table(spark, path)
-    return Validation(_union([held for (held,) in parts]), settings.cv_cut)
+    held = _union([table for table, _ in parts])
+    return Validation(held, settings.cv_cut, None, tuple(path for _, path in parts))
 
 
 def validate_frozen(fitted: Fitted, labelled: DataFrame, settings: Settings) -> Validation:
@@ -174,17 +184,18 @@ def validate_frozen(fitted: Fitted, labelled: DataFrame, settings: Settings) ->
     frozen = settings.but(fine_tune=False, simcse="none")
     folded, path = _fold_table(labelled, settings)
 
-    def run(fold: int) -> tuple[DataFrame]:
+    def run(fold: int) -> tuple[DataFrame, str]:
         train, held_out = fold_rows(folded, fold)
         refitted = fit_labelled(train, frozen, fitted.projection)
-        return (_held_out(refitted, held_out, fold),)
+        return _held_out(refitted, held_out, fold)
 
     spark = labelled.sparkSession
     try:
         parts = _each(spark, list(range(settings.folds)), settings.parallel_folds, run)
     finally:
         drop_table(spark, path)
-    return Validation(_union([held for (held,) in parts]), settings.cv_cut)
+    held = _union([table for table, _ in parts])
+    return Validation(held, settings.cv_cut, None, tuple(path for _, path in parts))
 
 
 def fold_ensemble(scores: DataFrame, folds: int, cut: float = 0.5) -> DataFrame:

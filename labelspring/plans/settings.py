@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import ast
+from dataclasses import dataclass, field, fields, replace
 
 from labelspring.functions.keyed import DEFAULT_SEED
 from labelspring.operators.models import FIT_PARTITIONS, FIT_ROWS
@@ -55,3 +56,16 @@ class Settings:
 
     def but(self, **changes) -> Settings:
         return replace(self, **changes)
+
+    def overridden(self, assignments: list[str]) -> Settings:
+        """Changed by texts ``KEY=VALUE``; a value is a Python literal, or else a text."""
+        changes = {}
+        for assignment in assignments:
+            key, equals, value = assignment.partition("=")
+            if not equals or key not in {f.name for f in fields(self)}:
+                raise ValueError(f"{assignment!r} does not set a setting")
+            try:
+                changes[key] = ast.literal_eval(value)
+            except (SyntaxError, ValueError):
+                changes[key] = value
+        return self.but(**changes)
