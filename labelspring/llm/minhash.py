@@ -33,8 +33,8 @@ from labelspring.sources.scratch import drop_table, new_path, write_table
 BANDS, ROWS = 50, 6
 #: Standard deviations that the estimate from the minima may lie below the bound.
 SLACK = 6.0
-#: Turns in which each bucket's classes meet DRAWN of them, before all that are still apart meet.
-TURNS, DRAWN = 3, 8
+#: Classes of one side of a block, in which those of a bucket that are still apart meet.
+BLOCK = 256
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, minima binary"
 
@@ -162,11 +162,10 @@ def near_duplicates(
     Documents are linked if the distinct shingles of ``words`` words have a
     Jaccard similarity of at least ``percent`` / 100. Equal sets are one class,
     so copies are never paired. In each bucket of a band all classes are compared
-    with the smallest. Where a bucket still has several components, the classes'
-    shingles that no other such class has bound how similar any two can be. Within
-    that bound classes meet, in turns, a few others drawn by a hash, which joins
-    large groups, and then all that are still apart. So no link is left to chance
-    but for the banding. Every link is confirmed on the full sets.
+    with the smallest. Where a bucket still has several components, what is not
+    in its largest one is compared with all that is in another, block by block,
+    so no link is left to chance but for the banding. Every link is confirmed on
+    the full sets.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -219,21 +218,11 @@ def near_duplicates(
         ),
         "open",
     )
-    sets = kept(full_sets(docs, open_buckets.select("node").distinct(), words), "sets")
-    bounds = kept(_bounds(sets), "bounds")
-    linkable = bounds.where(F.col("rare") * 100 <= F.col("size") * (100 - percent))
-    open_buckets = kept(_mixed_buckets(open_buckets.join(linkable, "node")), "open")
-
-    def linked_pairs(pairs: DataFrame) -> DataFrame:
-        return _confirmed(likely(pairs), sets, percent)
-
-    for turn in range(TURNS):
-        asked = _drawn_pairs(open_buckets, bounds, turn, percent)
-        found, open_buckets = _turn(open_buckets, asked, linked_pairs)
-        links += found
-        if not found:
-            break
-    links += _turn(open_buckets, _all_pairs(open_buckets, percent), linked_pairs)[0]
+    if not open_buckets.isEmpty():
+        nodes = open_buckets.select("node").distinct()
+        sets = kept(full_sets(docs, nodes, words), "sets")
+        asked = kept(_block_pairs(open_buckets, sets, percent), "asked")
+        links.append(_confirmed(asked, sets, percent))
     if len(links) > 1:
         components = kept(connected_components(union_all(links).distinct()), "components")
 
@@ -265,98 +254,77 @@ def _mixed_buckets(placed: DataFrame) -> DataFrame:
     return placed.join(mixed, "band", "left_semi")
 
 
-def _bounds(sets: DataFrame) -> DataFrame:
-    """``node, size, rare``: the size of each set, and how much of it no other set has."""
-    rare = (
-        sets.select("node", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle")
-        .agg(F.min("node").alias("node"), F.max("node").alias("last"))
-        .where("node = last")
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("rare"))
-    )
-    sizes = sets.select("node", F.size("shingles").alias("size"))
-    return sizes.join(rare, "node", "left").select("node", "size", F.coalesce("rare", F.lit(0)).alias("rare"))
-
-
-def _reachable(percent: int) -> Column:
-    """Whether two sets can be similar, if they have all in common that is not rare."""
-    most = F.least(F.col("size") - F.col("rare"), F.col("size_u") - F.col("rare_u"))
-    return most * 100 >= (F.col("size") + F.col("size_u") - most) * percent
+def _block_pairs(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` of one bucket and different components that are near, found in blocks.
 
-
-def _turn(
-    open_buckets: DataFrame, asked: DataFrame, linked_pairs: Callable[[DataFrame], DataFrame]
-) -> tuple[list[DataFrame], DataFrame]:
-    """The links among ``u, v, own_u, own_v``, and the buckets that are open after them."""
+    The largest component of a bucket is the one side; what is not in it, the
+    minor side, meets all that is in another component. Both sides are dealt out
+    to chunks of about BLOCK classes; a block is two chunks of which one is minor.
+    A task has one block at a time and puts out near pairs only. Shingles are cut
+    to 32 bits here, which can only add pairs; they are to be confirmed.
+    """
     spark = open_buckets.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return write_table(df, new_path(spark, name))
-
-    asked = kept(asked, "asked")
-    if asked.isEmpty():
-        return [], open_buckets
-    found = linked_pairs(asked.select("u", "v").distinct())
-    met = asked.join(found, ["u", "v"]).select(
-        F.col("own_u").alias("u"), F.col("own_v").alias("v")
-    )
-    joined = kept(connected_components(met), "joined").select(
-        F.col("node").alias("own"), F.col("component").alias("to")
-    )
-    if joined.isEmpty():
-        return [], open_buckets
-    placed = spread_join(open_buckets, joined, ["own"], "node", "left").select(
-        "band", "node", F.coalesce("to", "own").alias("own"), "size", "rare"
-    )
-    return [found], kept(_mixed_buckets(placed), "open")
-
-
-def _drawn_pairs(
-    open_buckets: DataFrame, bounds: DataFrame, turn: int, percent: int
-) -> DataFrame:
-    """Each node of a bucket with DRAWN others of it that are in other components."""
-    order = [F.xxhash64("node", F.lit(turn * DRAWN + k)) for k in range(DRAWN)]
-    drawn = open_buckets.groupBy("band").agg(
-        *[F.min_by("node", o).alias(f"n{k}") for k, o in enumerate(order)],
-        *[F.min_by("own", o).alias(f"o{k}") for k, o in enumerate(order)],
-    )
-    each = [F.struct(F.col(f"n{k}").alias("u"), F.col(f"o{k}").alias("own_u")) for k in range(DRAWN)]
-    leaders = drawn.select("band", F.explode(F.array_distinct(F.array(*each))).alias("drawn"))
-    limits = bounds.select(
-        F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("rare").alias("rare_u")
+    sides = (
+        open_buckets.groupBy("band", "own")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("band")
+        .agg(
+            F.max_by("own", F.struct("n", "own")).alias("main"),
+            F.ceil(F.max("n") / BLOCK).cast("int").alias("chunks"),
+            F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("minor_chunks"),
+        )
     )
-    leaders = leaders.select("band", "drawn.*").join(limits, "u")
-    met = spread_join(open_buckets, leaders, ["band"], "node")
-    return (
-        met.where((F.col("own") != F.col("own_u")) & _reachable(percent))
-        .select("u", F.col("node").alias("v"), "own_u", F.col("own").alias("own_v"))
-        .distinct()
+    minor = F.col("own") != F.col("main")
+    chunk = F.pmod(F.xxhash64("node"), F.when(minor, F.col("minor_chunks")).otherwise(F.col("chunks")))
+    placed = spread_join(open_buckets, sides, ["band"], "node").select(
+        "*", minor.alias("minor"), chunk.cast("int").alias("chunk")
     )
 
+    def block(left: Column, right: Column, of_main: bool) -> Column:
+        return F.struct(left.alias("left"), right.alias("right"), F.lit(of_main).alias("of_main"))
 
-def _all_pairs(open_buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in one bucket and different components.
+    def all_of(name: str, block_of: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(name) - 1), block_of)
 
-    The largest component of a bucket is the one side; what is not in it meets
-    all that is in another component. Pairs inside a component are not made.
-    """
-    main = (
-        open_buckets.groupBy("band", "own")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("band")
-        .agg(F.max_by("own", F.struct("n", "own")).alias("main"))
+    own = F.col("chunk")
+    with_main = all_of("chunks", lambda k: block(own, k, True))
+    with_minor = all_of("minor_chunks", lambda k: block(F.least(own, k), F.greatest(own, k), False))
+    of_main = all_of("minor_chunks", lambda k: block(k, own, True))
+    blocks = F.when(F.col("minor"), F.concat(with_main, with_minor)).otherwise(of_main)
+    rows = write_table(
+        placed.select("band", "node", "own", "minor", F.explode(blocks).alias("block")),
+        new_path(spark, "blocks"),
     )
-    minor = (
-        open_buckets.join(main, "band")
-        .where("own <> main")
-        .select("band", "main", *[F.col(c).alias(f"{c}_u") for c in ("node", "own", "size", "rare")])
-        .withColumnRenamed("node_u", "u")
+    cut = sets.select(
+        "node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles")
     )
-    met = spread_join(open_buckets, minor, ["band"], "node").where(
-        F.expr("own <> own_u and (own = main or node < u)") & _reachable(percent)
+    held = spread_join(rows, cut, ["node"], "band").select(
+        "band", "block.*", "node", "own", "minor", "shingles"
     )
-    return met.select("u", F.col("node").alias("v"), "own_u", F.col("own").alias("own_v")).distinct()
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, own, first = (table[c].to_numpy() for c in ("node", "own", "minor"))
+        lists = table["shingles"].chunk(0)
+        at = lists.offsets.to_numpy()
+        values = np.asarray(lists.values)[at[0] : at[-1]]
+        starts, size = (at - at[0])[:-1], np.diff(at)
+        codes = np.unique(values, return_inverse=True)[1]
+        found = [np.zeros((0, 2), np.int64)]
+        here = np.zeros(codes.max() + 1, np.int64)
+        for k in np.flatnonzero(first):
+            mine = codes[starts[k] : starts[k] + size[k]]
+            here[mine] = 1
+            common = np.add.reduceat(here[codes], starts)
+            here[mine] = 0
+            near = common * 100 >= (size + size[k] - common) * percent
+            others = node[near & (own != own[k])]
+            found.append(np.stack([np.minimum(others, node[k]), np.maximum(others, node[k])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    near = held.groupBy("band", "left", "right", "of_main").applyInArrow(compare, "u long, v long")
+    return near.distinct()
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

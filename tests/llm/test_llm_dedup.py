@@ -31,8 +31,10 @@ def test_near_duplicates_equal_all_pairs(corpus, corpus_rows, n):
     assert len({c for _, c in found.values()}) < len(found) - 15
 
 
-def test_near_duplicates_of_a_chain_in_one_bucket(spark):
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_duplicates_of_a_chain_in_one_bucket(spark, monkeypatch, block):
     """Neighbours are alike, ends are not: one component all the same."""
+    monkeypatch.setattr("labelspring.llm.minhash.BLOCK", block)
     words = [f"t{k}" for k in range(140)]
     texts = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(20)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
