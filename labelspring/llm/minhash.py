@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.llm.components import connected_components
-from labelspring.llm.shared import Membership, spread_join, thinned, union_all
+from labelspring.llm.shared import Membership, Workspace, spread_join, thinned, union_all
 from labelspring.llm.tokens import (
     LOWER,
     letters,
@@ -27,7 +27,7 @@ from labelspring.llm.tokens import (
     word_hashes,
     word_spans,
 )
-from labelspring.sources.scratch import drop_table, new_path, write_table
+from labelspring.sources.scratch import new_path, write_table
 
 #: With similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^50 = 3e-7.
 BANDS, ROWS = 50, 6
@@ -170,8 +170,8 @@ def near_duplicates(
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return write_table(df, new_path(spark, name))
+    tables = Workspace(spark)
+    kept = tables.keep
 
     signed = kept(signatures(docs, words), "signed")
     identity = ["set_a", "set_b", "n_shingles"]
@@ -183,12 +183,11 @@ def near_duplicates(
         "classes",
     )
     named = classes.select(*identity, F.col("node").alias("doc_id"))
-    at_buckets = new_path(spark, "buckets")
-    buckets = write_table(
+    buckets = kept(
         linked.join(named, [*identity, "doc_id"], "left_semi")
         .dropDuplicates([*identity, "doc_id"])
         .select(F.explode("bands").alias("band"), F.col("doc_id").alias("node")),
-        at_buckets,
+        "buckets",
     )
     leaders = (
         buckets.groupBy("band")
@@ -197,17 +196,13 @@ def near_duplicates(
         .drop("last")
     )
     shared = kept(spread_join(buckets, leaders, ["band"], "node"), "shared")
-    drop_table(spark, at_buckets)
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        return kept(_estimated(pairs, signed, percent / 100), "likely")
+    tables.drop("buckets")
 
     stars = shared.where("node <> leader")
     stars = stars.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    stars = likely(kept(stars, "asked"))
-    at_sets = new_path(spark, "sets")
-    links = [_confirmed(stars, write_table(full_sets(docs, _ends(stars), words), at_sets), percent)]
-    drop_table(spark, at_sets)
+    stars = kept(_estimated(kept(stars, "asked"), signed, percent / 100), "likely")
+    links = [_confirmed(stars, kept(full_sets(docs, _ends(stars), words), "sets"), percent)]
+    tables.drop("sets", "asked", "likely")
     components = kept(connected_components(links[0]), "components")
     own = components.select("node", F.col("component").alias("own"))
     open_buckets = kept(
@@ -218,6 +213,7 @@ def near_duplicates(
         ),
         "open",
     )
+    tables.drop("shared")
     if not open_buckets.isEmpty():
         nodes = open_buckets.select("node").distinct()
         sets = kept(full_sets(docs, nodes, words), "sets")
@@ -233,6 +229,7 @@ def near_duplicates(
         at_class.where("copies > 1 or component_id <> node").select(*identity, "component_id"),
         "moved",
     )
+    tables.drop_all_but("signed", "moved")
     found = spread_join(signed.select("doc_id", *identity), moved, identity, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelspring.sources.scratch import drop_table, new_path, write_table
+
 #: A key with more than this share of the rows is dealt out to copies: at most SHARE keys.
 SHARE = 2000
 #: Below this many rows a key is left whole.
@@ -48,6 +50,27 @@ def spread_join(
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+class Workspace:
+    """Tables that one run writes to the shared folder, by name, and drops when done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return write_table(df, path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                drop_table(self.spark, path)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[name for name in self.paths if name not in names])
+
+
 class Membership:
     """A bitmap of fixed size that holds every value of a column, and few others.
 

@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelspring.llm.shared import Membership, spread_join, thinned, union_all
+from labelspring.llm.shared import Membership, Workspace, spread_join, thinned, union_all
 from labelspring.llm.tokens import PIECE, pieces, powers, prefix_sums, span_hashes
-from labelspring.sources.scratch import drop_table, new_path, write_table
+from labelspring.sources.scratch import new_path, write_table
 
 LENGTH = 400
 GRAM = 32
@@ -128,37 +128,31 @@ def suffix_anchors(texts: DataFrame, length: int) -> DataFrame:
 class IndexFamily:
     """Levels of sorted suffix marks; level k holds 2^k batches."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.levels: list[tuple[int, DataFrame, str]] = []
+    def __init__(self, tables: Workspace):
+        self.keep = tables.keep
+        self.levels: list[tuple[int, DataFrame]] = []
         self.repeated: list[DataFrame] = []
 
-    def _keep(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = new_path(self.spark, name)
-        return write_table(df, path), path
-
     def _merge_equal(self) -> None:
         """Merge the two smallest levels while they are of one size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, one, at_one), (_, two, at_two) = self.levels.pop(), self.levels.pop()
+            (size, one), (_, two) = self.levels.pop(), self.levels.pop()
             merged = one.unionByName(two).distinct().sortWithinPartitions("mark")
-            self.levels.append((size + 1, *self._keep(merged, f"level-{size + 1}")))
-            drop_table(self.spark, at_one)
-            drop_table(self.spark, at_two)
+            self.levels.append((size + 1, self.keep(merged, "level")))
 
     def add(self, marks: DataFrame) -> None:
         """Sort a batch, and scan it against itself and all levels for marks seen before."""
         self._merge_equal()
         counted = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-        sorted_batch, at = self._keep(counted.sortWithinPartitions("mark"), "batch")
-        self.repeated.append(self._keep(sorted_batch.where("n > 1").select("mark"), "own")[0])
-        for _, level, _ in self.levels:
-            met = level.join(sorted_batch.select("mark"), "mark")
-            self.repeated.append(self._keep(met, "met")[0])
-        self.levels.append((0, sorted_batch.select("mark"), at))
+        batch = self.keep(counted.sortWithinPartitions("mark"), "level")
+        self.repeated.append(batch.where("n > 1").select("mark"))
+        for _, level in self.levels:
+            met = level.join(batch.select("mark"), "mark")
+            self.repeated.append(self.keep(met, "seen"))
+        self.levels.append((0, batch.select("mark")))
 
     def repeated_marks(self) -> DataFrame:
-        return self._keep(union_all(self.repeated).distinct(), "repeated")[0]
+        return self.keep(union_all(self.repeated).distinct(), "repeated")
 
 
 def finer_anchors(texts: DataFrame, length: int, places: int) -> DataFrame:
@@ -253,27 +247,22 @@ def cleaned(texts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(
-    texts: DataFrame, copied: DataFrame, length: int, batches: int
+    tables: Workspace, texts: DataFrame, copied: DataFrame, length: int, batches: int
 ) -> tuple[DataFrame, DataFrame]:
     """``key, low, high``: starts of repeated strings of the texts that no other row equals.
 
     Also returns the texts that hold them, among others. ``texts`` has ``key,
     text`` of all rows, ``copied`` the keys that several rows have.
     """
-    spark = texts.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return write_table(df, new_path(spark, name))
-
-    at_anchors = new_path(spark, "anchors")
-    anchors = write_table(suffix_anchors(texts, length), at_anchors)
-    family = IndexFamily(spark)
+    kept = tables.keep
+    anchors = kept(suffix_anchors(texts, length), "anchors")
+    family = IndexFamily(tables)
     number = F.pmod(F.xxhash64("key"), F.lit(batches))
     for k in range(batches):
         family.add(anchors.where(number == k).select("mark"))
     found = spread_join(anchors, family.repeated_marks(), ["mark"], "key")
     matched = kept(found.withColumn("weight", F.lit(1)), "matched")
-    drop_table(spark, at_anchors)
+    tables.drop("anchors", "level", "seen")
 
     equal = ["mark", "span"]
     classes = kept(classes_of(matched), "classes")
@@ -281,22 +270,22 @@ def repeated_starts(
     own = kept(spread_join(matched, copied, ["key"], "low", "left_anti"), "own")
     starts = [kept(spread_join(own, whole, equal, "key").select("key", "low", "high"), "resolved")]
     asked = kept(undecided(classes), "asked")
+    tables.drop("matched", "own")
 
     keys = asked.select("key").union(starts[0].select("key"))
     members = Membership(keys.select(F.xxhash64("key").alias("h")), "h", hashed=True)
     some = thinned(texts.withColumn("_h", F.xxhash64("key")), members, "_h", hashed=True)
     some = kept(some.drop("_h").dropDuplicates(["key"]), "texts")
     for places in PLACES[1:]:
-        at_finer = new_path(spark, "finer")
         lists = asked.groupBy("key").agg(
             *[F.collect_list(c).alias(f"{c}s") for c in ("low", "high", "weight")]
         )
-        finer = write_table(finer_anchors(some.join(lists, "key"), length, places), at_finer)
+        finer = kept(finer_anchors(some.join(lists, "key"), length, places), "finer")
         classes = kept(classes_of(finer), "classes")
         whole = classes.where("n > 1").select(*equal)
         found = spread_join(finer.where("weight = 1"), whole, equal, "key")
         starts.append(kept(found.select("key", "low", "high"), "resolved"))
-        drop_table(spark, at_finer)
+        tables.drop("finer")
         if places != PLACES[-1]:
             asked = kept(undecided(classes), "asked")
     return union_all(starts), some
@@ -312,32 +301,33 @@ def _removal(documents: DataFrame, length: int, batches: int) -> tuple[DataFrame
     decided, down to single strings. Text is read again only for documents with
     a match.
     """
-    spark = documents.sparkSession
+    tables = Workspace(documents.sparkSession)
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("key", text_key(F.col("text")))
-    ids = write_table(
+    ids = tables.keep(
         rows.select(
             "doc_id",
             "key",
             F.octet_length("text").cast("long").alias("n_bytes"),
             F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha"),
         ),
-        new_path(spark, "ids"),
+        "ids",
     )
-    copied = write_table(
+    copied = tables.keep(
         ids.where(F.col("n_bytes") >= length)
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_removed"))
         .where("n > 1")
         .drop("n"),
-        new_path(spark, "copied"),
+        "copied",
     )
-    starts, some = repeated_starts(rows.select("key", "text"), copied.select("key"), length, batches)
+    starts, some = repeated_starts(tables, rows.select("key", "text"), copied.select("key"), length, batches)
     lists = starts.groupBy("key").agg(
         F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")
     )
-    cut = write_table(cleaned(some.join(lists, "key"), length), new_path(spark, "cut"))
+    cut = tables.keep(cleaned(some.join(lists, "key"), length), "cut")
+    tables.drop_all_but("ids", "copied", "cut")
     gone = copied.select(
         "key", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")
     )
