@@ -38,14 +38,23 @@ HEADLINE = [
     "simcse_fit",
     "elastic_scores",
     "rf_scores",
+    "gbm_scores",
     "pseudo_select",
     "pseudo_topk",
     "roc_auc",
     "fold_metrics",
     "self_training",
     "cv_baseline",
+    "cv_two_stage",
+    "cv_self_training",
     "cv_proper",
+    "cv_oof",
+    "cv_ensemble",
+    "repeated_splits",
+    "cv_frozen",
+    "sweep",
     "fit_predict",
+    "run_job",
 ]
 
 
