@@ -226,9 +226,9 @@ def fit_pairs(
 
     Always starts from ``start``, so no round builds on another's matrix.
     """
-    drawn = make_pairs(train, n_pairs, seed)
-    pairs = attach_pair_values(drawn, train, "emb", n_pairs).persist()
+    drawn = make_pairs(train, n_pairs, seed).persist()
     weights, log = start.weights, []
+    pairs = attach_pair_values(drawn, train, "emb").persist()
     try:
         for epoch in range(1, epochs + 1):
             loss, grad, n = pair_gradient(pairs, weights)
@@ -236,6 +236,7 @@ def fit_pairs(
             log.append(("pairs", epoch, loss, size, n))
     finally:
         pairs.unpersist()
+        drawn.unpersist()
     return Projection(weights, [*start.epochs, *log])
 
 

@@ -177,14 +177,13 @@ def _join_drawn_often(ends: DataFrame, rows: DataFrame, n_pairs: int) -> DataFra
     return dealt.drop("copies").join(copied.drop("copies"), ["row_id", "copy"])
 
 
-def attach_pair_values(
-    pairs: DataFrame, rows: DataFrame, value: str, n_pairs: int
-) -> DataFrame:
+def attach_pair_values(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """Add ``{value}_a`` and ``{value}_b`` from ``rows(row_id, value)``.
 
-    Both ends are stacked, so the wide table is read once. The ids of few pairs
-    are broadcast, and then the wide table is not shuffled either.
+    Both ends are stacked, so the wide table is read once. The ids of few pairs,
+    which are counted, are broadcast, and then the wide table is not shuffled either.
     """
+    n_pairs = pairs.count()
     ends = pairs.select(
         "pair_id",
         "label",

@@ -100,7 +100,7 @@ def test_values_are_attached_to_both_ends(spark, monkeypatch, broadcast, hot):
     pairs = make_pairs(rows, 300)
     monkeypatch.setattr(sampling, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(sampling, "HOT_DRAWS", hot)
-    found = attach_pair_values(pairs, rows, "TEXT", 300).collect()
+    found = attach_pair_values(pairs, rows, "TEXT").collect()
     assert len(found) == 300
     assert all(r["TEXT_a"] == f"t{r['a']}" and r["TEXT_b"] == f"t{r['b']}" for r in found)
     assert sorted((r["pair_id"], r["a"], r["b"]) for r in found) == collected(

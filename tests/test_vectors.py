@@ -51,7 +51,7 @@ def unit(x):
 
 
 def test_pair_gradient(rows):
-    pairs = attach_pair_values(make_pairs(rows, 200), rows, "emb", 200).cache()
+    pairs = attach_pair_values(make_pairs(rows, 200), rows, "emb").cache()
     local = pairs.orderBy("pair_id").collect()
     a, b = (np.array([p[c] for p in local]) for c in ("emb_a", "emb_b"))
     y = np.array([p["label"] for p in local])
@@ -119,7 +119,7 @@ def test_dropout_masks_differ_by_view_and_repeat(rows):
 
 def test_pair_fit_starts_at_the_plain_loss_and_falls(rows):
     start = Projection.identity(WIDTH)
-    pairs = attach_pair_values(make_pairs(rows, 400), rows, "emb", 400)
+    pairs = attach_pair_values(make_pairs(rows, 400), rows, "emb")
     plain = cosine_pair_loss(pairs).first()["loss"]
     fitted = fit_pairs(rows, start, n_pairs=400, epochs=4, learning_rate=0.5)
     losses = [e[2] for e in fitted.epochs]
