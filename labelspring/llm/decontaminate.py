@@ -38,6 +38,8 @@ REACH = 48
 MIN_WORDS = 12
 #: ... and so large a share of them among its words.
 MIN_SHARE = 0.8
+#: So many equal words must stand against each other word for that share.
+MIN_SHARE_COST = round(MIN_SHARE / (1 - MIN_SHARE))
 #: Points that a substituted word costs; an equal word gains one.
 SUBSTITUTION = 2
 SEED_BITS = 1 << 24
@@ -157,6 +159,25 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
+def accepted_overlap(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """Start, length and equal words of the accepted stretch with the most equal words, if any.
+
+    A stretch is accepted with ``least`` equal words that are MIN_SHARE of its
+    words. At 80 %, equal words gain 1 and others cost 4; for each end the first
+    start whose sum is no higher gives the most equal words. Ties: the first end.
+    """
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MIN_SHARE_COST))])
+    same = np.concatenate([[0], np.cumsum(equal)])
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+    held = same - same[first]
+    end = int(np.argmax(held))
+    if held[end] < max(1, least):
+        return None
+    start = int(first[end])
+    start += int(np.argmax(equal[start:]))
+    return start, end - start, int(held[end])
+
+
 def _verified(aligned: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +190,9 @@ def _verified(aligned: DataFrame) -> DataFrame:
                 if last <= first:
                     continue
                 equal = words[first + shift : last + shift] == item[first:last]
-                start, length, same = best_overlap(equal)
-                if same >= min(MIN_WORDS, len(item)) and same >= MIN_SHARE * length:
+                found = accepted_overlap(equal, min(MIN_WORDS, len(item)))
+                if found:
+                    start, length, same = found
                     place = row["diagonal"] + first + start
                     out.append((row["doc_id"], row["item_id"], place, length, same))
             if out:
