@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 Words are runs of letters and digits in lower case; white space and ASCII
-punctuation separate them. NULL and empty texts hold nothing. Items with fewer
-than eight words cannot be found. Rows without ``doc_id`` or ``item_id`` are
+punctuation separate them. NULL and empty texts hold nothing. An item of up to
+seven words is found where all of them stand in a row; a longer one, by any
+stretch of an alignment with enough equal words, which always has a seed. Rows without ``doc_id`` or ``item_id`` are
 passed over. Rows that repeat a ``doc_id`` are judged together: if one of them
 holds an item, the id does. Items with equal words count as the one with the
 smallest id. Empty tables give no hits. Other columns are not looked at.
@@ -10,7 +11,7 @@ smallest id. Empty tables give no hits. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,16 @@ from labelspring.llm.tokens import (
 from labelspring.sources.scratch import cut_lineage, drop_table, new_path, write_table
 
 #: The words that a seed looks at (1) and those that it ignores (0).
-MASKS = ("11111111", "111101111", "11011011011", "1110110010111")
+#: Each stretch that :func:`accepted_overlap` takes of an item of eight words or more fits one.
+MASKS = ("11111", "110111", "11001011")
+#: Items shorter than the shortest mask have their whole word sequence as seed.
+SHORTEST = min(map(len, MASKS))
 #: Words kept to each side of the hits, for the alignment.
 REACH = 48
-#: An overlap needs so many equal words (a shorter item: all of its words) ...
+#: An overlap needs so many equal words (see least_equal for shorter items) ...
 MIN_WORDS = 12
+#: An item with fewer words tolerates no substitution.
+EXACT_BELOW = 8
 #: ... and so large a share of them among its words.
 MIN_SHARE = 0.8
 #: So many equal words must stand against each other word for that share.
@@ -58,9 +64,18 @@ def text_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield row, cuts, word_hashes(data, start, end), text
 
 
-def seeds(words: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def least_equal(n: int) -> int:
+    """The equal words that an item of ``n`` words needs: MIN_SHARE of them, MIN_WORDS at most."""
+    if n < EXACT_BELOW:
+        return n
+    return min(MIN_WORDS, -(-n * MIN_SHARE_COST // (MIN_SHARE_COST + 1)))
+
+
+def seeds(
+    words: np.ndarray, text: np.ndarray, masks: dict[int, str] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask the positions it fits at and the hashes of the words it looks at."""
-    for number, mask in enumerate(MASKS):
+    for number, mask in (dict(enumerate(MASKS)) if masks is None else masks).items():
         span = len(mask)
         size = len(words) - span + 1
         if size <= 0:
@@ -74,6 +89,11 @@ def seeds(words: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield at, _mixed(total[at])
 
 
+def whole_masks(lengths: Iterable[int]) -> dict[int, str]:
+    """Masks for the whole sequences of items with so few words, by their numbers."""
+    return {len(MASKS) + n: "1" * n for n in sorted(lengths)}
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """``seed, item_id, at`` of every seed of every item."""
 
@@ -81,7 +101,13 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, cuts, words, text in text_words(batch.column(1)):
-                for at, hashes in seeds(words, text):
+                found = list(seeds(words, text))
+                n_words = np.diff(cuts)
+                for number, mask in whole_masks(range(1, SHORTEST)).items():
+                    for at, hashes in seeds(words, text, {number: mask}):
+                        all_of_it = n_words[text[at]] == len(mask)
+                        found.append((at[all_of_it], hashes[all_of_it]))
+                for at, hashes in found:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(hashes.view(np.int64)),
@@ -109,14 +135,18 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(make, "item_id long, words binary")
 
 
-def hit_regions(documents: DataFrame, known: Membership) -> DataFrame:
-    """Stretches of the documents around words whose seeds an item may have."""
+def hit_regions(documents: DataFrame, known: Membership, short: Iterable[int] = ()) -> DataFrame:
+    """Stretches of the documents around words whose seeds an item may have.
+
+    ``short`` are the lengths of the items that are shorter than a mask.
+    """
+    masks = dict(enumerate(MASKS)) | whole_masks(short)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, cuts, words, text in text_words(batch.column(1)):
-                hits = [(at[m], h[m]) for at, h in seeds(words, text) for m in [known.holds(h)]]
+                hits = [(at[m], h[m]) for at, h in seeds(words, text, masks) for m in [known.holds(h)]]
                 if not hits or not sum(len(at) for at, _ in hits):
                     continue
                 at = np.concatenate([a for a, _ in hits])
@@ -190,7 +220,7 @@ def _verified(aligned: DataFrame) -> DataFrame:
                 if last <= first:
                     continue
                 equal = words[first + shift : last + shift] == item[first:last]
-                found = accepted_overlap(equal, min(MIN_WORDS, len(item)))
+                found = accepted_overlap(equal, least_equal(len(item)))
                 if found:
                     start, length, same = found
                     place = row["diagonal"] + first + start
@@ -227,9 +257,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    regions = cut_lineage(
-        hit_regions(docs, Membership(known, "seed", SEED_BITS, hashed=True)), "regions"
-    )
+    n_words = F.octet_length("words") / 8
+    short = items.where((n_words > 0) & (n_words < SHORTEST)).select(n_words.cast("int").alias("n"))
+    lengths = [r["n"] for r in short.distinct().collect()]
+    members = Membership(known, "seed", SEED_BITS, hashed=True)
+    regions = cut_lineage(hit_regions(docs, members, lengths), "regions")
     hits = regions.select(
         "doc_id", "low", F.explode(F.arrays_zip("seeds", "places")).alias("hit")
     ).select("doc_id", "low", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))

@@ -1,5 +1,7 @@
 """Every stretch that the rule accepts is found, by all stretches and all placings."""
 
+from itertools import combinations, product
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,44 @@ def test_weaker_overlap_beside_an_accepted_stretch(spark, equal):
     row = contamination(*_documents(spark, equal)).first()
     assert row["contaminated"] and row["item_id"] == 5
     assert 12 <= row["n_equal"] <= all_stretches(equal, 12)
+
+
+def _has_seed(equal):
+    n, bits = len(equal), int("".join("1" if e else "0" for e in equal), 2)
+    return any(
+        (bits >> k) & int(m, 2) == int(m, 2) for m in decontaminate.MASKS for k in range(n - len(m) + 1)
+    )
+
+
+def test_every_accepted_alignment_of_a_short_item_has_a_seed():
+    for n in range(8, 22):
+        least = decontaminate.least_equal(n)
+        for changed in range(n // 5 + 1):
+            for at in combinations(range(n), changed):
+                equal = [k not in at for k in range(n)]
+                assert sum(equal) < least or _has_seed(equal)
+
+
+def test_every_accepted_stretch_of_any_length_has_a_seed():
+    """Without a run of 5, runs are 4 less some words: 4 in all, as there are 4 to a changed word.
+
+    Of more than 9 runs two that follow each other are whole, which the last line tests.
+    """
+    for n in range(3, 10):
+        for less in product(range(5), repeat=n):
+            if sum(less) <= 4 and 4 * n - sum(less) >= decontaminate.MIN_WORDS:
+                runs = [[True] * (4 - x) for x in less]
+                assert _has_seed([e for run in runs for e in [*run, False]][:-1])
+    assert _has_seed([True] * 4 + [False] + [True] * 4) and _has_seed([True] * 5)
+
+
+def test_short_items(spark):
+    items = ["one", "what is", "a b c", "p q r s", "t1 t2 t3 t4 t5 t6 t7", " ".join(f"u{k}" for k in range(10))]
+    texts = [
+        "So, one!", "what, is this", "a b x c", "z p q r s", "t1 t2 t3 t4 t5 t6 t7 end", "t1 t2 t3 x t5 t6 t7",
+        "u0 u1 u2 x u4 u5 x u7 u8 u9", "u0 u1 x u3 u4 x u6 u7 x u9", "is what", "p q r",
+    ]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r["doc_id"]: r["item_id"] for r in contamination(documents, benchmark).collect()}
+    assert found == {0: 0, 1: 1, 2: None, 3: 3, 4: 4, 5: None, 6: 5, 7: None, 8: None, 9: None}
