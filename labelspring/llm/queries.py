@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labelspring.llm.archives import archive_index
 from labelspring.llm.decontaminate import contamination
-from labelspring.llm.licenses import COPYRIGHT_LINE, KNOWN_LICENSES, SPELLINGS, license_scan
+from labelspring.llm.licenses import (
+    COPYRIGHT_LINE,
+    KNOWN_LICENSES,
+    SPELLINGS,
+    license_scan,
+    license_texts,
+)
 from labelspring.llm.lines import without_boilerplate
 from labelspring.llm.minhash import near_duplicates
 from labelspring.llm.mixing import mixed
@@ -98,7 +104,7 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """For every document the licences whose entire text it, or one of its lines, is."""
-    known = spark.createDataFrame(KNOWN_LICENSES, "license_id string, text string")
+    known = spark.createDataFrame([*KNOWN_LICENSES, *license_texts()], "license_id string, text string")
     return license_scan(_table(spark, folder, "documents"), known)
 
 
