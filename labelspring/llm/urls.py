@@ -1,7 +1,8 @@
 """URL filters: dated list entries, and an as-of join of captures with them.
 
-DataFrame functions only. An entry names a host (with all hosts below it) or a
-host and a path, and adds it to the list or removes it from a date on. Entries
+DataFrame functions only. An entry names a host (with all hosts below it), or a
+host and a path of whole segments (with all paths below it); the case counts in a
+path only. It adds this to the list or removes it from a date on. Entries
 without pattern, action or date are passed over; of entries with equal pattern
 and time the removal wins. A capture without URL or time meets no entry and
 passes. Rows are judged one by one, so repeated captures get the same verdict;
@@ -30,18 +31,33 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]*)", 1)
 
 
+def url_paths(url: Column) -> Column:
+    """The whole path and all that it lies under, segment by segment, with and without a last slash."""
+    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    n = F.size(segments)
+    under = F.transform(
+        F.sequence(F.lit(1), n),
+        lambda i: F.concat(
+            F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")
+        ),
+    )
+    both = F.concat(under, F.transform(under, lambda p: F.rtrim(p, F.lit("/"))))
+    return F.when(F.length(path) > 1, F.filter(F.array_distinct(both), lambda p: F.length(p) > 1)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
 def url_patterns(url: Column) -> Column:
-    """All patterns that would match: the host, the domains above it, the host with its path."""
-    host, path = url_host(url), url_path(url)
+    """All patterns that would match: the host, the domains above it, each of them with the paths."""
+    host = url_host(url)
     labels = F.split(host, "\\.")
     n = F.size(labels)
     above = F.transform(
         F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array(F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, n), "."),
     )
-    paths = F.when(F.length(path) > 1, F.array(F.concat(host, path))).otherwise(
-        F.array().cast("array<string>")
-    )
+    paths = F.flatten(F.transform(above, lambda d: F.transform(url_paths(url), lambda p: F.concat(d, p))))
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(above, paths)))
 
 
@@ -51,9 +67,11 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     An ``add`` holds until the next entry of its pattern; adding what is on the
     list starts a new interval at once, removing what is not changes nothing.
     """
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
     known = entries.where(
         "pattern is not null and dated is not null and action in ('add', 'remove')"
-    ).select(F.lower("pattern").alias("pattern"), "action", "dated")
+    ).select(pattern.alias("pattern"), "action", "dated")
     changes = known.groupBy("pattern", "dated").agg(F.max("action").alias("action"))
     later = F.lead("dated").over(Window.partitionBy("pattern").orderBy("dated"))
     return (
