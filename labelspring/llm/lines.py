@@ -3,7 +3,9 @@
 A line is what stands between line feeds, white space at its ends aside; blank
 lines stay. NULL texts stay NULL and count as documents of their host. A NULL
 host is a host of its own. Rows are counted one by one, so a repeated row
-counts again; a line twice in one text counts once. The columns are those
+counts again; a line twice in one text counts once. With ``copies_once`` equal
+texts of a host count as one document, so that a text of which a host has many
+copies is not taken for boilerplate line by line. The columns are those
 given, other columns are untouched, and ``n_chars``, where present, follows the
 text. A text whose lines all go becomes empty. An empty table stays empty.
 """
@@ -39,23 +41,28 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS
+    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = False
 ) -> DataFrame:
     """``host, line, n_docs, host_docs`` of the lines above the ratio, ``line`` as its key.
 
     Lines are made distinct within each text, so that the shuffle carries one
-    partial count for each line, host and task.
+    partial count for each line, host and task. Copies meet by digest, with
+    their lines' keys and not their texts.
     """
+    spark = documents.sparkSession
     rows = documents.select(host_key(F.col("source")).alias("host"), F.col("text"))
-    keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
+    keys = F.array_compact(F.array_distinct(F.transform(F.split("text", "\n"), line_key)))
+    if copies_once:
+        digest = F.md5(F.encode("text", "UTF-8")).alias("of")
+        rows = rows.select("host", digest, keys.alias("keys")).groupBy("host", "of").agg(F.first("keys").alias("keys"))
+        rows, keys = write_table(rows, new_path(spark, "pages")), F.col("keys")
     counts = (
-        rows.select("host", F.explode(F.array_compact(keys)).alias("line"))
+        rows.select("host", F.explode(keys).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_docs"))
         .where(F.col("n_docs") >= least)
     )
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    spark = documents.sparkSession
     counts = write_table(counts, new_path(spark, "lines"))
     hosts = write_table(hosts, new_path(spark, "hosts"))
     return spread_join(counts, hosts, ["host"], "line").where(
@@ -64,7 +71,7 @@ def boilerplate_lines(
 
 
 def without_boilerplate(
-    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS
+    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = False
 ) -> DataFrame:
     """The documents without their hosts' boilerplate lines, with ``_n_dropped`` added.
 
@@ -74,7 +81,7 @@ def without_boilerplate(
     go to their hosts, large hosts dealt out.
     """
     spark = documents.sparkSession
-    found = write_table(boilerplate_lines(documents, ratio, least), new_path(spark, "found"))
+    found = write_table(boilerplate_lines(documents, ratio, least, copies_once), new_path(spark, "found"))
     lists = found.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("_bad"))
     rows = documents.select(
         F.struct(*[documents[c] for c in documents.columns]).alias("_row"),
