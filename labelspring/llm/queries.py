@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
 from labelspring.llm.archives import archive_index
 from labelspring.llm.decontaminate import contamination
@@ -20,9 +22,12 @@ from labelspring.llm.licenses import (
 from labelspring.llm.lines import without_boilerplate
 from labelspring.llm.minhash import near_duplicates
 from labelspring.llm.mixing import mixed
+from labelspring.llm.phrases import collocations
 from labelspring.llm.quality import quality_verdicts
 from labelspring.llm.scoring import pseudo_likelihood
+from labelspring.llm.search import ranked_search
 from labelspring.llm.suffixes import repeat_report
+from labelspring.llm.token_counts import token_counts
 from labelspring.llm.urls import url_host, url_path, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +156,22 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best collocations of each language."""
+    return collocations(_table(spark, folder, "documents"))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over 2048 tokens."""
+    definition = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts(_table(spark, folder, "documents"), definition)
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
@@ -162,6 +183,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_search": op12_search,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -295,6 +319,81 @@ FROM typed
 """
 
 
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), split AS (
+  SELECT lang, doc, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS words FROM pieces
+), worded AS (
+  SELECT lang, doc, piece, regexp_extract_all(words, '[^\x20\x09]+') AS words FROM split
+), placed AS (
+  SELECT lang, doc, piece, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM worded
+), followed AS (
+  SELECT lang, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c
+  FROM placed WINDOW w AS (PARTITION BY doc, piece ORDER BY i)
+), total AS (
+  SELECT lang, count(*) AS n FROM followed GROUP BY lang
+), one AS (
+  SELECT lang, a AS p, count(*) AS f FROM followed GROUP BY ALL
+), two AS (
+  SELECT lang, a, b, count(*) AS f FROM followed WHERE b IS NOT NULL GROUP BY ALL
+), three AS (
+  SELECT lang, a, b, c, count(*) AS f FROM followed WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, a, b, max(f) AS f
+  FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT two.lang, two.a || ' ' || two.b AS phrase, two.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two JOIN one x ON x.lang = two.lang AND x.p = two.a JOIN one y ON y.lang = two.lang AND y.p = two.b
+  LEFT JOIN longer ON longer.lang = two.lang AND longer.a = two.a AND longer.b = two.b
+  WHERE two.f >= 10 AND 100 * coalesce(longer.f, 0) < 50 * two.f
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 1, x.f, y.f
+  FROM three t JOIN one x ON x.lang = t.lang AND x.p = t.a
+  JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 2, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b
+  JOIN one y ON y.lang = t.lang AND y.p = t.c
+), scored AS (
+  SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM weakest JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+SEARCH = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+), sized AS (
+  SELECT doc_id, terms, len(terms) AS n FROM lowered WHERE len(terms) > 0
+), facts AS (
+  SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sized
+), occurs AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(all_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM occurs, facts GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * n * all_docs // all_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN occurs USING (term), facts GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def _licenses_sql() -> str:
     """The canonical forms as SQL, from the same patterns."""
 
@@ -335,4 +434,6 @@ LLM_ORACLE: dict[str, str] = {
     "op5_license_scan": _licenses_sql(),
     "op6_warc": WARC,
     "op10_line_dedup": LINES,
+    "op11_phrases": PHRASES,
+    "op12_search": SEARCH,
 }
