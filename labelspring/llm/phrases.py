@@ -7,7 +7,7 @@ weight that flows out of it, plus the pieces that end in it, where no edge goes
 
 Only the edges are shuffled, by the node that they leave, so that edges and nodes
 are summed in the same place; the edges of a node with a large share of all are
-dealt out one by one. What occurs often enough is then a small graph: its unary
+dealt out one by one. A task sends the edges that go to one place as one text. What occurs often enough is then a small graph: its unary
 paths are compacted, and the counts along a path say which phrases are only parts
 of longer ones.
 """
@@ -20,10 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspring.llm.shared import Workspace, spread_join, union_all
+from labelspring.llm.tokens import _mixed
 
 #: Words of an edge.
 LONGEST = 3
@@ -37,10 +39,13 @@ WORDS_AT_ONCE, NUMBERS_AT_ONCE, PART = 2 << 20, 1 << 20, 2 << 20
 HOT = 4000
 #: And with at least so many rows, of which a task sees an eighth or more.
 LEAST_HOT = 64
+#: Rows of the tasks' graphs that are summed up together.
+SUMMED_AT_ONCE = 1 << 16
 #: Rows of a language that are ranked in one task.
 RANKED_AT_ONCE = 200_000
 
 GRAMS = "lang string, gram string, n long"
+PLACED = "lang string, place long, hot boolean, grams string, counts binary"
 #: What ends a piece becomes a byte that no text has, space and tab become a space.
 _END = b"\xff"
 _PARTED = bytes(
@@ -114,38 +119,24 @@ class _Graph:
         return edges, weight, words
 
 
-def _joined(edges: np.ndarray, words: pa.Array) -> pa.Array:
+def _joined(edges: np.ndarray, names: pa.Array) -> pa.Array:
     """Word numbers as texts, the words apart by one space."""
-    parts = [words.take(pa.array(column)) for column in edges]
+    parts = [names.take(pa.array(column)) for column in edges]
     return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
-def _grams(edges: np.ndarray, weight: np.ndarray, words: list[bytes]) -> Iterator[tuple]:
-    """The rows of a task's graph: edges and piece ends by number of words, and its word flow.
-
-    Edges have LONGEST words. Rows with fewer words, two at least, are pieces that
-    end with these words. Rows of one word are the flow through that word, ends
-    included, and the row of no word is the flow through the whole graph.
-    """
-    names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-    length = (edges > 1).sum(axis=0)
-    for n in range(LONGEST, 1, -1):
-        of_it = length == n
-        yield n, _joined(edges[:n, of_it], names), weight[of_it]
-    flow = np.bincount(edges[0], weights=weight, minlength=len(words)).astype(np.int64)
-    met = np.flatnonzero(flow)
-    yield 1, names.take(pa.array(met)), flow[met]
-    yield 0, pa.array([""]), np.array([flow.sum()], np.int64)
+def _names(words: list[bytes]) -> pa.Array:
+    return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
 
 
 def _graphs(documents: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of(edges, weight, words)`` as batches, with the language, for each graph of a task."""
+    """The rows that ``rows_of(lang, edges, weight, words)`` makes of each graph of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, _Graph] = {}
 
         def flushed(lang: str, last: bool) -> Iterator[pa.RecordBatch]:
-            for columns in rows_of(*opened[lang].flush(last)):
+            for columns in rows_of(lang, *opened[lang].flush(last)):
                 langs = pa.array([lang]).take(pa.array(np.zeros(len(columns[0]), np.int64)))
                 yield pa.RecordBatch.from_arrays([langs, *columns], names)
 
@@ -173,23 +164,14 @@ def _graphs(documents: DataFrame, rows_of, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def local_grams(documents: DataFrame) -> DataFrame:
-    """``lang, gram, n``: the graph of each task, see :func:`_grams`."""
-
-    def rows_of(edges, weight, words):
-        for _, grams, n in _grams(edges, weight, words):
-            yield grams, pa.array(n, pa.int64())
-
-    return _graphs(documents, rows_of, GRAMS)
-
+def hot_nodes(documents: DataFrame, space: Workspace) -> tuple[list[tuple[str, str]], int]:
+    """Nodes that would send more than one in HOT of all rows to one place, and the number of rows.
 
-def hot_nodes(documents: DataFrame, space: Workspace) -> DataFrame:
-    """``lang, node``: nodes that would send more than one in HOT of all rows to one task.
-
-    Fewer than HOT. Which they are has no part in the result, only in where it is summed.
+    There are fewer than HOT. Which they are has no part in the result, only in
+    where it is summed.
     """
 
-    def rows_of(edges, weight, words):
+    def rows_of(lang, edges, weight, words):
         size = edges.shape[1]
         if not size:
             return
@@ -197,44 +179,114 @@ def hot_nodes(documents: DataFrame, space: Workspace) -> DataFrame:
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         rows = np.diff(np.r_[first, size])
         many = rows > max(LEAST_HOT // 8, size // HOT)
-        names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-        yield _joined(edges[:2, first[many]], names), pa.array(rows[many], pa.int64())
+        yield _joined(edges[:2, first[many]], _names(words)), pa.array(rows[many], pa.int64())
         yield pa.array([""]), pa.array([size], pa.int64())
 
     rows = _graphs(documents, rows_of, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = space.keep(rows, "hot_nodes")
     total = rows.where("gram = ''").agg(F.sum("n")).first()[0] or 0
     hot = rows.where((F.col("gram") != "") & (F.col("n") > max(LEAST_HOT, total // HOT)))
-    return hot.select("lang", F.col("gram").alias("node"))
+    return [tuple(r) for r in hot.select("lang", "gram").collect()], total
+
+
+def local_graphs(documents: DataFrame, hot: list[tuple[str, str]], places: int) -> DataFrame:
+    """``lang, place, hot, grams, counts``: the graphs of the tasks, by the place where they are summed.
+
+    Edges have LONGEST words. Grams with fewer words, two at least, are pieces that
+    end with these words. Grams of one word are the flow through that word, ends
+    included, and the gram of no word is the flow through the whole graph. Grams
+    are one text, one line each, and ``counts`` holds their 32-bit weights.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast((frozenset(hot), places))
+
+    def rows_of(lang, edges, weight, words):
+        if not edges.shape[1]:
+            return
+        hot, places = sent.value
+        names = _names(words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        node = _mixed(hashes[edges[0]] + _mixed(hashes[edges[1]]))
+        dealt = _mixed(node + _mixed(hashes[edges[-1]]))
+        numbers = {word: i for i, word in enumerate(names.to_pylist())} if hot else {}
+        apart = {
+            numbers[u] * len(words) + numbers[v]
+            for of, (u, v) in ((of, node.split(" ")) for of, node in hot)
+            if of == lang and u in numbers and v in numbers
+        }
+        is_hot = np.isin(edges[0] * len(words) + edges[1], np.array(sorted(apart), np.int64))
+        length = (edges > 1).sum(axis=0)
+        flow = np.bincount(edges[0], weights=weight, minlength=len(words)).astype(np.int64)
+        met = np.flatnonzero(flow)
+        grams, counts = [names.take(pa.array(met)), pa.array([""])], [flow[met], [flow.sum()]]
+        where, marks = [hashes[met], np.zeros(1, np.uint64)], [np.zeros(len(met) + 1, bool)]
+        for n in range(LONGEST, 1, -1):
+            of_it = length == n
+            grams.append(_joined(edges[:n, of_it], names))
+            counts.append(weight[of_it])
+            marks.append(is_hot[of_it])
+            where.append(np.where(is_hot, dealt, node)[of_it])
+        place = (np.concatenate(where) % np.uint64(places)).astype(np.int64) * 2 + np.concatenate(marks)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        ends = np.r_[first, len(place)].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(grams).take(pa.array(order)))
+        weights = np.concatenate(counts).astype(np.int32)[order]
+        yield (
+            pa.array(place[first] // 2, pa.int64()),
+            pa.array(place[first] % 2 == 1, pa.bool_()),
+            pc.binary_join(lists, "\n"),
+            pa.array([weights[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+        )
+
+    return _graphs(documents, rows_of, PLACED)
 
 
 def _n_words(gram: Column) -> Column:
     return F.when(gram == "", F.lit(0)).otherwise(F.size(F.split(gram, " ")))
 
 
+def _sums(table: pa.Table, least: int) -> pa.Table:
+    """``lang, gram, n`` of one place: what occurs often enough there, and all parts of hot nodes.
+
+    Edges, words and the whole flow are summed as they are. A node's count is the
+    sum of the edges that leave it and of the pieces that end in it.
+    """
+    table = table.combine_chunks()
+    lists = pc.split_pattern(table["grams"].combine_chunks(), "\n")
+    parent = pc.list_parent_indices(lists)
+    weights = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32).astype(np.int64)
+    rows = pa.table({
+        "lang": table["lang"].take(parent), "hot": table["hot"].take(parent),
+        "gram": lists.flatten(), "n": weights,
+    })
+    sums = rows.group_by(["lang", "hot", "gram"]).aggregate([("n", "sum")])
+    empty = pc.equal(sums["gram"], "")
+    words = pc.if_else(empty, 0, pc.add(pc.count_substring(sums["gram"], " "), 1))
+    whole = pc.or_(pc.equal(words, 1), pc.equal(words, LONGEST))
+    often = pc.greater_equal(sums["n_sum"], least)
+    kept = [sums.filter(pc.or_(empty, pc.and_(whole, often)))]
+    for n in range(2, LONGEST):
+        through = sums.filter(pc.greater_equal(words, n))
+        node = pc.replace_substring_regex(through["gram"], rf"^((?:[^ ]+ ){{{n - 1}}}[^ ]+) .*$", r"\1")
+        through = through.set_column(through.column_names.index("gram"), "gram", node)
+        flow = through.select(["lang", "hot", "gram", "n_sum"]).rename_columns(["lang", "hot", "gram", "n"])
+        flow = flow.group_by(["lang", "hot", "gram"]).aggregate([("n", "sum")])
+        kept.append(flow.filter(pc.or_(flow["hot"], pc.greater_equal(flow["n_sum"], least))))
+    columns = ["lang", "gram", "n_sum"]
+    return pa.concat_tables([k.select(columns) for k in kept]).rename_columns(["lang", "gram", "n"])
+
+
 def phrase_counts(documents: DataFrame, space: Workspace, least: int = LEAST) -> DataFrame:
     """``lang, gram, n`` of each phrase of up to LONGEST words that occurs ``least`` times; of no word, all.
 
-    Edges and piece ends meet by the node that they leave; a node's count is their
-    sum. A word's count is the sum of its flow through the tasks' graphs.
+    Places are many enough that one holds about SUMMED_AT_ONCE rows.
     """
-    words, often = _n_words(F.col("gram")), F.col("n") >= least
-    hot = F.broadcast(hot_nodes(documents, space).withColumn("hot", F.lit(True)))
-    node = F.substring_index("gram", " ", 2)
-    placed = local_grams(documents).withColumn("node", node).join(hot, ["lang", "node"], "left")
-    home = F.when(F.col("hot"), F.xxhash64("lang", "gram")).otherwise(F.xxhash64("lang", "node"))
-    rows = placed.select("lang", "gram", "n", home.alias("home"), F.col("hot").isNotNull().alias("hot"))
-    rows = rows.repartition("home")
-    # Both sums read the one shuffle: conditions stay above it, inside sums and cases.
-    sums = rows.groupBy("home", "hot", "lang", "gram").agg(F.sum("n").alias("n"))
-    parts = [sums.where(F.when(words == 0, True).when(words.between(2, LONGEST - 1), False).otherwise(often))]
-    for n in range(2, LONGEST):
-        first = F.substring_index("gram", " ", n).alias("gram")
-        flow = F.sum(F.when(words >= n, F.col("n"))).alias("n")
-        parts.append(rows.groupBy("home", "hot", "lang", first).agg(flow).where(F.col("hot") & F.col("n").isNotNull() | often))
-    small = union_all([part.select("lang", "gram", "n") for part in parts])
+    hot, total = hot_nodes(documents, space)
+    graphs = local_graphs(documents, hot, max(64, -(-total // SUMMED_AT_ONCE)))
+    small = graphs.groupBy("place").applyInArrow(lambda table: _sums(table, least), GRAMS)
     small = small.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return small.where(often | (F.col("gram") == ""))
+    return small.where((F.col("n") >= least) | (F.col("gram") == ""))
 
 
 def _start(gram: Column) -> Column:
