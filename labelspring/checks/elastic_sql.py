@@ -21,8 +21,10 @@ from labelspring.checks.oracle import (
 
 ALPHA, L1_RATIO = 0.01, 0.5
 SWEEPS = 120
-#: Scores are compared to so many decimals; the other solver leaves about 1e-5.
+#: Scores are compared to so many decimals; Spark's solver leaves about 1e-5.
 SCORE_DIGITS = 2
+#: Of the solver on sums.
+SOLVED_DIGITS = 6
 
 #: Vectors as the encoder stores them, and at unit length as the plans store them.
 ENCODED = f"""{DOCS}, {SLOTS}, encoded AS (
@@ -123,8 +125,50 @@ split_train AS (
 split_held AS (SELECT round AS g, row_id, emb FROM splits JOIN unit USING (row_id) WHERE held_out)"""
 
 
-def _rounded(value: str) -> str:
-    return f"round({value}, {SCORE_DIGITS}) AS score"
+def _rounded(value: str, digits: int = SOLVED_DIGITS) -> str:
+    return f"round({value}, {digits}) AS score"
+
+
+def fold_rounds(rounds: int, threshold: float, name: str = "") -> str:
+    """Self-training in each fold: fits ``{name}fit0`` and on, each on ``{name}train{r}``."""
+    parts = [f"{name}train0 AS (SELECT g, row_id, y, emb, 0 AS pseudo FROM fold_train)"]
+    cut = f"CAST({threshold} AS DOUBLE)"
+    for r in range(rounds):
+        parts.append(elastic(f"{name}fit{r}", f"{name}train{r}", "every"))
+        parts.append(f"""{name}train{r + 1} AS MATERIALIZED (
+  SELECT g, row_id, y, emb, 0 AS pseudo FROM fold_train
+  UNION ALL
+  SELECT g, -1 - row_id, CAST(score >= {cut} AS INTEGER), emb, 1
+  FROM {name}fit{r} JOIN every USING (g, row_id)
+  WHERE score >= {cut} OR score <= CAST(1 AS DOUBLE) - {cut})""")
+    return ",\n".join(parts)
+
+
+EVERY = "every AS (SELECT f AS g, row_id, emb FROM open_rows, (SELECT unnest(range(5)) AS f))"
+
+
+def _fold_counts(rounds: int) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT CAST(g AS INTEGER) AS fold, CAST({r} AS INTEGER) AS round, count(*) AS total_train,
+  count(*) FILTER (pseudo = 0) AS labeled, count(*) FILTER (pseudo = 1) AS pseudo,
+  count(*) FILTER (pseudo = 1 AND y = 1) AS pos, count(*) FILTER (pseudo = 1 AND y = 0) AS neg
+FROM train{r} GROUP BY g"""
+        for r in range(rounds + 1)
+    )
+
+
+def _swept(threshold: float, cut: float, name: str) -> str:
+    """Metrics of one variant's out-of-fold scores."""
+    hit, tag = f"score >= CAST({cut} AS DOUBLE)", f"CAST({threshold} AS DOUBLE) AS threshold"
+    return f"""SELECT {tag}, CAST({cut} AS DOUBLE) AS cut,
+  round((tp + tn) / n, 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(mse, 6) AS mse
+FROM (SELECT CAST(count(*) AS DOUBLE) AS n,
+  CAST(count(*) FILTER ({hit} AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER ({hit} AND y = 0) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (NOT {hit} AND y = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT {hit} AND y = 0) AS DOUBLE) AS tn,
+  avg((score - y) * (score - y)) AS mse
+  FROM {name} JOIN (SELECT row_id, "LABEL" AS y FROM lab) USING (row_id))"""
 
 
 ELASTIC_ORACLE: dict[str, str] = {
@@ -132,7 +176,7 @@ ELASTIC_ORACLE: dict[str, str] = {
 labelled AS (SELECT 0 AS g, row_id, "LABEL" AS y, emb FROM lab JOIN encoded USING (row_id)),
 open_rows AS (SELECT 0 AS g, row_id, emb FROM unl JOIN encoded USING (row_id)),
 {elastic("fit", "labelled", "open_rows")}
-SELECT row_id, {_rounded("score")} FROM fit""",
+SELECT row_id, {_rounded("score", SCORE_DIGITS)} FROM fit""",
     "elastic_self_training": f"""{BASE}, {self_trained(2, 0.9)}
 {_round_counts(2)}""",
     "elastic_fit_predict": f"""{BASE}, {self_trained(1, 0.9)}
@@ -141,11 +185,16 @@ SELECT row_id, {_rounded("score")}, {label_cut(0.5)} AS "LABEL" FROM fit1""",
 SELECT CAST(g AS INTEGER) AS fold, row_id, "LABEL" AS y, {_rounded("score")}
 FROM fit JOIN lab USING (row_id)""",
     "elastic_cv_ensemble": f"""{BASE}, {FOLDS},
-every AS (SELECT f AS g, row_id, emb FROM open_rows, (SELECT unnest(range(5)) AS f)),
+{EVERY},
 {elastic("fit", "fold_train", "every")},
 means AS (SELECT row_id, avg(score) AS score FROM fit GROUP BY row_id)
-SELECT row_id, {label_cut(0.5)} AS "LABEL" FROM means""",
+SELECT row_id, {_rounded("score")}, {label_cut(0.5)} AS "LABEL" FROM means""",
+    "elastic_cv_rounds": f"""{BASE}, {FOLDS}, {EVERY}, {fold_rounds(2, 0.9)}
+{_fold_counts(2)}""",
+    "elastic_sweep": f"""{BASE}, {FOLDS}, {EVERY}, {fold_rounds(1, 0.8, "a")}, {fold_rounds(1, 0.9, "b")},
+{elastic("low", "atrain1", "fold_held")}, {elastic("high", "btrain1", "fold_held")}
+{_swept(0.8, 0.5, "low")} UNION ALL {_swept(0.9, 0.5, "high")} UNION ALL {_swept(0.9, 0.6, "high")}""",
     "elastic_splits": f"""{BASE}, {SPLITS}, {elastic("fit", "split_train", "split_held")}
-SELECT CAST(g AS INTEGER) AS fold, row_id, lab."LABEL" AS y, {label_cut(0.5)} AS "LABEL"
+SELECT CAST(g AS INTEGER) AS fold, row_id, lab."LABEL" AS y, {_rounded("score")}, {label_cut(0.5)} AS "LABEL"
 FROM fit JOIN lab USING (row_id)""",
 }

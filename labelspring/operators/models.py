@@ -11,6 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from labelspring.functions.columns import clip_score
 from labelspring.functions.keyed import DEFAULT_SEED, keyed_order
+from labelspring.operators.linear import LinearModel, linear_score
 from labelspring.operators.rank import hashed_rank
 from labelspring.operators.scaling import fit_scaler
 
@@ -151,7 +152,11 @@ def fit_model(
         laid_out.unpersist()
 
 
-def score_rows(df: DataFrame, fitted: PipelineModel, vector: str = "feat") -> DataFrame:
+def score_rows(
+    df: DataFrame, fitted: PipelineModel | LinearModel, vector: str = "feat"
+) -> DataFrame:
     """Add ``score``, the prediction clipped to [0, 1]."""
+    if isinstance(fitted, LinearModel):
+        return linear_score(df, fitted, vector)
     predicted = fitted.transform(df.withColumn("_features", array_to_vector(vector)))
     return predicted.select(*df.columns, clip_score(F.col("_prediction")).alias("score"))

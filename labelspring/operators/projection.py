@@ -24,6 +24,7 @@ from labelspring.operators.sampling import attach_pair_values, batches, make_pai
 from labelspring.sources.scratch import drop_table, new_path, write_table
 
 GRADIENT_SCHEMA = "shard int, total double, n long, grad array<double>"
+FOLD_GRADIENT_SCHEMA = "shard int, fold int, total double, n long, grad array<double>"
 SHARDS = 64
 
 STORED_SCHEMA = "i int, w array<double>, epoch int, note array<string>"
@@ -159,6 +160,28 @@ def pair_gradient(pairs: DataFrame, weights: np.ndarray) -> tuple[float, np.ndar
     return total / n, grad / n, n
 
 
+def _batch_ranking(
+    a: np.ndarray, b: np.ndarray, w: np.ndarray, scale: float
+) -> tuple[float, np.ndarray]:
+    """Summed ranking loss of one batch's two views at W, and its gradient."""
+    u, v = a @ w.T, b @ w.T
+    nu = np.linalg.norm(u, axis=1, keepdims=True)
+    nv = np.linalg.norm(v, axis=1, keepdims=True)
+    live_u, live_v = nu > 0, nv > 0
+    nu, nv = np.where(live_u, nu, 1.0), np.where(live_v, nv, 1.0)
+    u, v = u / nu, v / nv
+    s = scale * (u @ v.T)
+    top = s.max(axis=1, keepdims=True)
+    share = np.exp(s - top)
+    mass = share.sum(axis=1, keepdims=True)
+    total = float((top + np.log(mass)).sum() - np.trace(s))
+    share = scale * (share / mass - np.eye(len(a)))
+    du, dv = share @ v, share.T @ u
+    du = np.where(live_u, du - (du * u).sum(axis=1, keepdims=True) * u, 0.0) / nu
+    dv = np.where(live_v, dv - (dv * v).sum(axis=1, keepdims=True) * v, 0.0) / nv
+    return total, du.T @ a + dv.T @ b
+
+
 def ranking_gradient(
     grouped: DataFrame, weights: np.ndarray, scale: float = RANKING_SCALE
 ) -> tuple[float, np.ndarray, int]:
@@ -166,43 +189,74 @@ def ranking_gradient(
 
     ``grouped`` has one row for each batch, with arrays ``view_a`` and ``view_b``.
     """
+    return fold_ranking_gradients(grouped, [weights], scale)[0]
+
+
+def fold_ranking_gradients(
+    grouped: DataFrame, weights: list[np.ndarray], scale: float = RANKING_SCALE
+) -> list[tuple[float, np.ndarray, int]]:
+    """Of each fold the mean loss at its own W, the gradient, and the number of rows it sees.
+
+    ``grouped`` has one row for each batch, with arrays ``view_a`` and ``view_b``, and
+    ``fold``: the fold that holds a row out, or NULL. A fold's batch is the batch
+    without the rows that the fold holds out. Folds that see the same rows at the
+    same W, as all do where no row is held out, share one product.
+    """
+    if "fold" not in grouped.columns:
+        grouped = grouped.withColumn("fold", F.lit(None).cast("array<int>"))
     shared = grouped.sparkSession.sparkContext.broadcast(weights)
 
     def partial(frames):
         from pyspark import TaskContext
 
-        w = shared.value
-        total, n, grad = 0.0, 0, np.zeros_like(w)
+        ws = shared.value
+        first = [next(i for i, w in enumerate(ws) if w is one or np.array_equal(w, one)) for one in ws]
+        total, n = [0.0] * len(ws), [0] * len(ws)
+        grads = [np.zeros_like(w) for w in ws]
         for frame in frames:
-            for view_a, view_b in zip(frame["view_a"], frame["view_b"], strict=True):
-                a = np.stack(view_a).astype(np.float64)
-                b = np.stack(view_b).astype(np.float64)
-                u, v = a @ w.T, b @ w.T
-                nu = np.linalg.norm(u, axis=1, keepdims=True)
-                nv = np.linalg.norm(v, axis=1, keepdims=True)
-                live_u, live_v = nu > 0, nv > 0
-                nu, nv = np.where(live_u, nu, 1.0), np.where(live_v, nv, 1.0)
-                u, v = u / nu, v / nv
-                s = scale * (u @ v.T)
-                top = s.max(axis=1, keepdims=True)
-                share = np.exp(s - top)
-                mass = share.sum(axis=1, keepdims=True)
-                total += float((top + np.log(mass)).sum() - np.trace(s))
-                share = scale * (share / mass - np.eye(len(a)))
-                du, dv = share @ v, share.T @ u
-                du = np.where(live_u, du - (du * u).sum(axis=1, keepdims=True) * u, 0.0) / nu
-                dv = np.where(live_v, dv - (dv * v).sum(axis=1, keepdims=True) * v, 0.0) / nv
-                grad += du.T @ a + dv.T @ b
-                n += len(a)
+            for view_a, view_b, held in zip(frame["view_a"], frame["view_b"], frame["fold"], strict=True):
+                a, b = np.stack(view_a).astype(np.float64), np.stack(view_b).astype(np.float64)
+                folds = np.full(len(a), -1) if held is None else np.array(
+                    [-1 if f is None or f != f else f for f in held], np.int64
+                )
+                known = {}
+                for fold in range(len(ws)):
+                    seen = folds != fold
+                    rows = int(seen.sum())
+                    if not rows:
+                        continue
+                    key = first[fold], seen.tobytes()
+                    if key not in known:
+                        known[key] = _batch_ranking(a[seen], b[seen], ws[fold], scale)
+                    total[fold] += known[key][0]
+                    grads[fold] += known[key][1]
+                    n[fold] += rows
         shard = TaskContext.get().partitionId() % SHARDS
         yield pd.DataFrame(
-            {"shard": [shard], "total": [total], "n": [n], "grad": [grad.ravel()]}
+            {
+                "shard": [shard] * len(ws),
+                "fold": range(len(ws)),
+                "total": total,
+                "n": n,
+                "grad": [g.ravel() for g in grads],
+            }
         )
 
-    partials = grouped.select("view_a", "view_b").mapInPandas(partial, GRADIENT_SCHEMA)
-    total, n, grad = _sum_gradients(partials)
+    partials = grouped.select("view_a", "view_b", "fold").mapInPandas(partial, FOLD_GRADIENT_SCHEMA)
+    sums = partials.withColumn("grad", array_to_vector("grad"))
+    for by in (["shard", "fold"], ["fold"]):
+        sums = sums.groupBy(*by).agg(
+            F.sum("total").alias("total"), F.sum("n").alias("n"), Summarizer.sum(F.col("grad")).alias("grad")
+        )
+    found = {r["fold"]: r for r in sums.withColumn("grad", vector_to_array("grad")).collect()}
     shared.destroy()
-    return total / n, grad / n, n
+    out = []
+    for fold, w in enumerate(weights):
+        row = found.get(fold)
+        if row is None or not row["n"]:
+            raise ValueError("there are no rows to train the projection on")
+        out.append((row["total"] / row["n"], np.array(row["grad"]).reshape(w.shape) / row["n"], row["n"]))
+    return out
 
 
 def _step(
@@ -267,7 +321,7 @@ def dropout_view(
 def two_views(
     grouped: DataFrame, epoch: int, probability: float = 0.1, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """``view_a`` and ``view_b`` of each batch with arrays ``row_id`` and ``emb``.
+    """``view_a`` and ``view_b`` of each batch with arrays ``row_id`` and ``emb``, and its ``fold``.
 
     The masks are drawn after the rows have met, so only the vectors are shuffled.
     """
@@ -279,7 +333,8 @@ def two_views(
             lambda x, r: dropout_view(x, r, epoch, view, probability, seed),
         )
 
-    return grouped.select(views(0).alias("view_a"), views(1).alias("view_b"))
+    rest = [c for c in ("fold",) if c in grouped.columns]
+    return grouped.select(views(0).alias("view_a"), views(1).alias("view_b"), *rest)
 
 
 def fit_simcse(
@@ -293,24 +348,48 @@ def fit_simcse(
     scale: float = RANKING_SCALE,
     seed: int = DEFAULT_SEED,
 ) -> Projection:
-    """Unsupervised fit on ``texts(row_id, emb)``: tell a row's two views from its batch.
+    """Unsupervised fit on ``texts(row_id, emb)``: tell a row's two views from its batch."""
+    rows = texts.select("row_id", "emb")
+    return fit_simcse_folds(
+        rows, start, 1, epochs, batch_size, learning_rate, max_grad_norm, dropout, scale, seed
+    )[0]
+
 
-    With more than one epoch the batches are written out and read by each.
+def fit_simcse_folds(
+    texts: DataFrame,
+    start: Projection,
+    folds: int,
+    epochs: int = 1,
+    batch_size: int = 32,
+    learning_rate: float = 0.2,
+    max_grad_norm: float = 1.0,
+    dropout: float = 0.1,
+    scale: float = RANKING_SCALE,
+    seed: int = DEFAULT_SEED,
+) -> list[Projection]:
+    """The unsupervised fits of all folds, each without the rows whose ``fold`` it is.
+
+    ``texts`` has ``row_id, emb`` and, with more than one fold, ``fold``, NULL for
+    rows that all folds see. The rows are dealt into batches once, and each batch
+    adds to the gradients of all folds: the vectors are shuffled once however many
+    folds there are. With more than one epoch the batches are written out and read
+    by each.
     """
-    weights, log = start.weights, []
-    grouped = gather_batches(
-        batches(texts.select("row_id", "emb"), batch_size, seed), "row_id", "emb"
-    )
+    columns = ["row_id", "emb", *(c for c in ("fold",) if c in texts.columns)]
+    weights, logs = [start.weights] * folds, [[] for _ in range(folds)]
+    grouped = gather_batches(batches(texts.select(*columns), batch_size, seed), *columns)
     path = new_path(texts.sparkSession, "batches") if epochs > 1 else None
     try:
         if path is not None:
             grouped = write_table(grouped, path)
         for epoch in range(1, epochs + 1):
             views = two_views(grouped, epoch, dropout, seed)
-            loss, grad, n = ranking_gradient(views, weights, scale)
-            weights, size = _step(weights, grad, learning_rate, max_grad_norm)
-            log.append(("simcse", epoch, loss, size, n))
+            sums = fold_ranking_gradients(views, weights, scale)
+            weights = list(weights)
+            for fold, (loss, grad, n) in enumerate(sums):
+                weights[fold], size = _step(weights[fold], grad, learning_rate, max_grad_norm)
+                logs[fold].append(("simcse", epoch, loss, size, n))
     finally:
         if path is not None:
             drop_table(texts.sparkSession, path)
-    return Projection(weights, [*start.epochs, *log])
+    return [Projection(w, [*start.epochs, *log]) for w, log in zip(weights, logs, strict=True)]

@@ -35,7 +35,7 @@ def run_job(
 
     Below ``out`` stand ``result`` (``row_id, LABEL`` as CSV) and the run log:
     ``rounds``, ``epochs`` and, with ``validate``, ``folds`` with the metrics of a
-    cross-validation. The log is added to, the result replaced. Returns
+    cross-validation, ``fold_rounds`` and ``fold_epochs`` with its sizes and losses. The log is added to, the result replaced. Returns
     ``row_id, LABEL`` as read from the result.
     """
     settings = Settings().overridden(overrides or [])
@@ -57,6 +57,8 @@ def run_job(
         if validate:
             result = cross_validate(labelled, unlabelled, settings)
             append_metrics(result.per_fold(), f"{out}/folds")
+            append_metrics(result.rounds().coalesce(1), f"{out}/fold_rounds")
+            append_metrics(result.epochs().coalesce(1), f"{out}/fold_epochs")
             result.release()
     finally:
         if fitted is not None:

@@ -6,19 +6,21 @@ vectors are computed once by the caller. A round only applies its matrix.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import label_by_cut
+from labelspring.operators.linear import LinearModel, fit_linear
 from labelspring.operators.models import fit_model, score_rows
 from labelspring.operators.projection import (
     Projection,
     apply_projection,
     fit_pairs,
     fit_simcse,
+    fit_simcse_folds,
 )
 from labelspring.operators.selection import (
     augment,
@@ -50,11 +52,12 @@ class Fitted:
     """Projection, scaler and regressor, with the counts of the rounds behind them."""
 
     projection: Projection
-    model: PipelineModel
+    model: PipelineModel | LinearModel
     train: DataFrame
     rounds: DataFrame | None = None
     scratch: str | None = None
     log: list[tuple] = field(default_factory=list)
+    counts: list[tuple] = field(default_factory=list)
 
     def release(self) -> None:
         """Delete the written pseudo-labels; ``train`` can no longer be read."""
@@ -133,39 +136,97 @@ def stage_one(
     return cached_projection(labelled.sparkSession, cache, fit, facts)
 
 
-def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitted:
-    """Fit the projection on pairs, then scaler and regressor on the moved vectors."""
-    projection = base
-    if settings.fine_tune:
-        projection = fit_pairs(
-            train,
-            base,
-            settings.pairs,
-            settings.epochs,
-            settings.learning_rate,
-            settings.max_grad_norm,
-            settings.seed,
-        )
-    model = fit_model(
-        apply_projection(train, projection),
-        settings.model,
-        partitions=settings.fit_partitions,
+def stage_one_folds(
+    folded: DataFrame, unlabelled: DataFrame, settings: Settings, base: Projection
+) -> list[Projection]:
+    """The unsupervised fit of each fold, on its training texts and all unlabelled ones.
+
+    One pass for all folds: see :func:`fit_simcse_folds`.
+    """
+    rest = unlabelled.select("row_id", "emb", F.lit(None).cast("int").alias("fold"))
+    texts = _own_key(folded.select("row_id", "emb", "fold"), F.lit(False)).unionByName(
+        _own_key(rest, F.lit(True))
+    )
+    return fit_simcse_folds(
+        texts,
+        base,
+        settings.folds,
+        settings.simcse_epochs,
+        settings.simcse_batch,
+        settings.simcse_learning_rate,
+        settings.max_grad_norm,
         seed=settings.seed,
-        fit_rows=settings.fit_rows,
-        **settings.model_params,
     )
+
+
+def first_rows(labelled: DataFrame) -> DataFrame:
+    """The labelled rows as the first round of self-training is fitted on them."""
+    return _own_key(labelled.select("row_id", "LABEL", "emb"), F.lit(False))
+
+
+def fit_projection(train: DataFrame, settings: Settings, base: Projection) -> Projection:
+    """The projection fitted on pairs, or ``base`` where there is no such fit."""
+    if not settings.fine_tune:
+        return base
+    return fit_pairs(
+        train,
+        base,
+        settings.pairs,
+        settings.epochs,
+        settings.learning_rate,
+        settings.max_grad_norm,
+        settings.seed,
+    )
+
+
+def fit_on(train: DataFrame, projection: Projection, settings: Settings) -> Fitted:
+    """Scaler and regressor on the moved vectors.
+
+    The elastic net is solved from sums over all rows, in one pass. The trees are
+    fitted on at most ``fit_rows`` rows.
+    """
+    moved = apply_projection(train, projection)
+    if settings.model == "elastic":
+        model = fit_linear(moved, len(projection.weights), **settings.model_params)
+    else:
+        model = fit_model(
+            moved,
+            settings.model,
+            partitions=settings.fit_partitions,
+            seed=settings.seed,
+            fit_rows=settings.fit_rows,
+            **settings.model_params,
+        )
     log = [(0, *epoch) for epoch in projection.epochs]
     return Fitted(projection, model, train, log=log)
 
 
+def fit_labelled(train: DataFrame, settings: Settings, base: Projection) -> Fitted:
+    """Fit the projection on pairs, then scaler and regressor on the moved vectors."""
+    return fit_on(train, fit_projection(train, settings, base), settings)
+
+
 def _chosen_rows(
-    fitted: Fitted, unlabelled: DataFrame, settings: Settings, rnd: int, path: str
+    fitted: Fitted,
+    unlabelled: DataFrame,
+    settings: Settings,
+    rnd: int,
+    path: str,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
     """``row_id, LABEL, emb`` of the round's pseudo-labels, written to ``path``.
 
     Under a cap only ids and scores of the confident rows are written; the cap is
-    cut there, and the vectors follow for the rows below it.
+    cut there, and the vectors follow for the rows below it. ``scores`` are the
+    scores of all rows, if they are written already.
     """
+    if scores is not None:
+        chosen = cap_by_class(
+            select_confident(scores, settings.threshold), round_cap(settings.cap, rnd)
+        ).select("row_id", "LABEL")
+        return write_table(
+            unlabelled.join(chosen, "row_id").select("row_id", "LABEL", "emb"), path
+        )
     scored = select_confident(fitted.score(unlabelled), settings.threshold)
     columns = ["row_id", "LABEL", "emb"]
     cap = round_cap(settings.cap, rnd)
@@ -188,6 +249,8 @@ def self_train(
     unlabelled: DataFrame,
     settings: Settings,
     base: Projection | None = None,
+    first: Fitted | None = None,
+    first_scores: DataFrame | None = None,
 ) -> Fitted:
     """Fit, promote confident predictions to labels, and fit again from ``base``.
 
@@ -207,12 +270,17 @@ def self_train(
     try:
         for rnd in range(settings.rounds + 1):
             counts.append((rnd, *round_counts(train).first()))
-            fitted = fit_labelled(_own_key(train, F.col("is_pseudo")), settings, base)
+            if rnd == 0 and first is not None:
+                fitted = replace(first)
+            else:
+                fitted = fit_labelled(_own_key(train, F.col("is_pseudo")), settings, base)
             log += [(rnd, *epoch) for epoch in fitted.projection.epochs]
             if rnd == settings.rounds:
                 break
             path = new_path(spark, f"pseudo-{rnd}")
-            chosen = _chosen_rows(fitted, unlabelled, settings, rnd, path)
+            chosen = _chosen_rows(
+                fitted, unlabelled, settings, rnd, path, first_scores if rnd == 0 else None
+            )
             if chosen.isEmpty():
                 drop_table(spark, path)
                 continue
@@ -227,7 +295,7 @@ def self_train(
     fitted.train = train
     fitted.rounds = spark.createDataFrame(counts, ROUND_SCHEMA)
     fitted.scratch = kept
-    fitted.log = log
+    fitted.log, fitted.counts = log, counts
     return fitted
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import UNLABELLED, strict_long, text_as_string
+from labelspring.operators.linear import LinearModel
 from labelspring.operators.projection import Projection
 
 
@@ -126,17 +127,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_model(
-    spark: SparkSession, path: str, projection: Projection, model: PipelineModel
+    spark: SparkSession, path: str, projection: Projection, model: PipelineModel | LinearModel
 ) -> None:
     """Keep a fitted encoder projection and its scaler and regressor."""
     projection.save(spark, f"{path}/projection")
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, LinearModel):
+        model.save(spark, f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[Projection, PipelineModel]:
+def load_model(spark: SparkSession, path: str) -> tuple[Projection, PipelineModel | LinearModel]:
+    trees = path_exists(spark, f"{path}/model/metadata")
     return (
         Projection.load(spark, f"{path}/projection"),
-        PipelineModel.load(f"{path}/model"),
+        PipelineModel.load(f"{path}/model") if trees else LinearModel.load(spark, f"{path}/model"),
     )
 
 

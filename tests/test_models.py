@@ -3,8 +3,18 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from labelspring.operators.linear import (
+    LinearModel,
+    Moments,
+    fit_linear,
+    group_moments,
+    pseudo_moments,
+    solve_elastic,
+)
 from labelspring.operators.models import bounded_rows, fit_model, make_regressor, score_rows
+from labelspring.operators.projection import Projection
 from labelspring.operators.scaling import fit_scaler, scaler_stats
+from labelspring.sources.tables import load_model, save_model
 
 WIDTH = 6
 
@@ -133,6 +143,68 @@ def test_forest_scores_are_the_means_of_its_trees(rows):
         assert row["_prediction"] == pytest.approx(mean, abs=1e-9)
 
 
+def plain_moments(x, y):
+    return Moments(len(y), y.sum(), (y * y).sum(), x.sum(axis=0), x.T @ y, x.T @ x)
+
+
+def test_the_net_on_sums_meets_the_optimality_conditions(rows, data):
+    x, y = scaled(data), data[1]
+    std = data[0].astype(np.float64).std(axis=0)
+    for alpha, l1_ratio in ((0.01, 0.5), (0.2, 0.9), (0.05, 0.0)):
+        model = fit_linear(rows, WIDTH, alpha=alpha, l1_ratio=l1_ratio)
+        w = model.weights * np.where(std > 0, std, 1.0)
+        residual = y - y.mean() - x @ w
+        slope = x.T @ residual / len(y) - alpha * (1 - l1_ratio) * w
+        for j in range(WIDTH):
+            if w[j] != 0:
+                assert slope[j] == pytest.approx(alpha * l1_ratio * np.sign(w[j]), abs=1e-10)
+            else:
+                assert abs(slope[j]) <= alpha * l1_ratio + 1e-10
+        assert w[4] == 0.0  # the constant dimension
+        expected = np.clip(data[0] @ model.weights + model.intercept, 0, 1)
+        assert np.allclose(scores(rows, model), expected, atol=1e-9)
+
+
+def test_groups_sums_may_overlap_and_be_taken_away(rows, data):
+    x, y = data[0].astype(np.float64), data[1].astype(np.float64)
+    members = F.filter(
+        F.array(F.lit(0), F.when(F.col("row_id") % 3 == 0, 1), F.when(F.col("row_id") < 0, 2)),
+        lambda g: g.isNotNull(),
+    )
+    every, third, none = group_moments(rows.repartition(7), members, 3, WIDTH)
+    at = np.arange(len(y)) % 3 == 0
+    for found, expected in (
+        (every, plain_moments(x, y)),
+        (third, plain_moments(x[at], y[at])),
+        (every - third, plain_moments(x[~at], y[~at])),
+        (third + (every - third), plain_moments(x, y)),
+        (none, Moments.none(WIDTH)),
+    ):
+        for a, b in zip(found._parts(), expected._parts(), strict=True):
+            assert np.allclose(a, b, atol=1e-9)
+    with pytest.raises(ValueError, match="no labelled rows"):
+        solve_elastic(none)
+
+
+def test_pseudo_labels_of_several_models_in_one_pass(rows, data):
+    x = data[0].astype(np.float64)
+    models = [fit_linear(rows, WIDTH), LinearModel(np.zeros(WIDTH), 0.5), LinearModel(np.zeros(WIDTH), 9.0)]
+    sums = pseudo_moments(rows, models, [0.8, 0.8, 1.0])
+    score = np.clip(x @ models[0].weights + models[0].intercept, 0, 1)
+    at = (score >= 0.8) | (score <= 1 - 0.8)
+    assert (sums[0].n, sums[0].y) == (at.sum(), (score >= 0.8).sum()) and 0 < at.sum() < len(x)
+    assert np.allclose(sums[0].x, x[at].sum(axis=0))
+    assert sums[1].n == 0 and (sums[2].n, sums[2].y) == (len(x), len(x))
+
+
+def test_a_linear_model_is_kept(spark, rows, tmp_path):
+    model = fit_linear(rows, WIDTH)
+    save_model(spark, str(tmp_path / "kept"), Projection.identity(WIDTH), model)
+    projection, loaded = load_model(spark, str(tmp_path / "kept"))
+    assert projection.is_identity and isinstance(loaded, LinearModel)
+    assert np.array_equal(loaded.weights, model.weights) and loaded.intercept == model.intercept
+
+
 def test_unknown_regressor():
     with pytest.raises(ValueError, match="unknown model"):
         make_regressor("svm")

@@ -1,11 +1,21 @@
+from multiprocessing.pool import ThreadPool
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelspring.operators.projection import Projection
-from labelspring.plans import training
+from labelspring.operators import projection as projection_module
+from labelspring.operators.losses import gather_batches
+from labelspring.operators.projection import (
+    Projection,
+    _step,
+    fit_simcse_folds,
+    ranking_gradient,
+    two_views,
+)
+from labelspring.operators.sampling import batches
+from labelspring.plans import evaluate, training
 from labelspring.plans.evaluate import (
     cross_validate,
     fold_ensemble,
@@ -14,6 +24,7 @@ from labelspring.plans.evaluate import (
     validate_frozen,
 )
 from labelspring.plans.settings import Settings
+from labelspring.plans.steps import Steps
 from labelspring.plans.training import fit_predict, self_train
 from labelspring.sources.scratch import shared_folder
 from labelspring.sources.tables import load_model
@@ -255,38 +266,128 @@ def test_sweep_has_one_row_for_each_setting(labelled, unlabelled):
     assert all(r["auc"] > 0.8 for r in table)
 
 
-def test_sweep_over_a_cut_fits_once(labelled, unlabelled, monkeypatch):
-    from labelspring.plans import evaluate
-
-    calls = []
-    real = evaluate.cross_validate
-    monkeypatch.setattr(evaluate, "cross_validate", lambda *a, **k: calls.append(1) or real(*a, **k))
+def test_sweep_over_a_cut_fits_once(labelled, unlabelled):
+    steps = Steps()
     changes = [{"cv_cut": c} for c in (0.4, 0.5, 0.6)]
-    table = evaluate.sweep(labelled, unlabelled, QUICK, changes).collect()
-    assert len(calls) == 1 and [r["cut"] for r in table] == [0.4, 0.5, 0.6]
+    table = sweep(labelled, unlabelled, QUICK, changes, steps=steps).collect()
+    assert [r["cut"] for r in table] == [0.4, 0.5, 0.6]
+    assert steps.runs == {"folds": 1, "stage_one": 1, "projection": 3, "fit": 3, "rounds": 3}
     assert len({r["auc"] for r in table}) == 1 and len({r["recall"] for r in table}) > 1
 
 
+def test_sweep_shares_the_steps_before_a_change(labelled, unlabelled):
+    """Thresholds share the first fit and its scores, regressors the first projection."""
+    steps = Steps()
+    changes = [
+        {"threshold": 0.8},
+        {"threshold": 0.9, "cap": 5},
+        {"model": "rf", "model_params": {"trees": 4}},
+    ]
+    table = sweep(labelled, unlabelled, QUICK, changes, steps=steps).collect()
+    assert steps.runs == {
+        "folds": 1, "stage_one": 1, "projection": 3, "fit": 6, "scores": 3, "rounds": 9
+    }
+    for row, change in zip(table, changes, strict=True):
+        alone = cross_validate(labelled, unlabelled, QUICK.but(**change)).pooled().first()
+        assert row["accuracy"] == pytest.approx(alone["accuracy"])
+        assert row["mse"] == pytest.approx(alone["mse"], abs=1e-9)
+
+
+def test_a_step_runs_once_in_many_threads():
+    steps, calls = Steps(), []
+    with ThreadPool(8) as pool:
+        found = pool.map(lambda i: steps.once("a", (i % 2,), lambda: calls.append(i) or len(calls)), range(40))
+    assert len(calls) == 2 and steps.runs["a"] == 2 and set(found) == {1, 2}
+    assert sorted(steps.results("a")) == [1, 2] and steps.results("b") == []
+
+
+def test_linear_folds_equal_separate_fits(labelled, unlabelled):
+    """Folds, rounds and thresholds from shared passes, and each by itself."""
+    plain = QUICK.but(fine_tune=False, rounds=2)
+    steps = Steps()
+    variants = [plain.but(threshold=t, cv_cut=c) for t, c in ((0.7, 0.5), (0.8, 0.5), (0.8, 0.6))]
+    results = evaluate._validate(labelled, unlabelled, variants, True, True, steps)
+    assert steps.runs["labelled_passes"] == 1 and steps.runs["unlabelled_passes"] == 2
+    base = Projection.identity(WIDTH)
+    for variant, result in zip(variants, results, strict=True):
+        folds = {r["row_id"]: r["fold"] for r in result.oof.collect()}
+        scores = {r["row_id"]: r["score"] for r in result.oof.collect()}
+        assert sorted(folds) == list(range(120)) and result.cut == variant.cv_cut
+        assert result.test_scores.count() == 900
+        for fold in range(3):
+            held = [i for i, f in folds.items() if f == fold]
+            fitted = self_train(labelled.filter(~F.col("row_id").isin(held)), unlabelled, variant, base)
+            alone = fitted.score(labelled.filter(F.col("row_id").isin(held)))
+            for r in alone.collect():
+                assert scores[r["row_id"]] == pytest.approx(r["score"], abs=1e-9)
+            sizes = [tuple(r)[1:] for r in result.rounds().filter(F.col("fold") == fold).collect()]
+            assert sizes == [tuple(r) for r in fitted.rounds.collect()]
+
+
+def test_linear_splits_equal_separate_fits(labelled):
+    settings = QUICK.but(fine_tune=False)
+    result = repeated_splits(labelled, settings, rounds=(0, 3))
+    base = Projection.identity(WIDTH)
+    for rnd in (0, 3):
+        scores = {r["row_id"]: r["score"] for r in result.oof.filter(F.col("fold") == rnd).collect()}
+        assert len(scores) == 24
+        held = F.col("row_id").isin(list(scores))
+        fitted = training.fit_labelled(labelled.filter(~held), settings, base)
+        for r in fitted.score(labelled.filter(held)).collect():
+            assert scores[r["row_id"]] == pytest.approx(r["score"], abs=1e-9)
+
+
+def test_a_validation_keeps_sizes_and_losses_of_its_folds(labelled, unlabelled):
+    result = cross_validate(labelled, unlabelled, QUICK)
+    rounds = result.rounds().collect()
+    assert [(r["fold"], r["round"]) for r in rounds] == [(f, i) for f in range(3) for i in (0, 1)]
+    assert all(r["labeled"] == 80 and r["total_train"] == 80 + r["pseudo"] for r in rounds)
+    epochs = result.epochs().filter("stage = 'pairs'").collect()
+    assert len(epochs) == 3 * 2 * QUICK.epochs and all(r["loss"] > 0 for r in epochs)
+
+
 @pytest.mark.parametrize("change", [{"simcse": "both"}, {"threshold": 0.5}])
 def test_settings_are_checked(change):
     with pytest.raises(ValueError):
         QUICK.but(**change)
 
 
-def test_validation_texts_stay_out_of_the_fold_stage(labelled, unlabelled, monkeypatch):
-    """With ``simcse='fold'`` the unsupervised stage sees no held-out row."""
-    from labelspring.plans import training
-
-    seen = []
-    real = training.fit_simcse
+def test_validation_texts_stay_out_of_the_fold_stage(labelled, unlabelled):
+    """With ``simcse='fold'`` each fold's unsupervised stage sees no held-out row."""
+    result = cross_validate(labelled, unlabelled, QUICK.but(simcse="fold"), False)
+    seen = result.epochs().filter("stage = 'simcse'").collect()
+    assert sorted((r["fold"], r["n"]) for r in seen) == [(f, 380) for f in range(3)]
+    shared = cross_validate(labelled, unlabelled, QUICK.but(simcse="all"), False)
+    assert {r["n"] for r in shared.epochs().filter("stage = 'simcse'").collect()} == {420}
 
-    def spy(texts, *args, **kwargs):
-        seen.append(texts.agg(F.count_if(F.col("row_id").startswith("l")), F.count("*")).first())
-        return real(texts, *args, **kwargs)
 
-    monkeypatch.setattr(training, "fit_simcse", spy)
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_fold_stages_equal_separate_fits(labelled, unlabelled, epochs):
+    """One pass for all folds, against each fold's own rows in the same batches."""
+    folded = labelled.withColumn("fold", F.when(F.col("row_id") < 90, (F.col("row_id") % 3).cast("int")))
+    texts = folded.select("row_id", "emb", "fold").unionByName(
+        unlabelled.select("row_id", "emb", F.lit(None).cast("int").alias("fold"))
+    )
+    start = Projection.identity(WIDTH)
+    found = fit_simcse_folds(texts, start, 3, epochs, batch_size=16)
+    dealt = batches(texts, 16).cache()
+    for fold, projection in enumerate(found):
+        own = dealt.filter(F.col("fold").isNull() | (F.col("fold") != fold))
+        grouped, weights = gather_batches(own, "row_id", "emb"), start.weights
+        for epoch in range(1, epochs + 1):
+            loss, grad, n = ranking_gradient(two_views(grouped, epoch), weights)
+            weights, size = _step(weights, grad, 0.2, 1.0)
+            assert projection.epochs[epoch - 1][2] == pytest.approx(loss, abs=1e-12)
+            assert projection.epochs[epoch - 1][4] == n == 390
+        assert np.allclose(projection.weights, weights, atol=1e-12)
+    assert not np.allclose(found[0].weights, found[1].weights, atol=1e-9)
+
+
+def test_fold_stages_shuffle_the_vectors_once(labelled, unlabelled, monkeypatch):
+    calls = []
+    real = projection_module.fold_ranking_gradients
+    monkeypatch.setattr(
+        projection_module, "fold_ranking_gradients", lambda *a, **k: calls.append(1) or real(*a, **k)
+    )
     cross_validate(labelled, unlabelled, QUICK.but(simcse="fold"), False)
-    assert [tuple(s) for s in seen] == [(80, 380)] * 3
-    seen.clear()
-    cross_validate(labelled, unlabelled, QUICK.but(simcse="all"), False)
-    assert [tuple(s) for s in seen] == [(120, 420)]
+    assert len(calls) == 1
