@@ -15,6 +15,7 @@ taken to be equally likely.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,9 @@ FIT_ROWS = 10_000
 #: Buckets that words are hashed to.
 FEATURES = 512
 STEPS, RATE, DECAY = 300, 4.0, 1e-4
-#: Weight of the rates' distance from 1, in squared shares of all tokens.
-RIDGE = 1e-3
+#: Weight of the rates' distance from 1 against a domain's miss as a share of its target, at
+#: first and at least; it shrinks tenfold until every miss is below TOLERANCE of its target.
+RIDGE, LEAST_RIDGE, TOLERANCE = 1e-3, 1e-10, 0.005
 #: Passes over the posteriors, and the relative gradient at which they end.
 PASSES, CLOSE = 40, 1e-9
 
@@ -150,7 +152,14 @@ def _totals(members: DataFrame, push: np.ndarray) -> tuple[float, np.ndarray, np
     return float(values[0]), values[1 : 1 + k], values[1 + k :].reshape(k, k)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighed(targets: np.ndarray, ridge: float) -> np.ndarray:
+    """A domain's own ridge: its target, or a millionth of all where it has none, times ``ridge``."""
+    return ridge * np.maximum(targets, max(float(targets.sum()), 1.0) * 1e-6)
+
+
+def solve_rates(
+    members: DataFrame, targets: np.ndarray, ridge: np.ndarray, push: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """The domains' push whose rates solve the least squares, and the expected tokens there.
 
     The gradient for a document depends on its posteriors and on the domains'
@@ -159,20 +168,17 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.n
     documents' second moments, and halves the step while the objective does not
     fall. The driver sees sums by domain and pair of domains.
     """
-    k = len(targets)
-    push = np.zeros(k)
     square, total, slope = _totals(members, push)
-    ridge = RIDGE * max(float(targets.sum()), 1.0)
 
     def objective(at: np.ndarray, squares: float) -> float:
-        return float(ridge * (at @ at) / 2 + squares / 2 + targets @ at)
+        return float(ridge @ (at * at) / 2 + squares / 2 + targets @ at)
 
     value, size = objective(push, square), 1.0
     step = None
     for _ in range(PASSES):
         gradient = ridge * push - total + targets
         if step is None:
-            step = np.linalg.solve(slope + ridge * np.eye(k), gradient)
+            step = np.linalg.solve(slope + np.diag(ridge), gradient)
         if np.abs(gradient).sum() <= CLOSE * max(float(targets.sum()), 1.0):
             break
         moved = push - size * step
@@ -187,6 +193,28 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.n
     return push, total
 
 
+def fit_rates(members: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The push whose rates meet the targets, the expected tokens, and the worst relative miss.
+
+    Each domain's miss is weighed by its target. The weight of the rates' distance
+    from 1 shrinks until every domain is within TOLERANCE of its target. Where a
+    tenth of it does not halve the worst miss, the targets are out of reach of any
+    rates: then the last rates that did are taken, and a warning tells the miss.
+    """
+    push, ridge, best = np.zeros(len(targets)), RIDGE, None
+    while ridge >= LEAST_RIDGE:
+        push, total = solve_rates(members, targets, weighed(targets, ridge), push)
+        miss = float((np.abs(total - targets) / weighed(targets, 1.0)).max())
+        if best is not None and miss > best[2] / 2:
+            break
+        best = push, total, miss
+        if miss <= TOLERANCE or not targets.sum():
+            return best
+        ridge /= 10
+    warnings.warn(f"no rates meet the targets: a domain misses its own by {best[2]:.2%}", stacklevel=2)
+    return best
+
+
 def with_posteriors(
     documents: DataFrame, model: DomainModel, push: np.ndarray | None = None
 ) -> DataFrame:
@@ -224,7 +252,9 @@ def mixed(documents: DataFrame, labelled: DataFrame, weights: dict[str, float])
 
     ``labelled`` has ``doc_id, domain``; ``weights`` names the domains and their
     shares of the mixed tokens, of which there are to be as many as now. A
-    document is to be read ``rate`` times in expectation; 0 leaves it out.
+    document is to be read ``rate`` times in expectation; 0 leaves it out. Every
+    domain's expected tokens are within TOLERANCE of its target, or a warning
+    tells by how much they miss it.
     """
     domains = list(weights)
     model = fit_domains(documents, labelled, domains)
@@ -233,5 +263,5 @@ def mixed(documents: DataFrame, labelled: DataFrame, weights: dict[str, float])
     )
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     shares = np.array([weights[d] for d in domains], np.float64)
-    push, _ = fit_rates(members, shares / shares.sum() * total)
+    push, _, _ = fit_rates(members, shares / shares.sum() * total)
     return with_posteriors(documents, model, push)
