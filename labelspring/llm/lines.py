@@ -41,13 +41,15 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = False
+    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = True
 ) -> DataFrame:
     """``host, line, n_docs, host_docs`` of the lines above the ratio, ``line`` as its key.
 
     Lines are made distinct within each text, so that the shuffle carries one
-    partial count for each line, host and task. Copies meet by digest, with
-    their lines' keys and not their texts.
+    partial count for each line, host and task. Equal texts of a host are one page,
+    both in a line's count and in the host's, so that a document with many copies
+    does not make boilerplate of itself; ``copies_once=False`` counts every row.
+    Copies meet by digest, with their lines' keys and not their texts.
     """
     spark = documents.sparkSession
     rows = documents.select(host_key(F.col("source")).alias("host"), F.col("text"))
@@ -71,10 +73,13 @@ def boilerplate_lines(
 
 
 def without_boilerplate(
-    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = False
+    documents: DataFrame, ratio: float = RATIO, least: int = MIN_DOCUMENTS, copies_once: bool = True
 ) -> DataFrame:
     """The documents without their hosts' boilerplate lines, with ``_n_dropped`` added.
 
+    A column of that name is replaced. Every row stays: one of which all lines go
+    has an empty text, a null text stays null. A very long text is a row like others.
+
     A host has at most (lines of an average document) / ratio such lines, so
     they travel as one array to each host. While all arrays are few, counted
     first, they are broadcast and the texts stay where they are; else the texts
@@ -103,6 +108,8 @@ def without_boilerplate(
     same = F.size("_left") == F.size("_lines")
     out = []
     for name in documents.columns:
+        if name == "_n_dropped":
+            continue
         column = F.col("_row").getField(name)
         if name == "text":
             column = F.when(F.col("_lines").isNull() | same, column).otherwise(text)

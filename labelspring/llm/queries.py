@@ -243,12 +243,14 @@ LINES = r"""
 WITH split AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
 ), placed AS (
-  SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split
+  SELECT doc_id, source, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split
 ), stripped AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM placed
 ), counted AS (
-  SELECT source, bare, count(DISTINCT doc_id) AS n FROM stripped WHERE bare <> '' GROUP BY ALL
-), hosts AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+  SELECT source, bare, count(DISTINCT text) AS n FROM stripped WHERE bare <> '' GROUP BY ALL
+), hosts AS (
+  SELECT source, count(*) AS total FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source
+),
 bad AS (
   SELECT source, bare FROM counted JOIN hosts USING (source) WHERE n >= 3 AND n > total * 0.1
 ), rest AS (

@@ -78,10 +78,10 @@ def quality(rows, rate=0.5):
 
 
 def without_lines(rows, ratio=0.1, least=3):
-    """{doc_id: text} of (doc_id, text, host) rows."""
+    """{doc_id: text} of (doc_id, text, host) rows; equal texts of a host count once."""
     docs, counts = Counter(), Counter()
     bare = lambda line: line.strip(" \t\n\x0b\f\r")
-    for _, text, host in rows:
+    for text, host in {(t, h) for _, t, h in rows}:
         docs[host] += 1
         for line in {bare(x) for x in (text or "").split("\n")} - {""}:
             counts[host, line] += 1
