@@ -69,7 +69,8 @@ def anchors_of(
     """Text number, first and last string start, mark and span of all anchors.
 
     ``mark`` is the hash of what all strings of ``length`` bytes with this anchor
-    share, ``span`` of all that they cover together.
+    share, ``span`` of all that they cover together, by another family of hashes:
+    a single string, where both are of the same bytes, has 128 bits.
     """
     none = tuple(np.zeros(0, t) for t in [np.int64] * 3 + [np.uint64] * 2)
     starts, ends = offsets[:-1], offsets[1:] - length + 1
@@ -93,7 +94,7 @@ def anchors_of(
     at, text = anchor[runs], text[runs]
     low, high = begin[runs], begin[last]
     mark = span_hashes(sums, at, at + length - places + 1)
-    span = span_hashes(sums, low, high + length)
+    span = span_hashes(prefix_sums(data, 1), low, high + length, 1)
     base = offsets[text]
     return text, low - base, high - base, mark, span
 

@@ -31,33 +31,40 @@ def numbered(seed: int, n: int) -> np.ndarray:
     return _mixed(_mixed(np.arange(n, dtype=np.uint64) + base) + np.uint64(seed))
 
 
-BYTE_VALUES = numbered(1, 256) | np.uint64(1)
-_BASE = int(numbered(2, 1)[0]) | 5
-_STEP = np.uint64(_BASE)
-_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Two families of rolling hashes; each has its own base and its own value for a byte.
+_BASES = tuple(int(numbered(seed, 1)[0]) | 5 for seed in (2, 5))
+_VALUES = tuple(numbered(seed, 256) | np.uint64(1) for seed in (1, 4))
+_powers: dict[tuple[bool, int], np.ndarray] = {}
 
 
-def powers(n: int, back: bool = False) -> np.ndarray:
-    """The first ``n`` powers of the base of the rolling hash, or of its inverse."""
-    name = "back" if back else "on"
+def powers(n: int, back: bool = False, family: int = 0) -> np.ndarray:
+    """The first ``n`` powers of the base of a rolling hash, or of its inverse."""
+    name = back, family
     if len(_powers.get(name, ())) < n:
-        steps = np.full(max(n, PIECE + 1), _BACK if back else _STEP, np.uint64)
+        base = _BASES[family]
+        step = np.uint64(pow(base, -1, 1 << 64) if back else base)
+        steps = np.full(max(n, PIECE + 1), step, np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name][:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums from which :func:`span_hashes` gets the hash of any span of the bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=sums[1:])
+    np.cumsum(_VALUES[family][data] * powers(len(data), family=family), out=sums[1:])
     return sums
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``, equal for equal bytes anywhere."""
-    moved = (sums[end] - sums[start]) * powers(len(sums), back=True)[start]
+def span_hashes(
+    sums: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0
+) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``, equal for equal bytes anywhere.
+
+    ``sums`` are of the same family; hashes of two families are independent, so
+    that both together tell spans apart by 128 bits.
+    """
+    moved = (sums[end] - sums[start]) * powers(len(sums), back=True, family=family)[start]
     return _mixed(moved + (end - start).astype(np.uint64))
 
 
