@@ -209,7 +209,8 @@ def undecided(classes: DataFrame) -> DataFrame:
     """``key, low, high, weight`` to be looked at in finer places.
 
     That is all classes of a repeated mark of which one class is alone, one
-    stretch for each.
+    stretch for each. One mark may have any share of the classes, so they are
+    dealt out by their spans. ``classes`` is a written table.
     """
     marks = (
         classes.groupBy("mark")
@@ -218,7 +219,7 @@ def undecided(classes: DataFrame) -> DataFrame:
         .select("mark")
     )
     weight = F.least("n", F.lit(2)).cast("int").alias("weight")
-    return classes.join(marks, "mark", "left_semi").select("one.*", weight)
+    return spread_join(classes, marks, ["mark"], "span", "left_semi").select("one.*", weight)
 
 
 def cleaned(texts: DataFrame, length: int) -> DataFrame:
