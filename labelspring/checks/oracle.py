@@ -252,6 +252,80 @@ w{e} AS MATERIALIZED (
     return ",\n".join(parts)
 
 
+def step_descent(
+    epochs: int = 3,
+    size: int = 8,
+    rate: float = 0.05,
+    warmup: int = 100,
+    max_norm: float = 1.0,
+) -> str:
+    """Descent with a step for each batch of pairs, as one recursion over the batches.
+
+    ``state`` has a row for each step: the matrix ``w`` after it, the summed
+    ``loss`` of its batch before it, and its gradient's norm ``size``.
+    """
+    orders = " UNION ALL ".join(
+        f"""SELECT {e} AS epoch, p.label, x.emb AS va, y.emb AS vb,
+       {rank(digest("pair_id", f"steps-{e}"), key="pair_id")} AS place
+FROM pairs p JOIN vec x ON x.row_id = p.a JOIN vec y ON y.row_id = p.b"""
+        for e in range(1, epochs + 1)
+    )
+    dims = f"range({WIDTH})"
+    moved = "list_transform({v}, lambda x: list_transform(s.w, lambda r: list_dot_product(r, x)))"
+    length = "list_transform({u}, lambda x: sqrt(list_dot_product(x, x)))"
+    unit = "list_transform(range(n), lambda k: list_transform({u}[k + 1], lambda x: x / {l}[k + 1]))"
+    pull = (
+        "list_transform(range(n), lambda k: list_transform({dims}, lambda i: "
+        "2 * (c[k + 1] - labels[k + 1]) "
+        "* ({other}[k + 1][i + 1] - c[k + 1] * {own}[k + 1][i + 1]) / {l}[k + 1]))"
+    )
+    return f"""{VEC}, {pairs("vec")},
+placed AS ({orders}),
+batched AS MATERIALIZED (
+  SELECT epoch, place // {size} AS batch, list(label ORDER BY place) AS labels,
+         list(va ORDER BY place) AS va, list(vb ORDER BY place) AS vb, count(*) AS n
+  FROM placed GROUP BY ALL),
+counted AS (SELECT count(*) AS total FROM batched),
+columns AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY epoch, batch) - 1 AS step,
+         list_transform({dims}, lambda j: list_transform(list_concat(va, vb), lambda x: x[j + 1])) AS cols
+  FROM batched),
+scheduled AS MATERIALIZED (
+  SELECT *, {rate} * CASE WHEN step < {warmup} THEN step / CAST({warmup} AS DOUBLE)
+    ELSE (total - step) / CAST(greatest(1, total - {warmup}) AS DOUBLE) END AS rate
+  FROM columns, counted),
+state AS (
+  WITH RECURSIVE state AS (
+    SELECT CAST(-1 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS loss, CAST(0 AS DOUBLE) AS size,
+           list_transform({dims}, lambda i: list_transform({dims},
+             lambda j: CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE))) AS w
+    UNION ALL
+    SELECT step, loss, size, list_transform({dims}, lambda i: list_transform({dims},
+             lambda j: w[i + 1][j + 1] - rate * least(1, {max_norm} / size) * g[i + 1][j + 1])) AS w
+    FROM (
+      SELECT *, sqrt(list_sum(list_transform(g, lambda r: list_dot_product(r, r)))) AS size
+      FROM (
+        SELECT *, list_transform(pulls, lambda p: list_transform(cols,
+                 lambda x: list_dot_product(p, x) / n)) AS g
+        FROM (
+          SELECT *, list_transform({dims}, lambda i: list_transform(list_concat(
+                   {pull.format(dims=dims, other="ub", own="ua", l="la")},
+                   {pull.format(dims=dims, other="ua", own="ub", l="lb")}), lambda x: x[i + 1])) AS pulls,
+                 list_sum(list_transform(range(n),
+                   lambda k: (c[k + 1] - labels[k + 1]) * (c[k + 1] - labels[k + 1]))) AS loss
+          FROM (
+            SELECT *, list_transform(range(n), lambda k: list_dot_product(ua[k + 1], ub[k + 1])) AS c
+            FROM (
+              SELECT * EXCLUDE (ua, ub), {unit.format(u="ua", l="la")} AS ua,
+                     {unit.format(u="ub", l="lb")} AS ub
+              FROM (
+                SELECT *, {length.format(u="ua")} AS la, {length.format(u="ub")} AS lb
+                FROM (
+                  SELECT b.*, s.w, {moved.format(v="b.va")} AS ua, {moved.format(v="b.vb")} AS ub
+                  FROM state s JOIN scheduled b ON b.step = s.step + 1)))))))
+  ) SELECT * FROM state)"""
+
+
 SPLIT_KEY = "CAST(round AS VARCHAR) || '/' || CAST(row_id AS VARCHAR)"
 HELD_OUT = "(place < round(CAST(0.2 AS DOUBLE) * m))"
 
@@ -384,6 +458,16 @@ last AS (
   SELECT row_id, list_transform(w, lambda r: list_dot_product(r, emb)) AS u FROM vec, w3),
 lengths AS (SELECT row_id, u, sqrt(list_dot_product(u, u)) AS n FROM last)
 SELECT row_id, {wide("u[{i}] / n", 6)} FROM lengths""",
+    "projection_steps": f"""WITH {step_descent()},
+last AS (
+  SELECT row_id, list_transform(w, lambda r: list_dot_product(r, emb)) AS u
+  FROM vec, (SELECT w FROM state ORDER BY step DESC LIMIT 1)),
+lengths AS (SELECT row_id, u, sqrt(list_dot_product(u, u)) AS n FROM last)
+SELECT row_id, {wide("u[{i}] / n", 6)} FROM lengths""",
+    "step_epoch_loss": f"""WITH {step_descent()}
+SELECT 'steps' AS stage, CAST(epoch AS INTEGER) AS epoch, round(sum(s.loss) / sum(n), 6) AS loss,
+       round(avg(s.size), 6) AS grad_norm, CAST(sum(n) AS BIGINT) AS n
+FROM state s JOIN scheduled b ON b.step = s.step GROUP BY epoch""",
     "pair_epoch_loss": f"""WITH {descent()},
 steps AS (SELECT * FROM step1 UNION ALL SELECT * FROM step2 UNION ALL SELECT * FROM step3)
 SELECT 'pairs' AS stage, CAST(epoch AS INTEGER) AS epoch, round(loss, 6) AS loss,

@@ -32,6 +32,7 @@ from labelspring.operators.metrics import (
     ranking_metrics,
     threshold_metrics,
 )
+from labelspring.operators.minibatch import fit_pair_steps
 from labelspring.operators.models import fit_model, score_rows
 from labelspring.operators.projection import (
     Projection,
@@ -367,6 +368,20 @@ def projection_fit(spark, folder):
     return _wide(moved, ("row_id",))
 
 
+def projection_steps(spark, folder):
+    """All vectors after the supervised fit with a step for each batch of pairs."""
+    rows = views.vectors(spark, folder)
+    fitted = fit_pair_steps(rows, Projection.identity(WIDTH))
+    moved = apply_projection(rows, fitted, name="emb", dtype="double")
+    return _wide(moved, ("row_id",))
+
+
+def step_epoch_loss(spark, folder):
+    """Epoch log of the fit with a step for each batch."""
+    fitted = fit_pair_steps(views.vectors(spark, folder), Projection.identity(WIDTH))
+    return _rounded(fitted.epoch_table(spark), "loss", "grad_norm")
+
+
 def pair_epoch_loss(spark, folder):
     """Epoch log of the supervised fit."""
     fitted = fit_pairs(views.vectors(spark, folder), Projection.identity(WIDTH))
@@ -689,6 +704,8 @@ QUERIES: dict[str, Query] = {
     "projection_fit": projection_fit,
     "simcse_fit": simcse_fit,
     "pair_epoch_loss": pair_epoch_loss,
+    "projection_steps": projection_steps,
+    "step_epoch_loss": step_epoch_loss,
     "epoch_loss": epoch_loss,
     "rf_scores": model_scores("rf"),
     "gbm_scores": model_scores("gbm"),

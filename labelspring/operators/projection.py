@@ -123,6 +123,23 @@ def _sum_gradients(partials: DataFrame) -> tuple[float, int, np.ndarray]:
     return row["total"], row["n"], np.array(row["grad"]).reshape(width, width)
 
 
+def batch_pair_gradient(
+    a: np.ndarray, b: np.ndarray, label: np.ndarray, w: np.ndarray
+) -> tuple[float, np.ndarray]:
+    """Summed cosine pair loss of some pairs at W, and its gradient."""
+    u, v = a @ w.T, b @ w.T
+    nu = np.linalg.norm(u, axis=1, keepdims=True)
+    nv = np.linalg.norm(v, axis=1, keepdims=True)
+    dead = (nu == 0) | (nv == 0)
+    nu, nv = np.where(nu == 0, 1.0, nu), np.where(nv == 0, 1.0, nv)
+    u, v = u / nu, v / nv
+    c = (u * v).sum(axis=1, keepdims=True)
+    error = c - label[:, None]
+    slope = np.where(dead, 0.0, 2.0 * error)
+    grad = (slope * (v - c * u) / nu).T @ a + (slope * (u - c * v) / nv).T @ b
+    return float((error**2).sum()), grad
+
+
 def pair_gradient(pairs: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray, int]:
     """Mean cosine pair loss at W, its gradient, and the number of pairs."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
@@ -137,17 +154,9 @@ def pair_gradient(pairs: DataFrame, weights: np.ndarray) -> tuple[float, np.ndar
                 continue
             a = np.stack(frame["emb_a"].to_numpy()).astype(np.float64)
             b = np.stack(frame["emb_b"].to_numpy()).astype(np.float64)
-            u, v = a @ w.T, b @ w.T
-            nu = np.linalg.norm(u, axis=1, keepdims=True)
-            nv = np.linalg.norm(v, axis=1, keepdims=True)
-            dead = (nu == 0) | (nv == 0)
-            nu, nv = np.where(nu == 0, 1.0, nu), np.where(nv == 0, 1.0, nv)
-            u, v = u / nu, v / nv
-            c = (u * v).sum(axis=1, keepdims=True)
-            error = c - frame["label"].to_numpy(dtype=np.float64)[:, None]
-            slope = np.where(dead, 0.0, 2.0 * error)
-            grad += (slope * (v - c * u) / nu).T @ a + (slope * (u - c * v) / nv).T @ b
-            total += float((error**2).sum())
+            part, slope = batch_pair_gradient(a, b, frame["label"].to_numpy(dtype=np.float64), w)
+            grad += slope
+            total += part
             n += len(frame)
         shard = TaskContext.get().partitionId() % SHARDS
         yield pd.DataFrame(
@@ -259,7 +268,7 @@ def fold_ranking_gradients(
     return out
 
 
-def _step(
+def clipped_step(
     weights: np.ndarray, grad: np.ndarray, rate: float, max_norm: float
 ) -> tuple[np.ndarray, float]:
     """Gradient step with the gradient clipped to ``max_norm``."""
@@ -286,7 +295,7 @@ def fit_pairs(
     try:
         for epoch in range(1, epochs + 1):
             loss, grad, n = pair_gradient(pairs, weights)
-            weights, size = _step(weights, grad, learning_rate, max_grad_norm)
+            weights, size = clipped_step(weights, grad, learning_rate, max_grad_norm)
             log.append(("pairs", epoch, loss, size, n))
     finally:
         pairs.unpersist()
@@ -387,7 +396,7 @@ def fit_simcse_folds(
             sums = fold_ranking_gradients(views, weights, scale)
             weights = list(weights)
             for fold, (loss, grad, n) in enumerate(sums):
-                weights[fold], size = _step(weights[fold], grad, learning_rate, max_grad_norm)
+                weights[fold], size = clipped_step(weights[fold], grad, learning_rate, max_grad_norm)
                 logs[fold].append(("simcse", epoch, loss, size, n))
     finally:
         if path is not None:

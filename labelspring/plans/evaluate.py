@@ -127,6 +127,7 @@ class _Run:
         self.projection_key = (*self.base_key, s.fine_tune)
         if s.fine_tune:
             self.projection_key += (s.pairs, s.epochs, s.learning_rate, s.max_grad_norm)
+            self.projection_key += (s.pair_batch, s.step_learning_rate, s.warmup_steps)
         params = tuple(sorted(s.model_params.items()))
         self.fit_key = (*self.projection_key, s.model, params, s.fit_rows, s.fit_partitions)
         cap = tuple(sorted(s.cap.items())) if isinstance(s.cap, dict) else s.cap

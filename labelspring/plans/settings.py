@@ -6,6 +6,7 @@ import ast
 from dataclasses import dataclass, field, fields, replace
 
 from labelspring.functions.keyed import DEFAULT_SEED
+from labelspring.operators.minibatch import STEP_RATE, WARMUP
 from labelspring.operators.models import FIT_PARTITIONS, FIT_ROWS
 
 
@@ -25,6 +26,10 @@ class Settings:
     epochs: int = 3
     learning_rate: float = 2.0
     max_grad_norm: float = 1.0
+    # pairs in a batch, for a step a batch in place of one an epoch, and their schedule
+    pair_batch: int | None = None
+    step_learning_rate: float = STEP_RATE
+    warmup_steps: int = WARMUP
 
     # unsupervised fit before it: "none", once on "all" texts, or in each "fold"
     simcse: str = "none"

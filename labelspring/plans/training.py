@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelspring.functions.columns import label_by_cut
 from labelspring.operators.linear import LinearModel, fit_linear
+from labelspring.operators.minibatch import fit_pair_steps
 from labelspring.operators.models import fit_model, score_rows
 from labelspring.operators.projection import (
     Projection,
@@ -168,6 +169,18 @@ def fit_projection(train: DataFrame, settings: Settings, base: Projection) -> Pr
     """The projection fitted on pairs, or ``base`` where there is no such fit."""
     if not settings.fine_tune:
         return base
+    if settings.pair_batch is not None:
+        return fit_pair_steps(
+            train,
+            base,
+            settings.pairs,
+            settings.epochs,
+            settings.pair_batch,
+            settings.step_learning_rate,
+            settings.warmup_steps,
+            settings.max_grad_norm,
+            seed=settings.seed,
+        )
     return fit_pairs(
         train,
         base,
