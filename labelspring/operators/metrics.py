@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from labelspring.functions.columns import four_decimals, label_by_cut
 
 RANGES = 1024
+#: Distinct scores in a range, about; with more of them the ranges are cut again.
+RANGE_ROWS = 1 << 18
 
 THRESHOLD_METRICS = ("accuracy", "precision", "recall", "f1", "mse")
 ALL_METRICS = ("auc", "pr_auc", *THRESHOLD_METRICS)
@@ -69,22 +71,41 @@ def confusion(df: DataFrame, cut: float = 0.5) -> DataFrame:
     return cells.selectExpr("stack(2, 0, c00, c01, 1, c10, c11) as (y, pred_0, pred_1)")
 
 
-def _score_ranges(df: DataFrame) -> list[float]:
+def _score_ranges(df: DataFrame) -> tuple[list[float], int]:
     """Edges that split the rows into ranges of about equal size; checks for NaN.
 
-    At most ``RANGES`` numbers reach the driver. They only spread the work: any
-    edges give the same metrics.
+    Also returns into how many parts each range is to be cut. At most ``RANGES``
+    numbers reach the driver. They only spread the work: any edges give the same
+    metrics.
     """
     facts = df.agg(
         F.percentile_approx(
             "score", [i / RANGES for i in range(1, RANGES)], 4 * RANGES
         ).alias("q"),
         F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"),
+        F.approx_count_distinct("score").alias("distinct"),
     ).first()
     if facts["bad"]:
         raise ValueError(f"{facts['bad']} scores are missing or NaN")
     edges = sorted(set(facts["q"] or []))
-    return [float("-inf"), *(edges or [0.0]), float("inf")]
+    parts = min(RANGES, -(-facts["distinct"] // (RANGES * RANGE_ROWS)))
+    return [float("-inf"), *(edges or [0.0]), float("inf")], max(1, parts)
+
+
+def _with_parts(placed: DataFrame, parts: int) -> DataFrame:
+    """Add ``_part``, the number of the part of its range that a score lies in.
+
+    The edges of all parts are a table of at most ``RANGES`` rows of ``RANGES``
+    numbers, which is broadcast.
+    """
+    if parts == 1:
+        return placed.withColumn("_part", F.lit(0))
+    shares = [i / parts for i in range(1, parts)]
+    inner = placed.groupBy("_range").agg(
+        F.percentile_approx("score", shares, 4 * parts).alias("_edges")
+    )
+    below = F.size(F.filter("_edges", lambda edge: edge <= F.col("score")))
+    return placed.join(F.broadcast(inner), "_range").withColumn("_part", below).drop("_edges")
 
 
 def _cumulated(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -93,25 +114,41 @@ def _cumulated(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     ``above`` counts the positives and ``seen`` the rows with at least that score.
 
     Equal scores are merged first, so a score shared by a third of all rows is
-    one row. The ranges then cut the running sum into many tasks; what precedes
-    a range is read from a table of at most ``RANGES`` rows for each fold.
+    one row. The ranges then cut the running sum into many tasks, and their number
+    grows with the distinct scores. What precedes a range is summed over the ranges
+    and then over the parts of each, so no window has more than ``RANGES`` rows or
+    the scores of one part.
     """
-    edges = _score_ranges(df)
+    edges, parts = _score_ranges(df)
     grouped = (
         df.select(*by, F.col("score").cast("double").alias("score"), "y")
         .groupBy(*by, "score")
         .agg(F.sum(F.col("y").cast("double")).alias("pos"), _count(F.lit(True)).alias("cnt"))
     )
     placed = Bucketizer(splits=edges, inputCol="score", outputCol="_range").transform(grouped)
-    keys = [*by, "_range"]
-    ranges = placed.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("cnt").alias("_cnt"))
-    whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_range"))
-    above = whole.rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.select(
-        *keys,
-        F.coalesce(F.sum("_pos").over(above), F.lit(0.0)).alias("_tp"),
-        F.coalesce(F.sum("_cnt").over(above), F.lit(0.0)).alias("_n"),
-    )
+    placed = _with_parts(placed, parts)
+    keys = [*by, "_range", "_part"]
+
+    def above(groups: list[str], order: str) -> list[Column]:
+        whole = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.desc(order))
+        rows = whole.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(rows), F.lit(0.0)) for c in ("_pos", "_cnt")]
+
+    cells = placed.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("cnt").alias("_cnt"))
+    if parts > 1:
+        tp, n = above([*by, "_range"], "_part")
+        before = cells.select(*keys, tp.alias("_tp_part"), n.alias("_n_part"))
+        cells = cells.groupBy(*keys[:-1]).agg(*[F.sum(c).alias(c) for c in ("_pos", "_cnt")])
+    tp, n = above([*by], "_range")
+    ranges = cells.select(*(c for c in keys if c in cells.columns), tp.alias("_tp"), n.alias("_n"))
+    if parts > 1:
+        before = before.join(ranges, keys[:-1]).select(
+            *keys,
+            (F.col("_tp") + F.col("_tp_part")).alias("_tp"),
+            (F.col("_n") + F.col("_n_part")).alias("_n"),
+        )
+    else:
+        before = ranges
     inside = (
         Window.partitionBy(*keys)
         .orderBy(F.desc("score"))

@@ -51,6 +51,23 @@ def rows():
 @pytest.mark.parametrize("ranges", [2, 7, 1024])
 def test_ranking_metrics_equal_brute_force(spark, rows, ranges, monkeypatch):
     monkeypatch.setattr(metrics, "RANGES", ranges)
+    check_against_brute_force(spark, rows)
+
+
+def test_ranges_are_cut_again_when_there_are_many_scores(spark, rows, monkeypatch):
+    monkeypatch.setattr(metrics, "RANGES", 8)
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 20)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert metrics._score_ranges(df)[1] == 4
+    placed = df.select("score").distinct().withColumn(
+        "_range", F.when(F.col("score") < 0.5, F.lit(0.0)).otherwise(F.lit(1.0))
+    )
+    sizes = [r["count"] for r in metrics._with_parts(placed, 8).groupBy("_range", "_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 100
+    check_against_brute_force(spark, rows)
+
+
+def check_against_brute_force(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     row = ranking_metrics(df).first()
     plain = [(y, s) for _, _, y, s in rows]
