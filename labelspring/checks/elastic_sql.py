@@ -181,6 +181,8 @@ SELECT row_id, {_rounded("score", SCORE_DIGITS)} FROM fit""",
 {_round_counts(2)}""",
     "elastic_fit_predict": f"""{BASE}, {self_trained(1, 0.9)}
 SELECT row_id, {_rounded("score")}, {label_cut(0.5)} AS "LABEL" FROM fit1""",
+    "run_job": f"""{BASE}, {self_trained(1, 0.85)}
+SELECT row_id, {label_cut(0.5)} AS "LABEL" FROM fit1""",
     "elastic_cv": f"""{BASE}, {FOLDS}, {elastic("fit", "fold_train", "fold_held")}
 SELECT CAST(g AS INTEGER) AS fold, row_id, "LABEL" AS y, {_rounded("score")}
 FROM fit JOIN lab USING (row_id)""",

@@ -496,6 +496,8 @@ SELECT CAST(k AS INTEGER) AS y,
        count(*) FILTER (j.y = k AND score < CAST(0.5 AS DOUBLE)) AS pred_0,
        count(*) FILTER (j.y = k AND score >= CAST(0.5 AS DOUBLE)) AS pred_1
 FROM judged j, (SELECT unnest([0, 1]) AS k) GROUP BY k""",
+    "metrics_log": f"""WITH {FOLD_METRICS}
+SELECT run, fold, {ROUNDED_METRICS} FROM metrics, (VALUES ('first'), ('second')) AS t(run)""",
     "fold_metrics": f"WITH {FOLD_METRICS} SELECT fold, {ROUNDED_METRICS} FROM metrics",
     "fold_summary": f"WITH {FOLD_METRICS} "
     + " UNION ALL ".join(
@@ -505,7 +507,6 @@ FROM judged j, (SELECT unnest([0, 1]) AS k) GROUP BY k""",
     ),
     "oof_metrics": judged_metrics(", ".join(METRIC_NAMES)),
     "metrics_at_cut": judged_metrics(", ".join(METRIC_NAMES), cut=0.6),
-    "run_job": f"WITH {UNL} SELECT row_id FROM unl",
     "fold_ensemble": f"""WITH {UNL}, means AS (
   SELECT row_id, ({" + ".join(
       f"({h(f'''{f} || '/' || CAST(row_id AS VARCHAR)''', 'score')} % 201) / CAST(200 AS DOUBLE)"

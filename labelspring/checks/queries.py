@@ -644,13 +644,21 @@ def elastic_sweep(spark, folder):
 
 
 def whole_job(spark, folder):
-    """Ids that a job from files to file has labelled; SQL knows which these must be."""
+    """The labels that a job from files to file has written."""
     path = new_path(spark, "job")
     tables.write_csv(views.labelled(spark, folder), f"{path}/train.csv")
     tables.write_csv(views.unlabelled(spark, folder).drop("LABEL"), f"{path}/test.csv")
     overrides = ["model=elastic", "fine_tune=False", "rounds=1"]
-    job = run_job(spark, f"{path}/train.csv", f"{path}/test.csv", f"{path}/out", overrides)
-    return job.select("row_id")
+    return run_job(spark, f"{path}/train.csv", f"{path}/test.csv", f"{path}/out", overrides)
+
+
+def metrics_log(spark, folder):
+    """The log of two runs, one of which was repeated."""
+    path = new_path(spark, "log")
+    measured = per_fold(spark, folder)
+    for run in ("first", "second", "first"):
+        tables.append_metrics(measured, path, run)
+    return spark.read.parquet(path)
 
 
 def swept(spark, folder):
@@ -718,6 +726,7 @@ QUERIES: dict[str, Query] = {
     "elastic_cv_rounds": elastic_cv_rounds,
     "elastic_sweep": elastic_sweep,
     "run_job": whole_job,
+    "metrics_log": metrics_log,
     "pseudo_select": pseudo_select,
     "pseudo_topk": pseudo_topk,
     "pseudo_topk_round": pseudo_topk_round,

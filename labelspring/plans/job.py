@@ -30,13 +30,16 @@ def run_job(
     encode: Callable[[DataFrame], DataFrame] = hashed_encode,
     format: str = "csv",
     validate: bool = False,
+    run: str | None = None,
 ) -> DataFrame:
     """Read both tables, encode, train, label the unlabelled rows, and write it all.
 
     Below ``out`` stand ``result`` (``row_id, LABEL`` as CSV) and the run log:
     ``rounds``, ``epochs`` and, with ``validate``, ``folds`` with the metrics of a
-    cross-validation, ``fold_rounds`` and ``fold_epochs`` with its sizes and losses. The log is added to, the result replaced. Returns
-    ``row_id, LABEL`` as read from the result.
+    cross-validation, ``fold_rounds`` and ``fold_epochs`` with its sizes and losses. The
+    log is added to, the result replaced. With the name of a ``run`` its rows of the
+    log take the place of those it wrote before. Returns ``row_id, LABEL`` as read
+    from the result.
     """
     settings = Settings().overridden(overrides or [])
     path = new_path(spark, "encoded")
@@ -52,13 +55,13 @@ def run_job(
         fitted, predicted = fit_predict(labelled, unlabelled, settings)
         write_predictions(predicted, f"{out}/result")
         if fitted.rounds is not None:
-            append_metrics(fitted.rounds.coalesce(1), f"{out}/rounds")
-        append_metrics(fitted.epoch_log().coalesce(1), f"{out}/epochs")
+            append_metrics(fitted.rounds.coalesce(1), f"{out}/rounds", run)
+        append_metrics(fitted.epoch_log().coalesce(1), f"{out}/epochs", run)
         if validate:
             result = cross_validate(labelled, unlabelled, settings)
-            append_metrics(result.per_fold(), f"{out}/folds")
-            append_metrics(result.rounds().coalesce(1), f"{out}/fold_rounds")
-            append_metrics(result.epochs().coalesce(1), f"{out}/fold_epochs")
+            append_metrics(result.per_fold(), f"{out}/folds", run)
+            append_metrics(result.rounds().coalesce(1), f"{out}/fold_rounds", run)
+            append_metrics(result.epochs().coalesce(1), f"{out}/fold_epochs", run)
             result.release()
     finally:
         if fitted is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelspring.functions.columns import UNLABELLED, strict_long, text_as_string
 from labelspring.operators.linear import LinearModel
 from labelspring.operators.projection import Projection
+from labelspring.sources.published import publish, published
 
 
 def _read_rows(spark: SparkSession, path: str, format: str) -> DataFrame:
@@ -87,9 +88,20 @@ def write_scores(oof: DataFrame, path: str) -> None:
     oof.write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Add metric rows to the run log."""
-    metrics.write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, run: str | None = None) -> None:
+    """Add metric rows to the run log.
+
+    With the name of a ``run`` the log has it as a column, and the rows take the place
+    of those that the same run wrote before, so a job that is repeated leaves one copy.
+    The other runs' rows are not touched, and rows are put in place only when all are
+    written. A table without rows replaces nothing. One log is written with names or
+    without, not both; a name should not be a number, since readers guess its type.
+    """
+    if run is None:
+        metrics.write.mode("append").parquet(path)
+        return
+    named = metrics.withColumn("run", F.lit(run)).write.mode("overwrite").partitionBy("run")
+    named.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def class_balance(df: DataFrame) -> DataFrame:
@@ -160,13 +172,15 @@ def cached_projection(
     """The projection saved under ``path`` with the same ``facts``, or that of ``fit()``.
 
     ``facts`` names all that the fit depends on. A saved projection with others is
-    fitted again and replaced.
+    fitted again and replaced, as a whole: a run that ends while it saves leaves the
+    projection that was there, and no reader meets half of one.
     """
-    if path is not None and path_exists(spark, path):
-        projection, known = Projection.load_with_facts(spark, path)
+    at = published(spark, path) if path is not None else None
+    if at is not None:
+        projection, known = Projection.load_with_facts(spark, at)
         if known == facts:
             return projection
     projection = fit()
     if path is not None:
-        projection.save(spark, path, facts)
+        publish(spark, path, lambda aside: projection.save(spark, aside, facts))
     return projection

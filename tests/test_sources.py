@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from labelspring.operators.projection import Projection
-from labelspring.sources import scratch
+from labelspring.sources import published, scratch
 from labelspring.sources.scratch import cut_lineage, drop_table, new_path, shared_folder
 from labelspring.sources.tables import (
     append_metrics,
@@ -138,6 +138,40 @@ def test_cached_projection_is_fitted_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_a_failed_save_leaves_the_old_cache(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stage1")
+    two, three = Projection.identity(2), Projection.identity(3)
+    cached_projection(spark, path, lambda: two, "a")
+    save = Projection.save
+
+    def broken(self, spark, folder, facts=None):
+        save(self, spark, folder, facts)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Projection, "save", broken)
+    with pytest.raises(KeyboardInterrupt):
+        cached_projection(spark, path, lambda: three, "b")
+    monkeypatch.setattr(Projection, "save", save)
+    old = cached_projection(spark, path, lambda: pytest.fail("fitted again"), "a")
+    assert len(old.weights) == 2
+    assert len(cached_projection(spark, path, lambda: three, "b").weights) == 3
+    held = published.published(spark, path)
+    cached_projection(spark, path, lambda: two, "c")
+    assert path_exists(spark, held)  # one that is read now stays
+    cached_projection(spark, path, lambda: two, "d")
+    assert not path_exists(spark, held) and len(published.versions(spark, path)) == 2
+
+
+def test_a_repeated_run_leaves_one_copy_of_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0.5), (1, 0.25)], "fold int, auc double")
+    log = str(tmp_path / "log")
+    for run in ("a", "b", "a"):
+        append_metrics(rows, log, run)
+    append_metrics(rows.filter("fold = 1"), log, "b")
+    found = sorted((r["run"], r["fold"]) for r in spark.read.parquet(log).collect())
+    assert found == [("a", 0), ("a", 1), ("b", 1)]
+
+
 def test_tables_go_to_the_configured_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder
