@@ -346,6 +346,12 @@ GAPPY = f"""gappy AS (
   FROM docs)"""
 MASK_DRAW = f"{h('''row_id || '/' || CAST(i - 1 AS VARCHAR)''', 'mask')} / CAST(4294967296 AS DOUBLE)"
 
+LETTER_SHARES = f"""WITH {DOCS}, letters AS (
+  SELECT row_id, [{", ".join(letter_count(c) for c in LETTERS)}] AS c FROM docs),
+lengths AS (SELECT row_id, c, sqrt(list_dot_product(c, c)) AS n FROM letters)
+SELECT row_id, {wide("CASE WHEN n > 0 THEN c[{i}] / n ELSE 0 END", 9, len(LETTERS))}
+FROM lengths"""
+
 ORACLE: dict[str, str] = {
     "read_labelled": f"""WITH {LAB}
 SELECT row_id, {as_string('"TEXT"')} AS "TEXT", "LABEL" FROM lab""",
@@ -420,11 +426,8 @@ SELECT row_id, {wide("emb_{j}", 9)} FROM bags""",
     "embed_join": f"""WITH {DOCS}, {VEC}
 SELECT d.row_id, d."TEXT", {wide("v.emb[{i}]")}
 FROM docs d JOIN vec v ON d.row_id = v.row_id""",
-    "model_encode": f"""WITH {DOCS}, letters AS (
-  SELECT row_id, [{", ".join(letter_count(c) for c in LETTERS)}] AS c FROM docs),
-lengths AS (SELECT row_id, c, sqrt(list_dot_product(c, c)) AS n FROM letters)
-SELECT row_id, {wide("CASE WHEN n > 0 THEN c[{i}] / n ELSE 0 END", 9, len(LETTERS))}
-FROM lengths""",
+    "model_encode": LETTER_SHARES,
+    "encode_once": LETTER_SHARES,
     "l2_normalise": f"""WITH {VEC}, stretched AS (
   SELECT row_id, list_transform(emb, lambda x: x * (row_id % 7 + 1)) AS e FROM vec),
 lengths AS (SELECT row_id, e, sqrt(list_dot_product(e, e)) AS n FROM stretched)

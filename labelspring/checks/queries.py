@@ -17,7 +17,7 @@ from labelspring.functions.columns import (
 )
 from labelspring.functions.keyed import keyed_hash
 from labelspring.functions.vectors import to_wide, with_unit_length
-from labelspring.operators.encoders import attach_vectors, hashed_encode, model_encode
+from labelspring.operators.encoders import attach_vectors, encode_once, hashed_encode, model_encode
 from labelspring.operators.losses import (
     cosine_pair_loss,
     in_batch_ranking_loss,
@@ -295,6 +295,22 @@ def model_encoded(spark, folder):
     return _wide(encoded, ("row_id",), len(LETTERS), digits=9)
 
 
+def encoded_once(spark, folder):
+    """The letters of every document, each text given to the model once."""
+
+    def make_predict_fn():
+        def predict(texts):
+            return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float32)
+
+        return predict
+
+    def encode(rows):
+        return model_encode(tables.spread(rows), make_predict_fn, dtype="float64")
+
+    encoded = encode_once(views.documents(spark, folder), encode)
+    return _wide(encoded, ("row_id",), len(LETTERS), digits=9)
+
+
 def normalised(spark, folder):
     stretched = F.transform(
         "emb", lambda x: x.cast("double") * (F.pmod(F.col("row_id"), F.lit(7)) + 1)
@@ -703,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "hashed_encode": hashed,
     "embed_join": embedded,
     "model_encode": model_encoded,
+    "encode_once": encoded_once,
     "l2_normalise": normalised,
     "pair_cosine": cosines,
     "cosine_pair_loss": pair_loss,

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from labelspring.functions.columns import text_as_string
 from labelspring.functions.keyed import DEFAULT_SEED, keyed_hash
+from labelspring.sources.scratch import drop_table, new_path, write_table
+
+#: A text on more rows than this is copied, and its rows are dealt out to the copies.
+HOT_ROWS = 2000
 
 
 def _unit(df: DataFrame, vector: str, name: str, dtype: str = "float32") -> DataFrame:
@@ -65,3 +69,50 @@ def model_encode(
     )
     raw = df.withColumn("_raw", array_to_vector(encode(text_as_string(F.col("TEXT")))))
     return _unit(raw, "_raw", name, dtype)
+
+
+def text_digest(text: Column) -> Column:
+    """32 bytes that stand for a text as the encoders read it."""
+    return F.unhex(F.sha2(F.encode(text_as_string(text), "UTF-8"), 256))
+
+
+def encode_once(
+    df: DataFrame, encode: Callable[[DataFrame], DataFrame], name: str = "emb"
+) -> DataFrame:
+    """``df`` with ``name``, each distinct text encoded once.
+
+    ``encode`` maps rows with ``TEXT`` to the same rows plus ``name``, and may look at
+    the text alone. The distinct texts are encoded and written by digest; only digests
+    and vectors are shuffled back to the rows. A text on very many rows is copied, and
+    its rows are dealt out by a hash of ``row_id``. A text that is missing or empty
+    counts as the one that the encoders read in its place; an empty table stays
+    empty. For an encoder that is dear next to a shuffle, such as a model: the hashed
+    one is cheaper than the join.
+
+    The vectors stay in the shared folder, since the result reads them.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_digest", text_digest(F.col("TEXT")))
+    texts = keyed.groupBy("_digest").agg(
+        F.any_value("TEXT").alias("TEXT"), F.count(F.lit(1)).alias("_rows")
+    )
+    path = new_path(spark, "texts")
+    distinct = write_table(texts, path)
+    try:
+        copies = F.ceil(F.col("_rows") / F.lit(HOT_ROWS)).cast("int").alias("_copies")
+        encoded = encode(distinct).select("_digest", copies, name)
+        vectors = write_table(encoded, new_path(spark, "vectors"))
+    finally:
+        drop_table(spark, path)
+    hot = vectors.filter("_copies > 1").select("_digest", "_copies")
+    copied = vectors.select(
+        "_digest", name, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")
+    )
+    # Fewer than one text in HOT_ROWS rows is hot: the planner broadcasts them if they are few.
+    dealt = (
+        keyed.join(hot, "_digest", "left")
+        .withColumn("_copy", F.pmod(F.xxhash64("row_id"), F.coalesce("_copies", F.lit(1))).cast("int"))
+        .drop("_copies")
+    )
+    found = dealt.join(copied, ["_digest", "_copy"])
+    return found.select(*[F.col(c) for c in df.columns], name)

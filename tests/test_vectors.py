@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelspring.operators.encoders import attach_vectors, hashed_encode, model_encode
+from labelspring.operators.encoders import attach_vectors, encode_once, hashed_encode, model_encode
 from labelspring.operators.losses import (
     cosine_pair_loss,
     gather_batches,
@@ -195,3 +195,30 @@ def test_precomputed_vectors_are_joined_by_id(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "b")], TEXTS)
     vectors = spark.createDataFrame([(2, [1.0])], "row_id long, emb array<float>")
     assert [tuple(r) for r in attach_vectors(texts, vectors).collect()] == [(2, "b", [1.0])]
+
+
+def test_each_text_is_encoded_once(spark, monkeypatch):
+    monkeypatch.setattr("labelspring.operators.encoders.HOT_ROWS", 4)
+    calls = spark.sparkContext.accumulator(0)
+
+    def make_predict_fn():
+        def predict(texts):
+            calls.add(len(texts))
+            return np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+        return predict
+
+    texts = ["hot"] * 30 + [f"{'x' * i}" for i in range(6)] + [None, "nan", ""]
+    df = spark.createDataFrame(
+        [(i, t, i % 2) for i, t in enumerate(texts)], "row_id long, TEXT string, _rows int"
+    )
+    rows = encode_once(df, lambda d: model_encode(d, make_predict_fn)).collect()
+    # hot, five of x, and "nan", which stands for a missing or empty text too
+    assert calls.value == 7
+    assert sorted(r["row_id"] for r in rows) == list(range(len(texts)))
+    for r in rows:
+        n = len(r["TEXT"] or "nan")
+        assert r["TEXT"] == texts[r["row_id"]] and r["_rows"] == r["row_id"] % 2
+        assert r["emb"] == pytest.approx([n / (n * n + 1) ** 0.5, 1 / (n * n + 1) ** 0.5], abs=1e-6)
+    none = encode_once(df.limit(0), lambda d: model_encode(d, make_predict_fn))
+    assert none.columns == [*df.columns, "emb"] and none.count() == 0
