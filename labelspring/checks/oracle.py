@@ -207,17 +207,27 @@ def letter_count(letter: str) -> str:
     return f"""CAST(length("TEXT") - length(replace("TEXT", '{letter}', '')) AS DOUBLE)"""
 
 
-def descent(epochs: int = 3, rate: float = 2.0, max_norm: float = 1.0) -> str:
+_ENTRY = "CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE)"
+_ROW = f"list_transform(range({WIDTH}), lambda j: {_ENTRY})"
+IDENTITY = f"SELECT list_transform(range({WIDTH}), lambda i: {_ROW}) AS w"
+
+
+def descent(
+    epochs: int = 3,
+    rate: float = 2.0,
+    max_norm: float = 1.0,
+    rows: str = VEC,
+    start: str = IDENTITY,
+) -> str:
     """Gradient descent on the pair loss, one group of tables for each epoch.
 
-    ``w0`` is the identity; ``w{e}`` holds the matrix after epoch ``e`` as one
-    list of rows, ``step{e}`` the loss before that epoch and its gradient's norm.
+    ``rows`` defines the table ``vec`` and ``start`` selects the first matrix,
+    ``w0``; ``w{e}`` holds the matrix after epoch ``e`` as one list of rows,
+    ``step{e}`` the loss before that epoch and its gradient's norm.
     """
-    entry = "CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE)"
-    row = f"list_transform(range({WIDTH}), lambda j: {entry})"
     parts = [
-        f"""{VEC}, {pairs("vec")},
-w0 AS (SELECT list_transform(range({WIDTH}), lambda i: {row}) AS w),
+        f"""{rows}, {pairs("vec")},
+w0 AS ({start}),
 cells AS (
   SELECT row_id, unnest(range({WIDTH})) AS j, unnest(emb) AS x FROM vec)"""
     ]

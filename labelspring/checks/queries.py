@@ -407,7 +407,8 @@ def pair_epoch_loss(spark, folder):
 def simcse_fit(spark, folder):
     rows = cut_lineage(encoded_documents(spark, folder), "encoded")
     fitted = fit_simcse(rows, Projection.identity(WIDTH))
-    return _wide(apply_projection(rows, fitted, name="emb"), ("row_id",), digits=4)
+    moved = apply_projection(rows, fitted, name="emb", dtype="double")
+    return _wide(moved, ("row_id",), digits=6)
 
 
 def epoch_loss(spark, folder):
@@ -415,9 +416,7 @@ def epoch_loss(spark, folder):
     encoded = cut_lineage(encoded_documents(spark, folder), "encoded")
     labelled = encoded.join(views.document_labels(spark, folder), "row_id")
     first = fit_simcse(encoded, Projection.identity(WIDTH), epochs=2)
-    return _rounded(
-        fit_pairs(labelled, first).epoch_table(spark), "loss", "grad_norm", digits=4
-    )
+    return _rounded(fit_pairs(labelled, first).epoch_table(spark), "loss", "grad_norm")
 
 
 # Models

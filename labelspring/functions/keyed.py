@@ -42,3 +42,28 @@ def keyed_index(key: Column, tag: str, size: int, seed: int = DEFAULT_SEED) -> C
 def keyed_chance(key: Column, tag: str, seed: int = DEFAULT_SEED) -> Column:
     """Uniform double in ``[0, 1)`` drawn for ``key``."""
     return keyed_hash(key, tag, seed) / F.lit(float(1 << 32))
+
+
+#: Hex digits of one draw of :func:`keyed_draws`, and how many draws a digest gives.
+DRAW_DIGITS, DRAWS = 4, 8
+
+
+def keyed_draws(key: Column, tag: str, count: Column, seed: int = DEFAULT_SEED) -> Column:
+    """``count`` draws for ``key``: texts of four hex digits, which order as numbers do.
+
+    One digest gives eight of them, so a vector of 64 entries takes eight digests.
+    """
+    last = F.greatest(F.floor((count - 1) / F.lit(DRAWS)), F.lit(0)).cast("int")
+    digests = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda block: _digest(F.concat_ws("/", key.cast("string"), block.cast("string")), tag, seed),
+    )
+    draws = F.regexp_extract_all(F.array_join(digests, ""), F.lit(f".{{{DRAW_DIGITS}}}"), F.lit(0))
+    return F.slice(draws, F.lit(1), count)
+
+
+def draw_below(chance: float) -> str:
+    """The draw that a share ``chance`` of all draws lies below."""
+    if not 0.0 <= chance < 1.0:
+        raise ValueError(f"a chance from 0 up to, but not including, 1 is needed, not {chance}")
+    return f"{int(chance * 16**DRAW_DIGITS):0{DRAW_DIGITS}x}"

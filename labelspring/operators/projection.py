@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspring.functions.keyed import DEFAULT_SEED
+from labelspring.functions.keyed import DEFAULT_SEED, draw_below, keyed_draws
 from labelspring.functions.vectors import with_unit_length
 from labelspring.operators.losses import RANKING_SCALE, gather_batches
 from labelspring.operators.sampling import attach_pair_values, batches, make_pairs
@@ -313,18 +313,16 @@ def dropout_view(
 ) -> Column:
     """The vector with entries dropped by chance and the others scaled up.
 
-    A mask bit is a hash of seed, row, epoch, view and dimension, so a task that
-    is run again drops the same entries.
+    A mask bit is a digest of seed, row, epoch, view and dimension, so a task that
+    is run again drops the same entries, and so does plain SQL.
     """
-    keep = 1.0 - probability
-    cut = int(probability * (1 << 20))
-
-    def entry(x, i):
-        draw = F.xxhash64(F.lit(seed), row_id, F.lit(epoch), F.lit(view), i)
-        dropped = F.pmod(draw, F.lit(1 << 20)) < cut
-        return F.when(dropped, F.lit(0.0)).otherwise(x.cast("double") / keep)
-
-    return F.transform(vector, entry)
+    keep, cut = 1.0 - probability, draw_below(probability)
+    draws = keyed_draws(row_id, f"dropout-{epoch}-{view}", F.array_size(vector), seed)
+    return F.zip_with(
+        vector,
+        draws,
+        lambda x, draw: F.when(draw < F.lit(cut), F.lit(0.0)).otherwise(x.cast("double") / keep),
+    )
 
 
 def two_views(

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as driver
 from labelspring.checks.elastic_sql import ELASTIC_ORACLE
 from labelspring.checks.oracle import ORACLE
+from labelspring.checks.simcse_sql import SIMCSE_ORACLE
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -28,7 +29,7 @@ def cell(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE | ELASTIC_ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE | ELASTIC_ORACLE | SIMCSE_ORACLE))
 def test_query_equals_sql(spark, duck, folder, name):
     df = driver.queries()[name](spark, folder)
     cursor = duck.execute(driver.oracle_sql()[name])
