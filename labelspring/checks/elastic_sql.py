@@ -110,6 +110,21 @@ FROM train{r}"""
     )
 
 
+def _round_changes(rounds: int) -> str:
+    """Pseudo-labels of each round against those of the round before; ``train0`` has none."""
+
+    def pseudo(r: int) -> str:
+        return f"(SELECT -1 - row_id AS row_id, y FROM train{r} WHERE pseudo = 1)"
+
+    return " UNION ALL ".join(
+        f"""SELECT CAST({r} AS INTEGER) AS round, row_id,
+  CASE WHEN b.y IS NULL THEN 'entered' WHEN a.y IS NULL THEN 'left' ELSE 'flipped' END AS change,
+  CAST(b.y AS INTEGER) AS label_before, CAST(a.y AS INTEGER) AS label_after
+FROM {pseudo(r)} b FULL JOIN {pseudo(r + 1)} a USING (row_id) WHERE b.y IS DISTINCT FROM a.y"""
+        for r in range(rounds)
+    )
+
+
 #: All folds are fitted at once: row i is in the training set of each fold but its own.
 FOLDS = f"""{folded("lab", "LABEL")},
 fold_train AS (
@@ -179,6 +194,8 @@ open_rows AS (SELECT 0 AS g, row_id, emb FROM unl JOIN encoded USING (row_id)),
 SELECT row_id, {_rounded("score", SCORE_DIGITS)} FROM fit""",
     "elastic_self_training": f"""{BASE}, {self_trained(2, 0.9)}
 {_round_counts(2)}""",
+    "round_changes": f"""{BASE}, {self_trained(2, 0.85)}
+{_round_changes(2)}""",
     "elastic_fit_predict": f"""{BASE}, {self_trained(1, 0.9)}
 SELECT row_id, {_rounded("score")}, {label_cut(0.5)} AS "LABEL" FROM fit1""",
     "run_job": f"""{BASE}, {self_trained(1, 0.85)}

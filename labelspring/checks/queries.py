@@ -542,6 +542,12 @@ def elastic_self_training(spark, folder):
     return self_train(labelled, unlabelled, EXACT.but(threshold=0.9)).rounds
 
 
+def changes_of_rounds(spark, folder):
+    """Which pseudo-labels entered, left or flipped in each round with the elastic net."""
+    labelled, unlabelled = encoded_tables(spark, folder)
+    return self_train(labelled, unlabelled, EXACT.but(threshold=0.85), track=True).changes
+
+
 # Evaluation
 
 QUICK = Settings(model="elastic", parallel_folds=4)
@@ -735,6 +741,7 @@ QUERIES: dict[str, Query] = {
     "gbm_scores": model_scores("gbm"),
     "elastic_scores": elastic_scores,
     "elastic_self_training": elastic_self_training,
+    "round_changes": changes_of_rounds,
     "elastic_cv": elastic_cv,
     "elastic_cv_ensemble": elastic_cv_ensemble,
     "elastic_splits": elastic_splits,

@@ -147,3 +147,35 @@ def round_counts(train: DataFrame) -> DataFrame:
         F.count_if(pseudo & (F.col("LABEL") == 1)).alias("pos"),
         F.count_if(pseudo & (F.col("LABEL") == 0)).alias("neg"),
     )
+
+
+def round_changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """How the pseudo-labels of a round differ from those of the round before.
+
+    Both tables have ``row_id, LABEL`` with unique ids; ``before`` is None in the
+    first round. One row for each id that ``entered``, ``left`` or ``flipped``:
+    ``row_id, change, label_before, label_after``, where the label of an id that is
+    not in a table is NULL. Ids that kept their label give no row, and equal or
+    empty tables give none at all. Only ids and labels are shuffled.
+    """
+    new = after.select("row_id", F.col("LABEL").cast("int").alias("label_after"))
+    if before is None:
+        both = new.withColumn("label_before", F.lit(None).cast("int"))
+    else:
+        old = before.select("row_id", F.col("LABEL").cast("int").alias("label_before"))
+        both = old.join(new, "row_id", "full")
+    change = (
+        F.when(F.col("label_before").isNull(), F.lit("entered"))
+        .when(F.col("label_after").isNull(), F.lit("left"))
+        .otherwise(F.lit("flipped"))
+    )
+    return both.filter(~F.col("label_before").eqNullSafe(F.col("label_after"))).select(
+        "row_id", change.alias("change"), "label_before", "label_after"
+    )
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """``round, entered, left, flipped`` of the changes of several rounds."""
+    return changes.groupBy("round").agg(
+        *[F.count_if(F.col("change") == c).alias(c) for c in ("entered", "left", "flipped")]
+    )

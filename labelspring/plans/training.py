@@ -7,6 +7,7 @@ vectors are computed once by the caller. A round only applies its matrix.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,7 @@ from labelspring.operators.selection import (
     augment,
     cap_by_class,
     round_cap,
+    round_changes,
     round_counts,
     select_confident,
 )
@@ -59,12 +61,15 @@ class Fitted:
     scratch: str | None = None
     log: list[tuple] = field(default_factory=list)
     counts: list[tuple] = field(default_factory=list)
+    changes: DataFrame | None = None
+    change_paths: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        """Delete the written pseudo-labels; ``train`` can no longer be read."""
-        if self.scratch is not None:
-            drop_table(self.train.sparkSession, self.scratch)
-            self.scratch = None
+        """Delete the written pseudo-labels and changes; ``train`` and ``changes`` can no longer be read."""
+        for path in [self.scratch, *self.change_paths]:
+            if path is not None:
+                drop_table(self.train.sparkSession, path)
+        self.scratch, self.changes, self.change_paths = None, None, []
 
     def epoch_log(self) -> DataFrame:
         """``round, stage, epoch, loss, grad_norm, n`` of all rounds."""
@@ -264,13 +269,16 @@ def self_train(
     base: Projection | None = None,
     first: Fitted | None = None,
     first_scores: DataFrame | None = None,
+    track: bool = False,
 ) -> Fitted:
     """Fit, promote confident predictions to labels, and fit again from ``base``.
 
     All rounds but the last score the unlabelled rows. A round's pseudo-labels
     are written out with their vectors, so the next round starts from a table
     and neither joins them back nor predicts them again. The table of the round
-    before is then deleted, and if a round fails so is its own.
+    before is then deleted, and if a round fails so is its own. With ``track`` the
+    result has ``changes``: the round of the scores, and which pseudo-labels entered,
+    left or flipped by them. A round that selects nothing changes nothing.
     """
     spark = labelled.sparkSession
     columns = ["row_id", "LABEL", "emb"]
@@ -280,6 +288,7 @@ def self_train(
         base = Projection.identity(vector_width(labelled))
     train = labelled.withColumn("is_pseudo", F.lit(False))
     counts, log, kept, path = [], [], None, None
+    before, changes, change_paths = None, [], []
     try:
         for rnd in range(settings.rounds + 1):
             counts.append((rnd, *round_counts(train).first()))
@@ -298,17 +307,27 @@ def self_train(
                 drop_table(spark, path)
                 continue
             train = augment(labelled, chosen, checked=True)
+            if track:
+                change_paths.append(new_path(spark, f"changes-{rnd}"))
+                changed = round_changes(before, chosen).select(F.lit(rnd).alias("round"), "*")
+                changes.append(write_table(changed, change_paths[-1]))
+                before = chosen
             if kept is not None:
                 drop_table(spark, kept)
             kept = path
     except BaseException:
-        for written in {kept, path} - {None}:
+        for written in {kept, path, *change_paths} - {None}:
             drop_table(spark, written)
         raise
     fitted.train = train
     fitted.rounds = spark.createDataFrame(counts, ROUND_SCHEMA)
     fitted.scratch = kept
     fitted.log, fitted.counts = log, counts
+    if track:
+        if not changes:
+            nothing = labelled.limit(0)
+            changes = [round_changes(None, nothing).select(F.lit(0).alias("round"), "*")]
+        fitted.changes, fitted.change_paths = reduce(DataFrame.unionByName, changes), change_paths
     return fitted
 
 

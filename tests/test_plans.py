@@ -9,7 +9,7 @@ from labelspring.operators import projection as projection_module
 from labelspring.operators.losses import gather_batches
 from labelspring.operators.projection import (
     Projection,
-    _step,
+    clipped_step,
     fit_simcse_folds,
     ranking_gradient,
     two_views,
@@ -64,6 +64,26 @@ def unlabelled(spark):
     return spark.createDataFrame(rows, "row_id long, emb array<float>").cache()
 
 
+def test_changes_of_rounds_add_up(labelled, unlabelled):
+    fitted = self_train(labelled, unlabelled, QUICK.but(rounds=3, threshold=0.7), track=True)
+    held = {}
+    for rnd in range(3):
+        for r in fitted.changes.filter(F.col("round") == rnd).collect():
+            assert held.pop(r["row_id"], None) == r["label_before"] != r["label_after"]
+            if r["label_after"] is not None:
+                held[r["row_id"]] = r["label_after"]
+    train = fitted.train.filter("is_pseudo").select("row_id", "LABEL").collect()
+    assert held and held == {r["row_id"]: r["LABEL"] for r in train}
+    fitted.release()
+    assert fitted.changes is None and not list(Path(shared_folder(labelled.sparkSession)).rglob("changes-*"))
+
+
+def test_no_changes_where_nothing_is_selected(labelled, unlabelled):
+    fitted = self_train(labelled, unlabelled, QUICK.but(threshold=1.0, cap=0), track=True)
+    assert fitted.changes.count() == 0
+    assert fitted.changes.columns == ["round", "row_id", "change", "label_before", "label_after"]
+
+
 def test_self_training(labelled, unlabelled, hidden):
     fitted = self_train(labelled, unlabelled, QUICK.but(rounds=2))
     rounds = fitted.rounds.orderBy("round").collect()
@@ -376,7 +396,7 @@ def test_fold_stages_equal_separate_fits(labelled, unlabelled, epochs):
         grouped, weights = gather_batches(own, "row_id", "emb"), start.weights
         for epoch in range(1, epochs + 1):
             loss, grad, n = ranking_gradient(two_views(grouped, epoch), weights)
-            weights, size = _step(weights, grad, 0.2, 1.0)
+            weights, size = clipped_step(weights, grad, 0.2, 1.0)
             assert projection.epochs[epoch - 1][2] == pytest.approx(loss, abs=1e-12)
             assert projection.epochs[epoch - 1][4] == n == 390
         assert np.allclose(projection.weights, weights, atol=1e-12)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from labelspring.operators.selection import (
     augment,
     cap_by_class,
+    change_counts,
     kth_smallest,
     round_cap,
+    round_changes,
     round_counts,
     select_confident,
     select_top,
@@ -117,3 +119,36 @@ def test_augment_replaces_earlier_pseudo_rows(spark):
     assert sorted(r["row_id"] for r in kept.collect()) == [1, 2, 10, 11]
     unchanged = augment(lab, second.limit(0))
     assert tuple(round_counts(unchanged).first()) == (2, 2, 0, 0, 0)
+
+
+def test_round_changes_against_brute_force(spark):
+    draw = random.Random(5)
+    before = {i: draw.randrange(2) for i in range(60) if draw.random() < 0.6}
+    after = {i: draw.randrange(2) for i in range(60) if draw.random() < 0.6}
+
+    def table(rows):
+        return spark.createDataFrame(list(rows.items()), "row_id long, LABEL int")
+
+    def found(old, new):
+        rows = round_changes(None if old is None else table(old), table(new)).collect()
+        assert len({r["row_id"] for r in rows}) == len(rows)
+        return {r["row_id"]: tuple(r)[1:] for r in rows}
+
+    def wanted(old, new):
+        kinds = {
+            i: "entered" if i not in old else "left" if i not in new else "flipped"
+            for i in old.keys() | new.keys()
+            if old.get(i) != new.get(i)
+        }
+        return {i: (kind, old.get(i), new.get(i)) for i, kind in kinds.items()}
+
+    assert {k for k, _, _ in wanted(before, after).values()} == {"entered", "left", "flipped"}
+    for old, new in [(before, after), (before, before), (before, {}), ({}, after), ({}, {})]:
+        assert found(old, new) == wanted(old, new)
+    assert found(None, after) == wanted({}, after)
+
+
+def test_change_counts(spark):
+    rows = [(0, "entered"), (0, "entered"), (1, "left"), (1, "flipped"), (1, "left")]
+    counted = change_counts(spark.createDataFrame(rows, "round int, change string"))
+    assert sorted(map(tuple, counted.collect())) == [(0, 2, 0, 0), (1, 0, 2, 1)]
