@@ -222,3 +222,16 @@ def test_each_text_is_encoded_once(spark, monkeypatch):
         assert r["emb"] == pytest.approx([n / (n * n + 1) ** 0.5, 1 / (n * n + 1) ** 0.5], abs=1e-6)
     none = encode_once(df.limit(0), lambda d: model_encode(d, make_predict_fn))
     assert none.columns == [*df.columns, "emb"] and none.count() == 0
+
+
+def test_dropout_of_empty_short_and_missing_vectors(spark):
+    rows = spark.createDataFrame(
+        [(1, []), (2, None), (3, [1.0] * 3), (4, [1.0] * 17)], "row_id long, emb array<float>"
+    )
+    view = dropout_view(F.col("emb"), F.col("row_id"), 1, 0, 0.5).alias("view")
+    found = {r["row_id"]: r["view"] for r in rows.select("row_id", view).collect()}
+    assert found[1] == [] and found[2] is None
+    assert len(found[3]) == 3 and len(found[4]) == 17
+    assert set(found[4]) == {0.0, 2.0}
+    with pytest.raises(ValueError):
+        dropout_view(F.col("emb"), F.col("row_id"), 1, 0, 1.0)
