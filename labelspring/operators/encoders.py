@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from labelspring.functions.columns import text_as_string
-from labelspring.functions.keyed import DEFAULT_SEED, keyed_hash
+from labelspring.functions.keyed import DEFAULT_SEED
 from labelspring.sources.scratch import drop_table, new_path, write_table
 
 #: A text on more rows than this is copied, and its rows are dealt out to the copies.
 HOT_ROWS = 2000
 
+#: So many distinct tokens a task keeps the slots of; a rarer one is hashed at each occurrence.
+KNOWN_TOKENS = 200_000
+
 
 def _unit(df: DataFrame, vector: str, name: str, dtype: str = "float32") -> DataFrame:
     unit = Normalizer(p=2.0, inputCol=vector, outputCol="_unit").transform(df)
@@ -37,19 +43,51 @@ def hashed_encode(
 ) -> DataFrame:
     """Bag of lower-cased tokens, hashed to ``width`` slots, unit length.
 
-    One pass over the text and no shuffle: the tokens' slot numbers are counted
-    against a fixed vocabulary of slots inside the row.
+    One pass over the text and no shuffle. A token's slot is its :func:`keyed_hash`, which
+    a task works out once for each of the first ``KNOWN_TOKENS`` tokens that it meets.
     """
-    tokens = F.split(F.lower(text_as_string(F.col("TEXT"))), r"\s+")
-    slots = F.transform(
-        tokens,
-        lambda t: F.pmod(keyed_hash(t, "token", seed), F.lit(width)).cast("string"),
-    )
-    counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(width)], inputCol="_slots", outputCol="_counts", minTF=1.0
-    )
-    counted = counter.transform(df.withColumn("_slots", slots)).drop("_slots")
-    return _unit(counted, "_counts", name, dtype)
+    counts = _slot_counts(width, seed)
+    text = F.lower(text_as_string(F.col("TEXT"))).cast("binary")
+    return _unit(df.withColumn("_counts", array_to_vector(counts(text))), "_counts", name, dtype)
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    """The text split at blanks ``\\s+``, with an empty token where it begins or ends with one."""
+    tokens = text.split()
+    if not text:
+        return [b""]
+    return tokens + [b""] * (text[:1].isspace() + text[-1:].isspace())
+
+
+class _Slots(dict):
+    """Slots by token, worked out where they are not known."""
+
+    def __init__(self, before: bytes, after: bytes, width: int):
+        self.before, self.after, self.width = before, after, width
+
+    def __missing__(self, token: bytes) -> int:
+        digest = hashlib.md5(self.before + token + self.after, usedforsecurity=False).digest()
+        slot = int.from_bytes(digest[:4], "big") % self.width
+        if len(self) < KNOWN_TOKENS:
+            self[token] = slot
+        return slot
+
+
+def _slot_counts(width: int, seed: int) -> Callable:
+    """How many of a UTF-8 text's tokens fall into each of ``width`` slots."""
+    @F.pandas_udf("array<double>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Slots(f"{seed}:".encode(), b":token", width)
+
+        def counted(text: bytes) -> np.ndarray:
+            tokens = _tokens(text)
+            slots = np.fromiter(map(known.__getitem__, tokens), np.intp, len(tokens))
+            return np.bincount(slots, minlength=width).astype(np.float64)
+
+        for texts in batches:
+            yield pd.Series([counted(text) for text in texts], dtype=object)
+
+    return count
 
 
 def model_encode(
