@@ -2,18 +2,29 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelspring.operators.encoders import attach_vectors, encode_once, hashed_encode, model_encode
+from labelspring.functions.columns import text_as_string
+from labelspring.functions.keyed import keyed_hash
+from labelspring.operators.encoders import (
+    _Slots,
+    attach_vectors,
+    encode_once,
+    hashed_encode,
+    model_encode,
+)
 from labelspring.operators.losses import (
+    RANKING_SCALE,
     cosine_pair_loss,
     gather_batches,
     in_batch_ranking_loss,
 )
 from labelspring.operators.projection import (
     Projection,
+    _batch_ranking,
     apply_projection,
     dropout_view,
     fit_pairs,
     fit_simcse,
+    fold_ranking_gradients,
     pair_gradient,
     ranking_gradient,
     two_views,
@@ -177,6 +188,43 @@ def test_whole_texts_are_encoded(spark):
     assert first != second
 
 
+def test_hashed_encoder_hashes_a_token_once_and_keeps_odd_blanks(spark, monkeypatch):
+    odd = ["", " ", "  a", "a  ", "\ta\x1cB\x1d c\u00a0d  E\n", "\u0130 A\u03a3", "a\x85b\x0bc", None, "a a A"]
+    df = spark.createDataFrame(list(enumerate(odd)), "row_id long, TEXT string")
+    encoded = hashed_encode(df, 7, dtype="float64")
+    assert "md5(" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    tokens = F.split(F.lower(text_as_string(F.col("TEXT"))), r"\s+")
+    slots = F.transform(tokens, lambda t: F.pmod(keyed_hash(t, "token"), F.lit(7)))
+    wanted = {r["row_id"]: r["slots"] for r in df.select("row_id", slots.alias("slots")).collect()}
+    for r in encoded.collect():
+        counts = np.bincount(wanted[r["row_id"]], minlength=7)
+        assert np.allclose(r["emb"], counts / np.linalg.norm(counts))
+    known = _Slots(b"42:", b":token", 7)
+    monkeypatch.setattr("labelspring.operators.encoders.KNOWN_TOKENS", 1)
+    assert [known[t] for t in (b"a", b"c", b"c")] == [_Slots(b"42:", b":token", 7)[t] for t in (b"a", b"c", b"c")]
+    assert len(known) == 1
+
+
+def test_gradients_are_read_as_matrices(spark, rows, monkeypatch):
+    def refused(*_):
+        raise AssertionError("an object for each vector")
+
+    texts = rows.withColumn("fold", F.when(F.col("row_id") % 3 > 0, (F.col("row_id") % 3 - 1).cast("int")))
+    grouped = two_views(gather_batches(batches(texts, 8), "row_id", "emb", "fold"), 1)
+    weights = [np.eye(WIDTH), 2 * np.eye(WIDTH) + 0.1]
+    monkeypatch.setattr(type(rows), "mapInPandas", refused)
+    for fold, (loss, grad, n) in enumerate(fold_ranking_gradients(grouped, weights)):
+        total, slope, seen = 0.0, 0.0, 0
+        for r in grouped.collect():
+            mine = [f != fold for f in r["fold"]]
+            if any(mine):
+                one, part = _batch_ranking(
+                    np.array(r["view_a"])[mine], np.array(r["view_b"])[mine], weights[fold], RANKING_SCALE
+                )
+                total, slope, seen = total + one, slope + part, seen + sum(mine)
+        assert n == seen and np.isclose(loss, total / n) and np.allclose(grad, slope / n)
+
+
 def test_model_encoder_feeds_batches_of_texts(spark):
     def make_predict_fn():
         def predict(texts):
