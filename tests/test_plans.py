@@ -5,10 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelspring.operators import linear
 from labelspring.operators import projection as projection_module
 from labelspring.operators.losses import gather_batches
 from labelspring.operators.projection import (
     Projection,
+    apply_projection,
     clipped_step,
     fit_simcse_folds,
     ranking_gradient,
@@ -25,7 +27,7 @@ from labelspring.plans.evaluate import (
 )
 from labelspring.plans.settings import Settings
 from labelspring.plans.steps import Steps
-from labelspring.plans.training import fit_predict, self_train
+from labelspring.plans.training import fit_on, fit_predict, self_train, vector_width
 from labelspring.sources.scratch import shared_folder
 from labelspring.sources.tables import load_model
 
@@ -411,3 +413,21 @@ def test_fold_stages_shuffle_the_vectors_once(labelled, unlabelled, monkeypatch)
     )
     cross_validate(labelled, unlabelled, QUICK.but(simcse="fold"), False)
     assert len(calls) == 1
+
+
+def test_elastic_fit_moves_and_sums_in_one_python_worker(labelled, monkeypatch):
+    plans, summed = [], linear._summed
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return summed(rows, *rest)
+
+    monkeypatch.setattr(linear, "_summed", seen)
+    width = vector_width(labelled)
+    projection = Projection(np.eye(width) + 0.2 * np.arange(width * width).reshape(width, width) / width**2)
+    train = labelled.select(F.col("row_id").cast("string").alias("row_id"), "LABEL", "emb")
+    fitted = fit_on(train, projection, QUICK.but(model="elastic"))
+    assert len(plans) == 1 and "project(" not in plans[0]
+    apart = linear.fit_linear(apply_projection(train, projection), width)
+    assert np.allclose(fitted.model.weights, apart.weights, atol=1e-9)
+    assert np.isclose(fitted.model.intercept, apart.intercept, atol=1e-9) and "project(" in plans[1]
