@@ -1,10 +1,14 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelspring.functions.columns import text_as_string
 from labelspring.functions.keyed import keyed_hash
 from labelspring.operators.encoders import (
+    _chunk_counts,
     _Slots,
     attach_vectors,
     encode_once,
@@ -172,6 +176,24 @@ def test_projection_survives_a_round_trip(spark, tmp_path):
 TEXTS = "row_id long, TEXT string"
 
 
+def test_chunks_of_texts_look_up_each_distinct_token_once():
+    class Asked(_Slots):
+        calls = []
+
+        def __getitem__(self, token):
+            self.calls.append(token)
+            return super().__getitem__(token)
+
+    texts = [b"b a  b", b"", b" a", "\u00a0 \x85 a\x1cb\x0bc".encode(), b"\n"]
+    known = Asked(b"42:", b":token", 7)
+    counts = _chunk_counts(pa.array(texts, pa.binary()), known).reshape(len(texts), 7)
+    assert len(known.calls) == len(set(known.calls)) == 7
+    for text, found in zip(texts, counts, strict=True):
+        wanted = [_Slots(b"42:", b":token", 7)[t] for t in re.split(rb"[ \t\n\x0b\f\r]+", text)]
+        assert found.tolist() == np.bincount(wanted, minlength=7).tolist()
+    assert _chunk_counts(pa.array(texts, pa.binary())[2:4], known).tolist() == counts[2:4].ravel().tolist()
+
+
 def test_hashed_encoder(spark):
     df = spark.createDataFrame([(1, "A b\na"), (2, "a A b"), (3, None), (4, "nan")], TEXTS)
     rows = {r["row_id"]: r["emb"] for r in hashed_encode(df, 32).collect()}
