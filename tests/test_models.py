@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
+from labelspring.operators.forest import read_forest
 from labelspring.operators.linear import (
     LinearModel,
     Moments,
@@ -12,8 +14,11 @@ from labelspring.operators.linear import (
     solve_elastic,
 )
 from labelspring.operators.models import bounded_rows, fit_model, make_regressor, score_rows
-from labelspring.operators.projection import Projection
+from labelspring.operators.projection import Projection, apply_projection
 from labelspring.operators.scaling import fit_scaler, scaler_stats
+from labelspring.operators.selection import select_confident
+from labelspring.plans.settings import Settings
+from labelspring.plans.training import fit_on
 from labelspring.sources.tables import load_model, save_model
 
 WIDTH = 6
@@ -213,3 +218,39 @@ def test_unknown_regressor():
 def test_no_rows(rows):
     with pytest.raises(ValueError, match="no labelled rows"):
         fit_model(rows.filter(F.lit(False)), "elastic")
+
+
+@pytest.mark.parametrize("params", [{}, {"depth": 0}, {"maxBins": 300}])
+def test_forest_is_walked_in_batches_with_sparks_own_scores(rows, monkeypatch, params):
+    """Deep trees, single leaves, and thresholds that are hit exactly or do not fit a byte."""
+    monkeypatch.setattr("labelspring.operators.forest.BATCH", 7)
+    model = fit_model(rows, "rf", trees=9, partitions=3, **params)
+    *scaler, forest = model.stages
+    features = rows.withColumn("_features", array_to_vector("feat"))
+    found = model.transform(features).orderBy("row_id").select(vector_to_array("_scaled"), "_prediction").collect()
+    x = np.array([r[0] for r in found])
+    walked = read_forest(rows.sparkSession, forest)
+    assert sum(len(t.value) for t in walked.trees) == forest.totalNumNodes
+    assert walked.score(x).tolist() == [r[1] for r in found]
+    assert scores(rows, model).tolist() == [min(max(r[1], 0.0), 1.0) for r in found]
+    for f, edges in enumerate(walked.edges):
+        for at in (*edges[:3], np.nan, np.inf, -np.inf):
+            x[0, f] = at
+            vector = forest.predict(DenseVector(x[0]))
+            assert walked.score(x[:1])[0] == vector
+
+
+@pytest.mark.parametrize("model", ["rf", "elastic"])
+def test_confident_rows_are_moved_and_scored_once_by_one_worker(rows, model):
+    params = {"trees": 3} if model == "rf" else {}
+    settings = Settings(model=model, model_params=params)
+    weights = np.eye(WIDTH) + np.random.default_rng(3).normal(size=(WIDTH, WIDTH)) / 9
+    train = rows.withColumnRenamed("feat", "emb")
+    fitted = fit_on(train, Projection(weights), settings)
+    chosen = select_confident(fitted.score(train), 0.6).select("row_id", "score")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    apart = score_rows(apply_projection(train, fitted.projection), fitted.model)
+    wanted = {r["row_id"]: r["score"] for r in apart.collect()}
+    found = {r["row_id"]: r["score"] for r in chosen.collect()}
+    assert found == {i: s for i, s in wanted.items() if s >= 0.6 or s <= 0.4} and found
