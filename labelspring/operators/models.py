@@ -21,8 +21,6 @@ from labelspring.operators.scaling import fit_scaler
 
 #: Partitions of the rows a model is fitted on. Part of the result of the tree models.
 FIT_PARTITIONS = 16
-#: A model is fitted on at most so many rows, since a forest grows with them.
-FIT_ROWS = 20_000
 #: Bins of a feature, and memory for the node statistics of one pass, of the tree models.
 MAX_BINS, NODE_MB = 32, 1024
 
@@ -122,20 +120,18 @@ def fit_model(
     vector: str = "feat",
     partitions: int = FIT_PARTITIONS,
     seed: int = DEFAULT_SEED,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
     **params,
 ) -> PipelineModel:
-    """Fit scaler and regressor on ``train(row_id, LABEL, <vector>)``.
+    """Fit scaler and regressor on all rows of ``train(row_id, LABEL, <vector>)``.
 
-    Of more than ``fit_rows`` rows a stratified part is used; scoring has no bound.
+    Only a caller who names ``fit_rows`` gets a stratified part of more rows than that.
     """
-    rows = bounded_rows(
-        train.select(
-            "row_id", F.col("LABEL").cast("double").alias("LABEL"), F.col(vector).alias("_vector")
-        ),
-        fit_rows,
-        seed,
+    rows = train.select(
+        "row_id", F.col("LABEL").cast("double").alias("LABEL"), F.col(vector).alias("_vector")
     )
+    if fit_rows is not None:
+        rows = bounded_rows(rows, fit_rows, seed)
     laid_out = (
         canonical_layout(rows, partitions)
         .withColumn("_features", array_to_vector("_vector"))

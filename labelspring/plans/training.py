@@ -219,7 +219,7 @@ def fit_on(train: DataFrame, projection: Projection, settings: Settings) -> Fitt
     """Scaler and regressor on the moved vectors.
 
     The elastic net is solved from sums over all rows, in one pass. The trees are
-    fitted on at most ``fit_rows`` rows.
+    fitted on all rows too, unless the settings name a bound in ``fit_rows``.
     """
     width = len(projection.weights)
     if settings.model == "elastic" and not projection.is_identity:

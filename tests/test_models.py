@@ -129,6 +129,27 @@ def test_all_rows_are_scored_by_a_bounded_fit(rows):
     assert model.stages[-1].trees[0].numNodes < 120
 
 
+def many_rows(spark, n=20_500):
+    """More rows than a fit was once bounded to."""
+    feat = F.array(F.rand(1) + F.col("id") / n, F.rand(2)).cast("array<float>").alias("feat")
+    rows = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("LABEL"), feat)
+    return rows.cache()
+
+
+@pytest.mark.parametrize(
+    "name, params",
+    [("elastic", {}), ("rf", {"trees": 1, "depth": 1}), ("gbm", {"stages": 1, "depth": 1})],
+)
+def test_a_fit_without_a_bound_is_on_all_rows(spark, name, params):
+    df = many_rows(spark)
+    x = np.array([r["feat"] for r in df.select("feat").collect()], np.float64)
+    model = fit_model(df, name, **params)
+    assert np.allclose(model.stages[0].mean.toArray(), x.mean(axis=0), atol=1e-12)
+    if name == "elastic":  # the solver tells the rows it saw
+        assert model.stages[-1].summary.numInstances == len(x)
+    df.unpersist()
+
+
 def test_forest_scores_are_the_means_of_its_trees(rows):
     model = fit_model(rows, "rf", trees=4, depth=5)
     forest = model.stages[-1]
