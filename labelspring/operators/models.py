@@ -21,8 +21,11 @@ from labelspring.operators.scaling import fit_scaler
 
 #: Partitions of the rows a model is fitted on. Part of the result of the tree models.
 FIT_PARTITIONS = 16
-#: Bins of a feature, and memory for the node statistics of one pass, of the tree models.
-MAX_BINS, NODE_MB = 32, 1024
+#: Bins of a feature of the tree models.
+MAX_BINS = 32
+#: Memory in each task for the node statistics of one pass. It cuts a level of a forest on many
+#: rows into more passes and has no part in the result, since every node looks at all features.
+NODE_MB = 256
 
 COLUMNS = {"featuresCol": "_scaled", "labelCol": "LABEL", "predictionCol": "_prediction"}
 

@@ -17,7 +17,7 @@ class Settings:
     seed: int = DEFAULT_SEED
 
     # rows that fit the trees, all unless a bound is named, and the layout they are fitted in
-    fit_rows: int | None = 20_000
+    fit_rows: int | None = None
     fit_partitions: int = FIT_PARTITIONS
 
     # supervised fit of the projection, in every round

@@ -431,3 +431,26 @@ def test_elastic_fit_moves_and_sums_in_one_python_worker(labelled, monkeypatch):
     apart = linear.fit_linear(apply_projection(train, projection), width)
     assert np.allclose(fitted.model.weights, apart.weights, atol=1e-9)
     assert np.isclose(fitted.model.intercept, apart.intercept, atol=1e-9) and "project(" in plans[1]
+
+
+def many(spark, n, at=0):
+    """Rows a tree of one split can tell apart; more of them than a fit was once bounded to."""
+    label = (F.col("id") % 2).cast("int")
+    emb = F.array(2.0 * label - 1.0, F.rand(at), F.rand(at + 1)).cast("array<float>")
+    return spark.range(at, at + n).select(F.col("id").alias("row_id"), label.alias("LABEL"), emb.alias("emb")).cache()
+
+
+def means(df):
+    """Of the vectors as a fit sees them."""
+    seen = apply_projection(df, Projection.identity(3)).select("feat").collect()
+    return np.array([r["feat"] for r in seen], np.float64).mean(axis=0)
+
+
+ONE_TREE = Settings(model_params={"trees": 1, "depth": 1}, fine_tune=False, rounds=1)
+
+
+def test_the_final_fit_is_on_all_rows(spark):
+    labelled, rest = many(spark, 20_500), many(spark, 30, 50_000)
+    fitted, predicted = fit_predict(labelled, rest, ONE_TREE, self_training=False)
+    assert np.allclose(fitted.model.stages[0].mean.toArray(), means(labelled), atol=1e-12)
+    assert predicted.count() == 30
