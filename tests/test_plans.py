@@ -454,3 +454,11 @@ def test_the_final_fit_is_on_all_rows(spark):
     fitted, predicted = fit_predict(labelled, rest, ONE_TREE, self_training=False)
     assert np.allclose(fitted.model.stages[0].mean.toArray(), means(labelled), atol=1e-12)
     assert predicted.count() == 30
+
+
+def test_the_rounds_of_self_training_fit_on_all_rows(spark):
+    labelled, rest = many(spark, 15_000), many(spark, 9_000, 50_000)
+    fitted = self_train(labelled, rest.drop("LABEL"), ONE_TREE)
+    assert fitted.counts[1][1] > 20_500
+    assert np.allclose(fitted.model.stages[0].mean.toArray(), means(fitted.train), atol=1e-12)
+    fitted.release()
