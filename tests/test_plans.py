@@ -462,3 +462,16 @@ def test_the_rounds_of_self_training_fit_on_all_rows(spark):
     assert fitted.counts[1][1] > 20_500
     assert np.allclose(fitted.model.stages[0].mean.toArray(), means(fitted.train), atol=1e-12)
     fitted.release()
+
+
+def test_a_sweep_fits_on_all_rows_of_a_fold(spark):
+    labelled, rest = many(spark, 30_900), many(spark, 30, 50_000)
+    steps = Steps()
+    changes = [{}, {"model": "gbm", "model_params": {"stages": 1, "depth": 1}}]
+    sweep(labelled, rest, ONE_TREE.but(folds=3, parallel_folds=3), changes, False, steps)
+    fits = steps.results("fit")
+    assert len(fits) == 6
+    # The folds are equally large, so the means over their training rows average to the mean of all.
+    for kind in ("RandomForest", "GBT"):
+        found = [f.model.stages[0].mean.toArray() for f in fits if kind in type(f.model.stages[-1]).__name__]
+        assert len(found) == 3 and np.allclose(np.mean(found, axis=0), means(labelled), atol=2e-5)
